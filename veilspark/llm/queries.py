@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, exact_dedup, line_dedup, mixing
+from . import chat_trees, exact_dedup, licenses, line_dedup, mixing, quality, secrets
 from .common import documents, text_of
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.find_secrets(docs, secrets.fit(secrets.count_texts(docs)))
+    named = [r[0] for r in secrets.RULES]
+
+    def listed(spans) -> F.Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def counted(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(named))
+    return found.select("doc_id", *[counted(k) for k in (*named, secrets.MARKOV)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.judged(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 4).alias("log_perplexity"))
+
+
 def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -29,6 +49,25 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("found", lambda x: x["rule"] == "base")
+
+    def labels(found) -> F.Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["label"]))), ",")
+
+    starts = F.transform(base, lambda x: x["first"])
+    return licenses.find_licenses(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("found")).alias("labels"),
+        (F.coalesce(F.array_max(F.transform("found", lambda x: x["priority"])), F.lit(0)) / 100.0).alias("score"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(text_of("text"), 256).alias("text_sha256"))
@@ -39,7 +78,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_trees, op4_exact_dedup, op7_line_dedup, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat_trees, op4_exact_dedup, op5_licenses, op7_line_dedup, op8_mixing)}
 
 ORACLES = {
     "op3_chat_trees": r"""
