@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, exact_dedup, licenses, line_dedup, mixing, quality, secrets
-from .common import documents, text_of
+from . import bpe, chat_trees, exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, rans, secrets
+from .common import documents, shared_dir, text_of
+
+
+def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +77,16 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_documents(documents(spark, sf_dir), tokenizer_json())
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(text_of("text"), 256).alias("text_sha256"))
@@ -78,7 +97,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat_trees, op4_exact_dedup, op5_licenses, op7_line_dedup, op8_mixing)}
+def op9_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}"
+    rans.write_files(documents(spark, sf_dir), tokenizer_json(), path)
+    files = spark.read.parquet(path)
+    read = rans.read_documents(files).join(rans.part_starts(files), "part")
+    return read.select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=4).drop("text_hash")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat_trees, op4_exact_dedup, op5_licenses, op6_bpe, op7_line_dedup, op8_mixing, op9_rans_files, op10_near_dedup)}
 
 ORACLES = {
     "op3_chat_trees": r"""
