@@ -218,21 +218,23 @@ def rounds(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[Round
         yield now, held
 
 
-def encode_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) for each document; decoded is read back from the ids."""
+def encode_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, columns to keep, ids, decoded) for each document; decoded is read back from the ids."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
-        for now, held in rounds(batches, 1):
-            keys = pa.Table.from_batches(held).combine_chunks().column(0).combine_chunks()
-            at = 0
+        for now, held in rounds(batches, 0):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            columns, at = [c.combine_chunks() for c in rows.columns], 0
             for texts in now.ids(by_index(vocabulary)):
                 ends = np.cumsum([0, *map(len, texts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(texts).astype(np.int32)))
                 decoded = [vocabulary.decode(t).decode("utf-8", "replace") for t in texts]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(texts)), ids, pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, len(texts)) for c in columns], ids, pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
                 at += len(texts)
 
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
+    rows = docs.select(text_of(text_col).alias("t"), *[F.col(c) for c in names])
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
