@@ -1,0 +1,205 @@
+"""Replacement strategies as column expressions of (rule, value, number).
+
+Numbers are per document: by position (each hit counts), or by first appearance of the value
+(consistent; the number belongs to the rule of the value's first hit). Look-alikes are drawn from the
+md5 of rule and value, so they need no state and are the same in every row, run and engine.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+BLOCK = "█"
+
+#: Fixed shapes of fakes; {n} is the number, {n:k} its last k digits with zeros ahead.
+FAKES = {
+    "email": "user{n}@example.com",
+    "ipv4": "192.0.2.{n:3}",
+    "ipv6": "2001:db8::{n}",
+    "mac_address": "02:00:00:00:00:{n:2}",
+    "hostname": "host{n}.example.com",
+    "url": "https://example.com/{n}",
+    "ssn": "000-00-{n:4}",
+    "credit_card": "4000-0000-0000-{n:4}",
+    "phone_us": "555-010-{n:4}",
+    "phone_uk": "01632 {n:6}",
+    "phone_intl": "+999{n:10}",
+    "uuid": "00000000-0000-0000-0000-{n:12}",
+    "iban": "XX00TEST{n:14}",
+    "generic_secret": "secret-{n:4}",
+    "sha1_hash": "{n:40}",
+}
+DEFAULT_FAKE = "[REDACTED-{n}]"
+
+NAMES = ("Alex", "Blair", "Casey", "Drew", "Ellis", "Finley", "Gray", "Harper", "Indigo", "Jules", "Kai", "Logan", "Morgan", "Noel", "Oakley", "Parker")
+TWO_PART_TOPS = ("co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.in", "co.za", "com.br", "com.cn", "com.mx", "com.sg", "com.tr", "com.tw", "com.hk", "co.kr", "co.il", "com.ar", "co.id", "com.my", "com.ph")
+
+
+def position_numbers(spans: Column) -> Column:
+    """For each span, its number among the spans of its rule."""
+    return F.transform(spans, lambda s, i: F.size(F.filter(F.slice(spans, 1, i + 1), lambda x: x["rule"] == s["rule"])))
+
+
+def value_numbers(spans: Column, by_type: bool = False) -> Column:
+    """For each span, (rule, number) by first appearance of its value. by_type: values of two rules are two values."""
+
+    def same(a: Column, b: Column) -> Column:
+        return (a["value"] == b["value"]) & (a["rule"] == b["rule"]) if by_type else a["value"] == b["value"]
+
+    firsts = F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, 1, i), lambda x: same(x, s)))
+
+    def numbered(s: Column) -> Column:
+        first = F.get(F.filter(firsts, lambda f: same(f, s)), 0)
+        n = F.size(F.filter(firsts, lambda f: (f["rule"] == first["rule"]) & (f["start"] <= first["start"])))
+        return F.struct(first["rule"].alias("rule"), n.alias("n"))
+
+    return F.transform(spans, numbered)
+
+
+def label(rule: Column, n: Column, prefix: str = "[", suffix: str = "]") -> Column:
+    return F.concat(F.lit(prefix), F.upper(rule), F.lit("-"), n.cast("string"), F.lit(suffix))
+
+
+def bare(rule: Column, prefix: str = "[", suffix: str = "]") -> Column:
+    return F.concat(F.lit(prefix), F.upper(rule), F.lit(suffix))
+
+
+def template(pattern: Column, rule: Column, value: Column, n: Column) -> Column:
+    """{n} {type} {TYPE} {original} {len}; the original is put in last, so that its own braces stay."""
+    out = F.replace(pattern, F.lit("{n}"), n.cast("string"))
+    for mark, what in (("{type}", rule), ("{TYPE}", F.upper(rule)), ("{len}", F.length(value).cast("string")), ("{original}", value)):
+        out = F.replace(out, F.lit(mark), what)
+    return out
+
+
+def redact(value: Column, most: int = 16) -> Column:
+    return F.repeat(F.lit(BLOCK), F.least(F.length(value), F.lit(most)))
+
+
+def fake(rule: Column, n: Column) -> Column:
+    """The fixed shape of the rule with the number in it."""
+
+    def shaped(shape: str) -> Column:
+        parts = re.split(r"(\{n(?::\d+)?\})", shape)
+        out = []
+        for p in parts:
+            if p == "{n}":
+                out.append(n.cast("string"))
+            elif p.startswith("{n:"):
+                width = int(p[3:-1])
+                out.append(F.lpad((n % 10 ** min(width, 9)).cast("string"), width, "0"))
+            elif p:
+                out.append(F.lit(p))
+        return F.concat(*out)
+
+    out = F.when(F.lit(False), F.lit(""))
+    for rule_id, shape in FAKES.items():
+        out = out.when(rule == rule_id, shaped(shape))
+    return out.otherwise(shaped(DEFAULT_FAKE))
+
+
+# Look-alikes
+
+
+def seed(rule: Column, value: Column) -> Column:
+    return F.md5(F.concat(rule, F.lit(":"), value))
+
+
+def number_from(hashed: Column, at: int, below: int) -> Column:
+    """A number below the bound from eight hexadecimal digits of a hash."""
+    return F.conv(F.substring(hashed, at, 8), 16, 10).cast("bigint") % below
+
+
+def _drawn(hashed: Column, i: Column, among: str) -> Column:
+    """A character for place i: the hash's digit there, moved by the place, picks among the characters."""
+    at = F.instr(F.lit("0123456789abcdef"), F.substring(hashed, (i % 32 + 1).cast("int"), F.lit(1))) - 1
+    return F.substring(F.lit(among), ((at * 7 + i) % len(among) + 1).cast("int"), F.lit(1))
+
+
+def _laid_out(value: Column, hashed: Column, classes: list[tuple[str, str]], skip: int = 0) -> Column:
+    def one(c: Column, i: Column) -> Column:
+        out = F.when(i < skip, c)
+        for pattern, among in classes:
+            out = out.when(c.rlike(f"^[{pattern}]$"), _drawn(hashed, i, among))
+        return out.otherwise(c)
+
+    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+
+
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def digit_layout(value: Column, hashed: Column, skip: int = 0) -> Column:
+    return _laid_out(value, hashed, [("0-9", DIGITS)], skip)
+
+
+def hex_layout(value: Column, hashed: Column, skip: int = 0) -> Column:
+    return _laid_out(value, hashed, [("0-9", DIGITS), ("a-f", "abcdef"), ("A-F", "ABCDEF")], skip)
+
+
+def alnum_layout(value: Column, hashed: Column, skip: int = 0) -> Column:
+    return _laid_out(value, hashed, [("0-9", DIGITS), ("a-z", LOWER), ("A-Z", UPPER)], skip)
+
+
+def luhn_fixed(card: Column) -> Column:
+    """The card number with its last digit set so that Luhn's sum holds (digits only)."""
+    body = F.substring(card, F.lit(1), F.length(card) - 1)
+    digits = F.transform(F.reverse(F.filter(F.split(body, ""), lambda c: c != "")), lambda c: c.cast("int"))
+    total = F.aggregate(F.transform(digits, lambda d, i: F.when(i % 2 == 0, 2 * d - F.when(d > 4, 9).otherwise(0)).otherwise(d)), F.lit(0), lambda a, x: a + x)
+    return F.concat(body, ((10 - total % 10) % 10).cast("string"))
+
+
+def card(value: Column, hashed: Column, keep: int = 0) -> Column:
+    """A card number of the same length that passes Luhn's test: first digit 4, or the first `keep` digits."""
+    drawn = digit_layout(value, hashed, max(keep, 1))
+    return luhn_fixed(drawn if keep else F.concat(F.lit("4"), F.substring(drawn, F.lit(2), F.length(drawn))))
+
+
+def top_domain(host: Column) -> Column:
+    """The host's top domain with its dot: two labels for the known two-part ones, else the last label."""
+    two = "|".join(t.replace(".", "\\.") for t in TWO_PART_TOPS)
+    found = F.regexp_extract(F.lower(host), rf"(\.(?:{two}))$", 1)
+    return F.when(found != "", found).otherwise(F.regexp_extract(F.lower(host), r"(\.[^.]+)$", 1))
+
+
+def realistic(rule: Column, value: Column, keep_country: bool = False) -> Column:
+    """A look-alike of the value; with keep_country, what tells the country or maker stays."""
+    h = seed(rule, value)
+    name = F.lower(F.get(F.array(*map(F.lit, NAMES)), number_from(h, 1, len(NAMES)).cast("int")))
+    number = number_from(h, 9, 1000).cast("string")
+    top = F.when(F.lit(keep_country) & (top_domain(value) != ""), top_domain(value)).otherwise(F.lit(".com"))
+    kept = 6 if keep_country else 0
+    return (
+        F.when(rule.isin("email", "email_message_id"), F.concat(name, number, F.lit("@example"), top))
+        .when(rule == "ipv4", F.concat(F.lit("198.18."), number_from(h, 1, 256).cast("string"), F.lit("."), number_from(h, 9, 256).cast("string")))
+        .when(rule == "hostname", F.concat(F.lit("host"), number, F.lit(".example"), top))
+        .when(rule == "url", F.concat(F.lit("https://www.example"), F.lit(".com/"), number))
+        .when(rule == "mac_address", hex_layout(value, h, 8 if keep_country else 0))
+        .when(rule == "uuid", hex_layout(value, h))
+        .when(rule == "credit_card", card(value, h, kept))
+        .when(rule == "iccid", F.concat(F.lit("89"), F.substring(digit_layout(value, h, 5 if keep_country else 2), 3, 40)))
+        .when(rule == "iban", F.concat(F.substring(value, 1, 2), F.substring(alnum_layout(value, h), 3, 40)))
+        .when((rule == "btc_address") & value.startswith("bc1"), F.concat(F.lit("bc1"), F.substring(alnum_layout(value, h), 4, 90)))
+        .when(rule == "btc_address", F.concat(F.substring(value, 1, 1), F.substring(alnum_layout(value, h), 2, 90)))
+        .when(rule == "phone_intl", digit_layout(value, h, 3 if keep_country else 1))
+        .when(rule.isin("ssn", "phone_us", "phone_uk", "uk_nhs", "au_tfn", "ca_sin"), digit_layout(value, h))
+        .when(rule.isin("sha1_hash", "md5_hash", "sha256_hash"), hex_layout(value, h))
+        .when(rule.isin("generic_secret", "aws_access_key", "stripe_key"), alnum_layout(value, h, 4))
+        .otherwise(F.concat(F.lit("[ANON-"), F.upper(rule), F.lit("-"), number, F.lit("]")))
+    )
+
+
+def replaced(strategy: Column, rule: Column, value: Column, n: Column, pattern: Column | None = None) -> Column:
+    """The replacement by a strategy that a column names; unknown ones give the bare label."""
+    return (
+        F.when(strategy == "label", label(rule, n))
+        .when(strategy == "template", template(pattern if pattern is not None else F.lit("[{TYPE}-{n}]"), rule, value, n))
+        .when(strategy == "redact", redact(value))
+        .when(strategy == "fake", fake(rule, n))
+        .when(strategy == "realistic", realistic(rule, value))
+        .when(strategy == "realistic_country", realistic(rule, value, True))
+        .otherwise(bare(rule))
+    )

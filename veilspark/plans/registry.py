@@ -1,6 +1,33 @@
-"""All registered queries and their DuckDB twins."""
+"""All registered queries and their DuckDB twins.
+
+Each module of this folder adds its own queries with @query; a query takes (spark, sf_dir).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(text: str) -> str:
+    """A string for SQL."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+from . import detection, logs, redaction, reports, tables  # noqa: E402, F401
