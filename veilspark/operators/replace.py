@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "█"
@@ -43,20 +43,22 @@ def position_numbers(spans: Column) -> Column:
     return F.transform(spans, lambda s, i: F.size(F.filter(F.slice(spans, 1, i + 1), lambda x: x["rule"] == s["rule"])))
 
 
-def value_numbers(spans: Column, by_type: bool = False) -> Column:
-    """For each span, (rule, number) by first appearance of its value. by_type: values of two rules are two values."""
+def with_value_numbers(df: DataFrame, spans: str = "spans", out: str = "numbers", by_type: bool = False) -> DataFrame:
+    """df with, for each span, (rule, n) by first appearance of its value. by_type: values of two rules are two values.
 
-    def same(a: Column, b: Column) -> Column:
-        return (a["value"] == b["value"]) & (a["rule"] == b["rule"]) if by_type else a["value"] == b["value"]
+    Each step is a column of its own, so that no step runs again for every span.
+    """
+    key = F.transform(spans, lambda s: F.concat(s["rule"], F.lit(":"), s["value"]) if by_type else s["value"])
+    held = df.withColumn(f"__{out}_k", key)
+    held = held.withColumn(f"__{out}_d", F.array_distinct(f"__{out}_k"))
+    held = held.withColumn(f"__{out}_f", F.transform(f"__{out}_d", lambda k: F.get(F.col(spans), (F.array_position(f"__{out}_k", k) - 1).cast("int"))))
+    held = held.withColumn(f"__{out}_n", position_numbers(F.col(f"__{out}_f")))
 
-    firsts = F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, 1, i), lambda x: same(x, s)))
+    def numbered(k: Column) -> Column:
+        at = (F.array_position(f"__{out}_d", k) - 1).cast("int")
+        return F.struct(F.get(F.col(f"__{out}_f"), at)["rule"].alias("rule"), F.get(F.col(f"__{out}_n"), at).alias("n"))
 
-    def numbered(s: Column) -> Column:
-        first = F.get(F.filter(firsts, lambda f: same(f, s)), 0)
-        n = F.size(F.filter(firsts, lambda f: (f["rule"] == first["rule"]) & (f["start"] <= first["start"])))
-        return F.struct(first["rule"].alias("rule"), n.alias("n"))
-
-    return F.transform(spans, numbered)
+    return held.withColumn(out, F.transform(f"__{out}_k", numbered)).drop(*[f"__{out}_{c}" for c in "kdfn"])
 
 
 def label(rule: Column, n: Column, prefix: str = "[", suffix: str = "]") -> Column:

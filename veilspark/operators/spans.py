@@ -41,40 +41,34 @@ def valid(rule: Rule, value: str) -> str | None:
     return CHECKS[rule.validator](value) if rule.validator else None
 
 
-def rule_spans(text: Column, rule: Rule, no: int = 0) -> Column:
-    """The spans of one rule: matches lie between the pieces that split() leaves."""
+def _located(found: Column, gaps: Column, rule: Rule, no: int) -> Column:
+    """The spans of one rule: its matches lie between the pieces that split() leaves. Both are columns, computed once."""
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def located(found: Column) -> Column:
-        gaps = F.split(text, rule.pattern, -1)
-        begun = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    def step(acc: Column, i: Column) -> Column:
+        start, value = acc["at"] + F.length(F.get(gaps, i)), F.get(found, i)
+        end = start + F.length(value)
+        span = F.struct(F.lit(rule.id).alias("rule"), value.alias("value"), start.alias("start"), end.alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, i))
-            value = F.get(found, i)
-            end = start + F.length(value)
-            span = F.struct(F.lit(rule.id).alias("rule"), value.alias("value"), start.alias("start"), end.alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begun, step)["out"]
-
-    found = values(text, rule)
-    return F.when(F.size(found) > 0, located(found)).otherwise(F.array().cast(f"array<{SPAN}>"))
+    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begun, step)["out"]
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def detect(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", out: str = "spans") -> DataFrame:
     """df with all spans of the rules, rule by rule. Null texts have none.
 
-    Each rule's matches are a column of their own, so that no expression is run twice; the validators
-    are SQL over those columns.
+    Each rule's matches, and for texts that have some the gaps between them, are columns of their own,
+    so that no expression runs again inside a lambda; the validators are SQL over the spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = df.withColumns({f"__{out}_{i}": rule_spans(text, r, i) for i, r in enumerate(rules)})
-    parts = []
-    for i, r in enumerate(rules):
-        name = f"__{out}_{i}"
-        parts.append(F.expr(f"filter({name}, x -> {valid(r, 'x.value')})") if r.validator else F.col(name))
+    n = range(len(rules))
+    held = df.withColumns({f"__{out}_v{i}": values(text, r) for i, r in enumerate(rules)})
+    held = held.withColumns({f"__{out}_g{i}": F.when(F.size(f"__{out}_v{i}") > 0, F.split(text, r.pattern, -1)) for i, r in enumerate(rules)})
+    held = held.withColumns({f"__{out}_s{i}": _located(F.col(f"__{out}_v{i}"), F.col(f"__{out}_g{i}"), r, i) for i, r in enumerate(rules)})
+    parts = [F.expr(f"filter(__{out}_s{i}, x -> {valid(r, 'x.value')})") if r.validator else F.col(f"__{out}_s{i}") for i, r in enumerate(rules)]
     whole = F.concat(*parts) if parts else F.array().cast(f"array<{SPAN}>")
-    return held.withColumn(out, whole).drop(*[f"__{out}_{i}" for i in range(len(rules))])
+    return held.withColumn(out, whole).drop(*[f"__{out}_{k}{i}" for i in n for k in "vgs"])
 
 
 def ordered(spans: Column) -> Column:

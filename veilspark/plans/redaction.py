@@ -70,11 +70,6 @@ def numbered_labels(s):
     return F.zip_with(s, n, lambda x, k: replace.label(x["rule"], k))
 
 
-def consistent_labels(s):
-    n = replace.value_numbers(s)
-    return F.transform(n, lambda k: replace.label(k["rule"], k["n"]))
-
-
 def each_value(make):
     return lambda s: F.transform(s, lambda x: make(x["rule"], x["value"]))
 
@@ -92,7 +87,9 @@ _FIRSTS = """, firsts as (select doc_id, value, arg_min(rule, s) as first_rule,
 @query(oracle=duck_redacted("(select '[' || upper(first_rule) || '-' || k || ']' from numbers z where z.doc_id = res.doc_id and z.value = res.value)", SEVEN, "texts", _FIRSTS))
 def redact_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same value gets the same label within a document (R-14, WIN-02)."""
-    return redacted(texts(spark, sf_dir), SEVEN, consistent_labels)
+    done = replace.with_value_numbers(resolved_documents(texts(spark, sf_dir), SEVEN))
+    done = done.withColumn("labels", F.transform("numbers", lambda k: replace.label(k["rule"], k["n"])))
+    return done.select("doc_id", spans.applied(F.col("text"), F.col("spans"), F.col("labels")).alias("redacted"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @query(oracle=duck_redacted("repeat('█', least(length(value), 16))", SEVEN))

@@ -51,7 +51,7 @@ def counts_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replaced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = resolved_documents(texts(spark, sf_dir), TWELVE)
-    done = done.withColumn("numbers", replace.value_numbers(F.col("spans")))
+    done = replace.with_value_numbers(done)
     rows = done.select("doc_id", "text", F.explode(F.arrays_zip("spans", "numbers")).alias("z"))
     return rows.select("doc_id", F.col("z.spans.start").alias("start"), F.col("z.spans.end").alias("end"), F.col("z.spans.rule").alias("rule"), F.col("z.spans.value").alias("value"), replace.label(F.col("z.numbers.rule"), F.col("z.numbers.n")).alias("replacement"), spans.line_of(F.col("text"), F.col("z.spans.start")).alias("line"))
 
@@ -212,15 +212,15 @@ def reveal_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle="""with w as (select item_id, lower(trim(text)) as t from benchmark), d as (select doc_id, lower(text) as t from documents)
   select doc_id, item_id from d join w on contains(d.t, w.t) where length(w.t) > 0""")
 def literal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a literal of a list, by the literal's first five words: an equi join of word windows, then a test (J-07)."""
+    """Documents that hold a literal of a list, by the literal's second to fifth word: an equi join of word windows, then a test (J-07). Literals of at least six words."""
 
-    def windows(t, k: int):
-        words = F.split(t, r"[\x20\x09-\x0D]+")
+    def windows(words, k: int):
         return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
 
+    parted = r"[\x20\x09-\x0D]+"
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("lit")).where("length(lit) > 0")
-    items = items.withColumn("key", F.array_join(F.slice(F.split("lit", r"[\x20\x09-\x0D]+"), 2, 4), " "))
+    items = items.withColumn("key", F.array_join(F.slice(F.split("lit", parted), 2, 4), " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(windows(F.col("t"), 4))).alias("key"))
+    keys = docs.select("doc_id", F.split("t", parted).alias("words")).select("doc_id", F.explode(windows(F.col("words"), 4)).alias("key"))
     hits = keys.join(items.select("item_id", "key", "lit"), "key").select("doc_id", "item_id", "lit").distinct()
     return hits.join(docs, "doc_id").where(F.contains("t", F.col("lit"))).select("doc_id", "item_id")
