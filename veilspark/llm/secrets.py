@@ -116,12 +116,18 @@ def count_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_of(text_col)).mapInArrow(run, COUNTED).groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
-def fit(counts: DataFrame, prior: float = 1.0) -> np.ndarray:
-    """The log ratio of the two models for each pair of characters; at most 2 x STATES^2 counts are gathered."""
-    totals = np.full((2, STATES, STATES), prior)
+def fit(counts: DataFrame, prior: float = 1.0, strength: float = 200.0) -> np.ndarray:
+    """The log ratio of the two models for each pair of characters; at most 2 x STATES^2 counts are gathered.
+
+    A character's followers are smoothed towards the label's own characters: where identifiers have no
+    digit after a capital, their rarity of digits tells, not an even chance.
+    """
+    totals = np.zeros((2, STATES, STATES))
     for r in counts.collect():
         totals[r["label"], r["pair"] // STATES, r["pair"] % STATES] += r["n"]
-    share = np.log(totals / totals.sum(axis=2, keepdims=True))
+    single = totals.sum(axis=1, keepdims=True) + prior
+    single /= single.sum(axis=2, keepdims=True)
+    share = np.log((totals + strength * single) / (totals.sum(axis=2, keepdims=True) + strength))
     return share[1] - share[0]
 
 
