@@ -219,11 +219,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("lat", F.col("lat").cast("double")).withColumn("lon", F.col("lon").cast("double")).withColumn("ele", F.col("ele").cast("double"))
 
 
-@query(oracle=f"with {POINTS_CTE} select track_id, count(*) as n, round(avg(lat), 3) as lat, round(avg(lon), 3) as lon, min(lat) as south, max(lat) as north, min(lon) as west, max(lon) as east, min(ele) as lowest, max(ele) as highest, round((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 60, 4) as minutes from points group by track_id".replace("min(lat)", "cast(min(lat) as double)").replace("max(lat)", "cast(max(lat) as double)").replace("min(lon)", "cast(min(lon) as double)").replace("max(lon)", "cast(max(lon) as double)").replace("min(ele)", "cast(min(ele) as double)").replace("max(ele)", "cast(max(ele) as double)"))
+@query(oracle=f"with {POINTS_CTE} select track_id, count(*) as n, round(avg(lat), 10) as lat, round(avg(lon), 10) as lon, min(lat) as south, max(lat) as north, min(lon) as west, max(lon) as east, min(ele) as lowest, max(ele) as highest, round((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 60, 4) as minutes from points group by track_id".replace("min(lat)", "cast(min(lat) as double)").replace("max(lat)", "cast(max(lat) as double)").replace("min(lon)", "cast(min(lon) as double)").replace("max(lon)", "cast(max(lon) as double)").replace("min(ele)", "cast(min(ele) as double)").replace("max(ele)", "cast(max(ele) as double)"))
 def track_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-15, AGG-16."""
     s = records.track_statistics(points(spark, sf_dir))
-    return s.withColumns({"lat": F.round("lat", 3), "lon": F.round("lon", 3), "minutes": F.round("minutes", 4)})
+    return s.withColumns({"lat": F.round("lat", 10), "lon": F.round("lon", 10), "minutes": F.round("minutes", 4)})
 
 
 @query(oracle=f"""with {POINTS_CTE}, p as (select *, cast(lat as double) as la, cast(lon as double) as lo from points), c as (select track_id, avg(la) as cla, avg(lo) as clo from p group by track_id), m as (select point_no, lo + 170.0 - clo as x, la + 60.0 - cla as y from p join c using (track_id))
