@@ -30,4 +30,4 @@ def sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-from . import detection, logs, redaction, reports, tables  # noqa: E402, F401
+from . import detection, logs, lookups, redaction, reports, tables  # noqa: E402, F401
