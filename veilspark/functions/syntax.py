@@ -7,8 +7,9 @@ from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-VERDICT = "valid boolean, line int"
+VERDICT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("line", T.IntegerType())])
 
 
 @F.pandas_udf(VERDICT)
