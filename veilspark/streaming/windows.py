@@ -15,7 +15,7 @@ from veilspark.operators import replace, spans
 
 
 def with_watermark(stream: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    return stream.withWatermark(ts, delay)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
 def tumbling(rows: DataFrame, size: str, ts: str = "ts") -> DataFrame:
