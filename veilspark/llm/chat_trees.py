@@ -52,20 +52,25 @@ def best_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     """(tree, leaf, branch, node, depth): the messages of the chosen paths; branch is the rank from 1."""
     own = messages.select("tree", "node", "parent", "score")
     first = own.alias("a").join(own.select("tree", "node").alias("b"), _at("a", "b", "parent", "node"), "left")
-    jumps = [checkpointed(first.select("a.tree", "a.node", F.col("b.node").alias("up"), F.col("a.score").cast("double").alias("sum"), F.lit(1).cast("long").alias("steps")))]
-    most = jumps[0].count()
-    while jumps[-1].where("up IS NOT NULL").limit(1).count() and 2 ** len(jumps) <= 2 * most:
-        last = jumps[-1]
-        wider = last.alias("a").join(last.alias("b"), _at("a", "b", "up", "node"), "left")
-        jumps.append(checkpointed(wider.select("a.tree", "a.node", "b.up", (F.col("a.sum") + F.coalesce("b.sum", F.lit(0.0))).alias("sum"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"))))
-    reached = jumps[-1].where("up IS NULL").select("tree", "node", "sum", F.col("steps").alias("depth"))
-    parents = jumps[0].where("up IS NOT NULL").select("tree", "up").distinct()
+    first = checkpointed(first.select("a.tree", "a.node", F.col("b.node").alias("up"), F.col("a.score").cast("double").alias("sum"), F.lit(1).cast("long").alias("steps")))
+    jumps, reached = [first.where("up IS NOT NULL")], first.where("up IS NULL").drop("up")
+    most = first.count()
+    while 2 ** len(jumps) <= 2 * most and not jumps[-1].isEmpty():
+        far = jumps[-1]  # of exactly 2^k steps; those that reach a message without such a jump are done
+        wider = far.alias("a").join(far.alias("b"), _at("a", "b", "up", "node"), "left")
+        wider = checkpointed(wider.select("a.tree", "a.node", F.col("a.up").alias("by"), "b.up", "a.sum", "a.steps", F.col("b.sum").alias("more"), F.col("b.steps").alias("on")))
+        jumps.append(wider.where("up IS NOT NULL").select("tree", "node", "up", (F.col("sum") + F.col("more")).alias("sum"), (F.col("steps") + F.col("on")).alias("steps")))
+        last = wider.where("up IS NULL").alias("a").join(reached.alias("b"), _at("a", "b", "by", "node"))
+        last = checkpointed(last.select("a.tree", "a.node", (F.col("a.sum") + F.col("b.sum")).alias("sum"), (F.col("a.steps") + F.col("b.steps")).alias("steps")))
+        reached = reached.unionByName(last)
+    reached = reached.withColumnRenamed("steps", "depth")
+    parents = jumps[0].select("tree", "up").distinct()
     leaves = reached.alias("a").join(parents.alias("b"), _at("a", "b", "node", "up"), "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy((F.col("sum") / F.col("depth")).desc(), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= top_k)
     paths = checkpointed(chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", "depth"))
     for k in range(len(jumps) - 1, -1, -1):
-        more = paths.alias("a").join(jumps[k].where("up IS NOT NULL").alias("b"), _at("a", "b", "node", "node"))
+        more = paths.alias("a").join(jumps[k].alias("b"), _at("a", "b", "node", "node"))
         paths = checkpointed(paths.unionByName(more.select("a.tree", "a.leaf", "a.branch", F.col("b.up").alias("node"), (F.col("a.depth") - 2**k).alias("depth"))))
     return paths
 
