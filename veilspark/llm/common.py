@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python task holds as Python objects at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +56,27 @@ def text_of(column) -> "F.Column":
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def small_slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Row ranges of the batch with about CHUNK_CHARS of text, or one longer row, each."""
+def small_slices(batch: pa.RecordBatch, text: int, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Row ranges of the batch with at most so much text, or one longer row, each."""
     from_row, chars = 0, 0
     for i, n in enumerate(pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()):
-        if i > from_row and chars + n > CHUNK_CHARS:
+        if i > from_row and chars + n > most:
             yield batch.slice(from_row, i - from_row)
             from_row, chars = i, 0
         chars += n
     if from_row < batch.num_rows:
         yield batch.slice(from_row)
+
+
+def released(run: Callable) -> Callable:
+    """A task function that gives its freed memory back at the end: Spark keeps Python workers for later tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, text_of
+from .common import released, small_slices, text_of
 
 #: Fixed phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -189,4 +189,4 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], [id_col, "n_words", "found"])
 
     rows = docs.select(F.col(id_col), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words bigint, found {FOUND}")
+    return rows.mapInArrow(released(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words bigint, found {FOUND}")

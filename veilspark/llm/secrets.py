@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, text_of
+from .common import released, small_slices, text_of
 
 #: Fixed rules: kind, expression, the group whose length counts, the least length.
 RULES = (
@@ -88,7 +88,7 @@ def count_labelled(samples: DataFrame, value: str = "value", label: str = "label
         yield _count_rows(totals)
 
     rows = samples.select(F.col(value).cast("string"), F.col(label).cast("int")).dropna()
-    return rows.mapInArrow(run, COUNTED).groupBy("label", "pair").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(released(run), COUNTED).groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
 def count_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -113,7 +113,7 @@ def count_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         totals[k] += pair_counts(own)
         yield _count_rows(totals)
 
-    return docs.select(text_of(text_col)).mapInArrow(run, COUNTED).groupBy("label", "pair").agg(F.sum("n").alias("n"))
+    return docs.select(text_of(text_col)).mapInArrow(released(run), COUNTED).groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: DataFrame, prior: float = 1.0, strength: float = 200.0) -> np.ndarray:
@@ -161,4 +161,4 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column(0), spans], [id_col, "spans"])
 
     rows = docs.select(F.col(id_col), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans {SPANS}")
+    return rows.mapInArrow(released(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, spans {SPANS}")
