@@ -1,6 +1,6 @@
 """Byte-level BPE by a pair occurrence index, and decoding.
 
-A task takes texts until it holds ROUND_CHARS characters, cuts them to pieces that no merge crosses,
+A task takes about ROUND_CHARS bytes of texts at a time, cuts them to pieces that no merge crosses,
 and keeps each distinct piece once. All symbols of the distinct pieces lie in one array with links to
 their neighbours. An index maps every pair that some merge joins to its places; the active ranks are
 applied in ascending order, each to all its places at once, and only the lists of pairs next to a
@@ -20,23 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_slices, text_of
+from .common import released, small_slices, text_of
 
-ROUND_CHARS = 24_000_000
+ROUND_CHARS = 8_000_000
 #: Tokens put together at a time.
-OUT_TOKENS = 2_000_000
+OUT_TOKENS = 400_000
 NEVER = np.iinfo(np.int32).max
 
 #: Unicode white space, as a class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The byte-level pre-tokenizer's expression (a fixed format of the vocabulary).
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
-#: Texts without it can be cut before every blank and around every line feed.
-UNEVEN = r"[ \n][ \n]|[^\S \n]|\0"
+#: Texts with none of these can be cut before every blank and around every line feed: runs of white space, other white space, the mark.
+MARK = "\x01"
+UNEVEN = r"[ \n][ \n]|[\x{0}\x{1}\t\r\x{b}\x{c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts without it can also be cut before a full stop or comma that ends a word.
+AFTER_MARK = r"[^\pL\pN][.,][ \n]"
 
 
 def byte_characters() -> list[str]:
@@ -154,24 +158,44 @@ def merged(vocabulary: Vocabulary, pieces: list[bytes | int]) -> tuple[np.ndarra
     return symbols[alive], np.add.reduceat(alive.astype(np.int64), firsts)
 
 
+def parted(texts: pa.StringArray) -> tuple[pa.Array, np.ndarray]:
+    """All texts' parts, one after another, and how many each text has; no piece crosses from part to part.
+
+    Texts of even white space are cut in Arrow; the others are one part each.
+    """
+    uneven = pc.match_substring_regex(texts, UNEVEN)
+    cut = texts.filter(pc.invert(uneven))
+    stops = pc.replace_substring_regex(cut, r"([.,][ \n])", MARK + r"\1")
+    cut = pc.if_else(pc.match_substring_regex(cut, AFTER_MARK), cut, stops)
+    cut = pc.replace_substring(pc.replace_substring(cut, " ", MARK + " "), "\n", f"{MARK}\n{MARK}")
+    lists = pc.split_pattern(cut, MARK)
+    whole = texts.filter(uneven)
+    if not len(whole):
+        return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    # Put the two kinds back in the texts' order.
+    parts = pa.concat_arrays([lists.flatten(), whole])
+    odd = uneven.to_numpy(zero_copy_only=False)
+    n = np.ones(len(texts), np.int64)
+    n[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    start = np.empty(len(texts), np.int64)
+    start[~odd] = np.cumsum(n[~odd]) - n[~odd]
+    start[odd] = n[~odd].sum() + np.arange(odd.sum())
+    order = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return parts.take(pa.array(order)), n
+
+
 class Round:
     """Texts of one round: each as the numbers of its distinct parts."""
 
-    def __init__(self):
-        self.numbers: dict[str, int] = {}
-        self.texts: list[np.ndarray] = []
-        self.chars = 0
-        self.uneven = re.compile(UNEVEN)
-
-    def add(self, text: str) -> None:
-        parts = [text] if self.uneven.search(text) else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        numbers = self.numbers
-        self.texts.append(np.fromiter((numbers.setdefault(p, len(numbers)) for p in parts), np.int32, len(parts)))
-        self.chars += len(text)
+    def __init__(self, texts: pa.StringArray):
+        parts, n = parted(texts)
+        coded = parts.dictionary_encode()
+        self.distinct: list[str] = coded.dictionary.to_pylist()
+        self.texts = np.split(coded.indices.to_numpy(), np.cumsum(n)[:-1])
 
     def ids(self, encode) -> Iterator[list[np.ndarray]]:
         """The ids of each text, a list of texts at a time. encode: distinct parts to ids and their numbers."""
-        flat, sizes = encode(list(self.numbers))
+        flat, sizes = encode(self.distinct)
         starts = np.cumsum(sizes) - sizes
         at = 0
         while at < len(self.texts):
@@ -181,7 +205,9 @@ class Round:
                 to += 1
             parts = np.concatenate(self.texts[at:to])
             n = sizes[parts]
-            ids = flat[np.repeat(starts[parts] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            places = np.repeat((starts[parts] - (np.cumsum(n) - n)).astype(np.int32), n)
+            places += np.arange(len(places), dtype=np.int32)
+            ids = flat[places]
             ends = np.cumsum([sizes[t].sum() for t in self.texts[at:to]])
             yield np.split(ids, ends[:-1])
             at = to
@@ -203,19 +229,11 @@ def by_index(vocabulary: Vocabulary):
     return encode
 
 
-def rounds(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[Round, list[pa.RecordBatch]]]:
-    """Rounds of texts, with the rows that they came from."""
-    held, now = [], Round()
+def rounds(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[Round, pa.RecordBatch]]:
+    """Rounds of texts, with the other columns of their rows."""
     for b in batches:
-        for part in small_slices(b, text):
-            for t in part.column(text).to_pylist():
-                now.add(t)
-            held.append(part.select([i for i in range(part.num_columns) if i != text]))
-            if now.chars >= ROUND_CHARS:
-                yield now, held
-                held, now = [], Round()
-    if held:
-        yield now, held
+        for part in small_slices(b, text, ROUND_CHARS):
+            yield Round(part.column(text)), part.select([i for i in range(part.num_columns) if i != text])
 
 
 def encode_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -225,9 +243,8 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(shared.value)
-        for now, held in rounds(batches, 0):
-            rows = pa.Table.from_batches(held).combine_chunks()
-            columns, at = [c.combine_chunks() for c in rows.columns], 0
+        for now, rows in rounds(batches, 0):
+            columns, at = rows.columns, 0
             for texts in now.ids(by_index(vocabulary)):
                 ends = np.cumsum([0, *map(len, texts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(texts).astype(np.int32)))
@@ -237,4 +254,4 @@ def encode_documents(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id
 
     rows = docs.select(text_of(text_col).alias("t"), *[F.col(c) for c in names])
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
+    return rows.mapInArrow(released(run), f"{kinds}, ids array<int>, decoded string")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +30,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import bpe
-from .common import text_of
+from .common import released, text_of
 
 MAGIC = b"rans-1\0\0"
 PRECISION, LOW = 20, 1 << 31
-BLOCK_TOKENS, LANES, CHECKPOINT = 32_768, 16, 512
-SECTION_TOKENS = 3_000_000
+BLOCK_TOKENS, LANES, CHECKPOINT = 65_536, 128, 256
+SECTION_TOKENS = 1_200_000
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols that occur and their shares of 2^PRECISION, at least 1 each."""
-    symbols, n = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    n = counts[symbols]
     share = np.maximum(1, (n * ((1 << PRECISION) / max(1, n.sum()))).astype(np.int64))
     over = int(share.sum()) - (1 << PRECISION)
     while over > 0:  # the small ones were raised to 1; the large ones give way
@@ -66,8 +69,10 @@ def encode_section(ids: np.ndarray) -> bytes:
     symbols, share = frequencies(ids)
     blocks, steps, width = _grid(n)
     start = np.cumsum(share, dtype=np.uint64) - share
-    padded = np.full(blocks * steps * LANES, -1, np.int64)
-    padded[:n] = np.searchsorted(symbols, ids)
+    padded = np.full(blocks * steps * LANES, -1, np.int32)
+    place = np.zeros(int(symbols[-1]) + 1 if n else 1, np.int32)
+    place[symbols] = np.arange(len(symbols))
+    padded[:n] = place[ids]
     grid = padded.reshape(blocks, steps, LANES).transpose(1, 0, 2).reshape(steps, width) if n else padded.reshape(0, 0)
     freq64, top = share.astype(np.uint64), share.astype(np.uint64) << np.uint64(63 - PRECISION)
     state = np.full(width, LOW, np.uint64)
@@ -167,18 +172,26 @@ def decode_section(data: bytes) -> np.ndarray:
 
 
 def _by_library(tokenizer_json: str):
-    """Encodes distinct parts with the tokenizers library."""
+    """Encodes distinct parts with the tokenizers library: words by its model, all else by the whole tokenizer."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.no_truncation(), tokenizer.no_padding()
+    chars = bpe.byte_characters()
+
+    def ids_of(parts: list[str]) -> Iterator[list[int]]:
+        mixed = [p for p in parts if not (p[1:] if p[:1] == " " else p).isalpha()]
+        whole = dict(zip(mixed, tokenizer.encode_batch_fast(mixed, add_special_tokens=False)))
+        tokenize = tokenizer.model.tokenize
+        for p in parts:
+            yield whole[p].ids if p in whole else [t.id for t in tokenize("".join(map(chars.__getitem__, p.encode())))]
 
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes = [np.zeros(0, np.int64)], []
-        for at in range(0, len(parts), 50_000):
-            for e in tokenizer.encode_batch_fast(parts[at : at + 50_000], add_special_tokens=False):
-                flat.append(np.array(e.ids, np.int64))
-                sizes.append(len(e.ids))
+        flat, sizes = [np.zeros(0, np.int32)], []
+        for at in range(0, len(parts), 10_000):
+            ids = list(ids_of(parts[at : at + 10_000]))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
+            sizes += map(len, ids)
         return np.concatenate(flat), np.array(sizes, np.int64)
 
     return encode
@@ -201,11 +214,11 @@ def write_files(docs: DataFrame, tokenizer_json: str, path: str, id_col: str = "
             return pa.record_batch(row)
 
         for now, rows in bpe.rounds(batches, 1):
-            column = pa.Table.from_batches(rows).combine_chunks().column(0).combine_chunks()
+            column = rows.column(0)
             at, tokens = 0, 0
             for texts in now.ids(encode):
                 for t in texts:
-                    held.append(np.append(t, end_id))
+                    held.append(np.append(t, np.int32(end_id)))
                     tokens += len(t) + 1
                 keys.append(column.slice(at, len(texts)))
                 at += len(texts)
@@ -215,7 +228,7 @@ def write_files(docs: DataFrame, tokenizer_json: str, path: str, id_col: str = "
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"), F.xxhash64(text_of(text_col)).alias("h"))
     sorted_rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t")
-    sorted_rows.mapInArrow(run, f"part int, section int, start bigint, docs array<{kind}>, lengths array<bigint>, data binary").write.option("compression", "none").parquet(path)
+    sorted_rows.mapInArrow(released(run), f"part int, section int, start bigint, docs array<{kind}>, lengths array<bigint>, data binary").write.option("compression", "none").parquet(path)
 
 
 def read_documents(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -238,7 +251,7 @@ def read_documents(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     [id_col, "part", "start_in_part", "ids"],
                 )
 
-    return files.select("part", "start", "docs", "lengths", "data").mapInArrow(run, f"`{id_col}` {kind}, part int, start_in_part bigint, ids binary")
+    return files.select("part", "start", "docs", "lengths", "data").mapInArrow(released(run), f"`{id_col}` {kind}, part int, start_in_part bigint, ids binary")
 
 
 def part_starts(files: DataFrame) -> DataFrame:
