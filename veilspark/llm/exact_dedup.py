@@ -93,7 +93,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = facts.select("rid", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
     told = facts.select("id", "rid", "sha").join(identities(_block_names(whole, rows, by_hash, hashed, tied)), "rid")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    groups = told.groupBy("depth", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join below is between plain shuffles, of which Spark splits a hot group's.
+    groups = stored(told.groupBy("depth", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")))
     return told.join(groups, ["depth", "name"]).select(
         F.col("id").alias(id_col),
         F.col("first.id").alias("keep_id"),

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_of
+from .common import free_name, stored, text_of
 
 WINDOW = 3
 
@@ -56,15 +56,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.xxhash64(text_of(text_col))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), _lines(text_of(text_col)).alias("lines"))
     places = rows.select("id", "key", F.explode(_windows(F.col("lines"))).alias("w")).select("w.w1", "w.w2", F.struct(F.col("id").isNull().alias("last"), "id", "key", "w.pos").alias("place"))
-    repeated = places.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("other")).where("first <> other").drop("other")
+    # Written, so that the join below is between plain shuffles, of which Spark splits a hot window's.
+    repeated = stored(places.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("other")).where("first <> other").drop("other"))
     later = places.join(repeated, ["w1", "w2"]).where("place <> first").select(F.col("place.id").alias("_id"), F.col("place.key").alias("_key"), F.col("place.pos").alias("pos"))
     starts = later.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_starts"))
     held = free_name(docs, "held_row")
     joined = docs.select(F.struct(*docs.columns).alias(held), F.col(id_col).alias("_a"), key.alias("_b")).join(starts, F.col("_a").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_key")), "left")
     text = F.col(held)[text_col]
-    lines = _lines(F.coalesce(text, F.lit("")))
-    kept = _kept_lines(lines, F.col("_starts"))
-    done = joined.select(held, "_starts", F.when(F.col("_starts").isNotNull(), kept).alias("_kept"), F.size(lines).alias("_n"))
+    done = joined.select(held, "_starts", _lines(F.coalesce(text, F.lit(""))).alias("_lines"))
+    kept = _kept_lines(F.col("_lines"), F.col("_starts"))
+    done = done.select(held, "_starts", F.when(F.col("_starts").isNotNull(), kept).alias("_kept"), F.size("_lines").alias("_n"))
     out = {c: F.col(held)[c] for c in docs.columns} | {text_col: F.when(F.col("_starts").isNull(), text).otherwise(F.array_join("_kept", "\n"))}
     gone = F.when(F.col("_starts").isNull(), 0).otherwise(F.col("_n") - F.size("_kept"))
     return done.select(*[c.alias(n) for n, c in out.items()], F.col("_n").cast("long").alias(n_lines), gone.cast("long").alias(n_removed))
