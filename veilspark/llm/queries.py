@@ -139,4 +139,35 @@ ORACLES = {
         select l.doc_id, count(*) as n_lines, count(gone.pos) as n_removed,
           sha256(coalesce(string_agg(line, chr(10) order by l.pos) filter (gone.pos is null), '')) as text_sha256
         from l left join gone on l.doc_id = gone.doc_id and l.pos = gone.pos group by l.doc_id""",
+    "op8_mixing": r"""
+        with recursive d as (
+          select doc_id, coalesce(source, '') as s, coalesce(lang, '') as l, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n,
+            case when contains(text, 'icense') or contains(text, 'ICENSE') then 'legal' when contains(text, '@') or contains(text, '://') then 'web'
+              when len(regexp_extract_all(text, '[0-9]')) * 200 > length(text) then 'data' else 'prose' end as t from documents),
+        c as (select s, l, t, sum(n)::double as n from d group by all having sum(n) > 0),
+        ts as (select s, pow(sum(n), 0.9) / sum(pow(sum(n), 0.9)) over () as a from c group by s),
+        tl as (select l, pow(sum(n), 0.9) / sum(pow(sum(n), 0.9)) over () as b from c group by l),
+        tt as (select t, pow(sum(n), 0.9) / sum(pow(sum(n), 0.9)) over () as g from c group by t),
+        r as (
+          select s, l, t, n, a, b, g, n as w, 0 as it from c join ts using (s) join tl using (l) join tt using (t)
+          union all
+          select s, l, t, n, a, b, g, w2 * g / sum(w2) over (partition by t), it + 1 from (
+            select *, w1 * b / sum(w1) over (partition by l) as w2 from (select *, w * a / sum(w) over (partition by s) as w1 from r)) where it < 80),
+        p as (select s, l, t, w / n / max(w / n) over () as p from r where it = 80)
+        select doc_id, n as n_tokens, round(case when n > 0 then coalesce(p, 0) else 0 end, 6) as probability,
+          cast('0x' || substr(md5('1:' || doc_id), 1, 13) as bigint)::double / 4503599627370496 < case when n > 0 then coalesce(p, 0) else 0 end as kept
+        from d left join p using (s, l, t)""",
+    "op10_near_dedup": r"""
+        with recursive w as (
+          select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as x from documents),
+        s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(x) = 0 then [] when len(x) < 4 then [array_to_string(x, ' ')]
+          else list_transform(range(1, len(x) - 2), lambda i: array_to_string(x[i:i + 3], ' ')) end) as sh from w)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        both_ways as (select a, b from e union all select b, a from e),
+        reach as (select a as x, b as y from both_ways union select r.x, z.b from reach r join both_ways z on r.y = z.a),
+        m as (select x as doc_id, min(y) as y from reach group by x)
+        select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(m.y, doc_id)) as component_id, doc_id <= coalesce(m.y, doc_id) as kept
+        from documents left join n using (doc_id) left join m using (doc_id)""",
 }
