@@ -7,8 +7,8 @@ one. So each chunk is indexed once for each place that may be wrong, by its othe
 within that distance is missed. (A pair of similarity 0.8 shares no key with probability 1e-7.)
 
 Documents with equal sets (128-bit digest of the full set) are one class, and only classes are joined.
-No key's members are all paired. First each member meets its key's least member; the links that the
-full sets confirm are contracted to components. Then, for keys whose members still lie in several
+No key's members are all paired. In a few turns each member meets the most alike leader of its keys; the
+links that the full sets confirm are contracted to components. Then, for keys whose members still lie in several
 components, the members outside the key's largest component meet the others; a pair inside one
 component can add nothing. The sizes of the sets, and sketches of 60 bits (beyond 24 differing bits a
 pair of similarity 0.8 has probability 1e-9), drop pairs inside the join; the rest is confirmed on full
@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_slices, stored, text_of
+from .common import checkpointed, released, small_slices, stored, text_of
 
 CHUNKS, PER_CHUNK, B_BITS = 12, 5, 14
 PLACES = CHUNKS * PER_CHUNK
 SKETCH_MOST = 24
 #: Rows of (id, text hash) that are broadcast to fetch candidates' texts; more are joined by shuffle.
 FETCH_BOUND = 200_000
+#: Turns in which members meet their keys' leaders before the rest is compared.
+STAR_TURNS = 3
 #: Distinct words whose hashes a task keeps.
 WORDS_HELD = 300_000
 
@@ -98,7 +100,7 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, th, n, digest, sketch, keys): th is a hash of the text, n the size of the set."""
+    """(id, th, n, digest, sketch, keys, left): th is a hash of the text, n the size of the set, left the value that each key leaves out."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
 
@@ -111,14 +113,15 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
                 sets = []
                 for t in part.column(2).cast(pa.binary()).to_pylist():
                     words = words_of(t)
-                    for w in set(words) - known.keys():
-                        known[w] = xxhash.xxh64_intdigest(w)
+                    for w in set(words):
+                        if w not in known:
+                            known[w] = xxhash.xxh64_intdigest(w)
                     sets.append(shingle_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), size))
                 n = np.array([len(s) for s in sets], np.int64)
-                keys, sketch = np.zeros((len(sets), PLACES), np.int64), np.zeros(len(sets), np.int64)
+                keys, left, sketch = np.zeros((len(sets), PLACES), np.int64), np.zeros((len(sets), PLACES), np.int16), np.zeros(len(sets), np.int64)
                 if len(full := np.flatnonzero(n)):
                     signature = signatures(np.concatenate(sets), (np.cumsum(n) - n)[full])
-                    keys[full] = index_keys(signature)
+                    keys[full], left[full] = index_keys(signature), signature
                     sketch[full] = ((signature & 1) << np.arange(PLACES)).sum(axis=1)
                 offsets = np.cumsum([0, *np.where(n > 0, PLACES, 0)]).astype(np.int32)
                 yield pa.record_batch(
@@ -129,23 +132,26 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
                         "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         "sketch": sketch,
                         "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel())),
+                        "left": pa.ListArray.from_arrays(pa.array(offsets), pa.array(left[n > 0].ravel())),
                     }
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, th bigint, n bigint, digest binary, sketch bigint, keys array<bigint>")
+    return rows.mapInArrow(released(run), f"id {kind}, th bigint, n bigint, digest binary, sketch bigint, keys array<bigint>, left array<smallint>")
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of row numbers whose full sets are similar. rows: (rid, id, th)."""
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(rows, "rid")
-    wanted = checkpointed(wanted.select("rid", F.col("id").alias("_id"), F.col("th").alias("_th")))
+def fetched(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, t): the texts of rows (rid, id, th), read again."""
+    wanted = checkpointed(rows.select("rid", F.col("id").alias("_id"), F.col("th").alias("_th")))
     if wanted.count() <= FETCH_BOUND:
         wanted = F.broadcast(wanted)
     text = text_of(text_col)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    texts = stored(texts.dropDuplicates(["rid"]).select("rid", "t"))
+    return stored(texts.dropDuplicates(["rid"]).select("rid", "t"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose full sets are similar."""
     both = pairs.join(texts.select(F.col("rid").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("rid").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +167,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, t
                     alike.append(100 * common >= percent * (len(own) + len(held) - common))
                 yield part.select([0, 1]).filter(pa.array(alike, pa.bool_()))
 
-    return checkpointed(both.mapInArrow(run, "a bigint, b bigint"))
+    return checkpointed(both.mapInArrow(released(run), "a bigint, b bigint"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,43 +193,64 @@ def _near(x: str, y: str, percent: int):
     return sizes & (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= SKETCH_MOST)
 
 
+def _star(now: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each member with the most alike of its keys' leaders that lies in another component.
+
+    A key's leader is its least member at first, and the least by a hash at each later turn; a member has one
+    pair a turn, so a group's pairs grow as its members.
+    """
+    rank = F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))
+    leaders = now.groupBy("key").agg(F.min_by(F.struct("rid", "n", "sketch", "comp"), rank).alias("l"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "l.*")
+    met = now.alias("x").join(leaders.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
+    apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+    best = met.groupBy(F.col("x.rid").alias("a")).agg(F.min(F.struct(apart.alias("d"), F.col("y.rid").alias("b"))).alias("best"))
+    return checkpointed(best.select("a", "best.b"))
+
+
+def _open_keys(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of keys that still have several components, with their own and the key's largest component."""
+    now = shared.drop("main").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
+    sums = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
+    main = sums.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
+    return now.join(main, "key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """A row for each document: id, n_shingles, component_id, kept, text_hash."""
     if percent < 80:
         raise ValueError("the index is laid out for similarities of 80 per cent or more")
     told = stored(described(docs, id_col, text_col, size).withColumn("rid", F.monotonically_increasing_id()))
-    rows = told.select("rid", "id", "th")
     classes = told.where("n > 0").groupBy("digest").agg(F.min("rid").alias("class"))
     member = stored(told.select("rid", "digest").join(classes, "digest", "left").select("rid", F.coalesce("class", "rid").alias("class")))
     chosen = member.where("rid = class").select("rid")
     classed = told.where("n > 0").join(chosen, "rid")
-    keys = classed.select("rid", F.explode("keys").alias("key"))
+    keys = classed.select("rid", F.explode(F.arrays_zip("keys", "left")).alias("k")).select("rid", F.col("k.keys").alias("key"), F.col("k.left").alias("left"))
     least = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("other")).where("leader <> other").drop("other")
     facts = classed.select("rid", "n", "sketch")
     shared = stored(keys.join(least, "key").join(facts, "rid"))
 
-    leaders = facts.select(*[F.col(c).alias(c if c != "rid" else "leader") for c in facts.columns])
-    first = shared.where("rid <> leader").select("rid", "leader", "n", "sketch").distinct()
-    first = first.alias("x").join(leaders.alias("y"), F.col("x.leader") == F.col("y.leader")).where(_near("x", "y", percent))
-    first = checkpointed(first.select(F.col("x.rid").alias("a"), F.col("x.leader").alias("b")))
-    links = confirmed(first, rows, docs, id_col, text_col, size, percent)
-    roots = components(links)
+    texts = fetched(shared.select("rid").distinct().join(told.select("rid", "id", "th"), "rid"), docs, id_col, text_col)
+    now, links, roots = shared.withColumn("comp", F.col("rid")), None, None
+    for turn in range(STAR_TURNS):
+        found = confirmed(_star(now, turn, percent), texts, size, percent)
+        links = found if links is None else checkpointed(links.unionByName(found))
+        roots = components(links)
+        now = stored(_open_keys(now.drop("comp"), roots))
 
-    now = shared.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "n", "sketch", F.coalesce("root", "rid").alias("comp"))
-    sums = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
-    main = sums.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
-    now = checkpointed(now.join(main, "key"))
     x, y = now.where("comp <> main").alias("x"), now.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
-    rest = x.join(y, apart & _near("x", "y", percent)).select(F.greatest("x.rid", "y.rid").alias("a"), F.least("x.rid", "y.rid").alias("b")).distinct()
-    more = confirmed(rest.join(first, ["a", "b"], "left_anti"), rows, docs, id_col, text_col, size, percent)
+    # Two that agree in a whole chunk share all of its keys: one of them is enough.
+    once = (F.shiftright("x.key", B_BITS * (PER_CHUNK - 1)) % PER_CHUNK == 0) | (F.col("x.left") != F.col("y.left"))
+    rest = x.join(y, apart & once & _near("x", "y", percent)).select(F.greatest("x.rid", "y.rid").alias("a"), F.least("x.rid", "y.rid").alias("b")).distinct()
+    more = confirmed(rest, texts, size, percent)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
     placed = member.join(roots.withColumnRenamed("node", "class"), "class", "left").select("rid", F.coalesce("root", "class").alias("comp"))
     placed = told.select("rid", "id", "th", "n").join(placed, "rid")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    groups = placed.groupBy("comp").agg(F.min(order).alias("first"))
+    # Written, so that the join below is between plain shuffles, of which Spark splits a hot group's.
+    groups = stored(placed.groupBy("comp").agg(F.min(order).alias("first")))
     return placed.join(groups, "comp").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
