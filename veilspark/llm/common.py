@@ -68,6 +68,13 @@ def small_slices(batch: pa.RecordBatch, text: int, most: int = CHUNK_CHARS) -> I
         yield batch.slice(from_row)
 
 
+def trim() -> None:
+    """Gives freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def released(run: Callable) -> Callable:
     """A task function that gives its freed memory back at the end: Spark keeps Python workers for later tasks."""
 
@@ -75,8 +82,6 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            trim()
 
     return wrapped
