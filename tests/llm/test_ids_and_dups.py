@@ -176,7 +176,7 @@ def test_pipeline_stages(spark, tmp_path):
     want = brute_components([(i, r.text) for i, r in out["line_dedup"].items()], 5)
     assert set(out["near_dedup"]) == {i for i, (_, c) in want.items() if i == c}
     assert all(r.n_chars == len(r.text) for r in out["line_dedup"].values())
-    draws = mixing.mix_documents(stored(spark.createDataFrame(list(out["near_dedup"].values()), DOCS))).where("mix_kept")
+    draws = mixing.mix_documents(stored(spark.createDataFrame(list(out["near_dedup"].values()), DOCS)), alpha=corpus_pipeline.MIX_ALPHA).where("mix_kept")
     assert {r.doc_id for r in draws.collect()} == set(out["source_mix"])
     tok = reference()
     for i, r in out["token_ids"].items():
