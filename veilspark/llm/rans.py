@@ -17,6 +17,7 @@ come first. Empty documents have their end id only. Empty tables give no file.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -173,6 +174,7 @@ def decode_section(data: bytes) -> np.ndarray:
 
 def _by_library(tokenizer_json: str):
     """Encodes distinct parts with the tokenizers library: words by its model, all else by the whole tokenizer."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core; more threads cost memory only
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
