@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from veilspark.llm import kneser_ney as kn
 from veilspark.llm import licenses, line_dedup, mixing, quality, queries, secrets
 
@@ -201,6 +202,29 @@ def test_repeated_rows_are_one_document_to_line_dedup(spark):
     assert [r.text for r in done] == ["a\nb\nc"] * 2
 
 
+def clauses(rng, n):
+    return " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 99)}" + ("," if k % 7 == 6 else "." if k % 17 == 16 else "") for k in range(n))
+
+
+def test_passages_inside_lines_go_from_later_places(spark):
+    rng = random.Random(12)
+    passage = clauses(rng, 50)
+    inner = passage[passage.index(",") + 2 : passage.rindex(",") + 2]
+    own = [clauses(rng, 60) for _ in range(4)]
+    rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]} {passage} {own[3]}"), (3, None), (4, "")]
+    rows += [(i, f"{clauses(rng, 70)} yes, no, well, {clauses(rng, 30)}\n\nend.\t x") for i in range(10, 60)]
+    df = docs(spark, rows).withColumn("n_cut", F.lit("clash"))
+    done = line_dedup.dedup_passages(df)
+    assert done.columns == [*df.columns, "_n_cut"]
+    got = {r.doc_id: r for r in done.collect()}
+    assert got[2].text == rows[1][1].replace(inner, "") and got[2]._n_cut == len(inner) and len(inner.split()) > 30
+    assert all(got[i].text == t and got[i]._n_cut == 0 for i, t in rows if i != 2)
+    lines = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert inner in lines[2]  # three whole lines do not see it
+    kept = {r.doc_id: r for r in corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()}
+    assert inner in kept[1].text and inner not in kept[2].text and kept[2].n_chars == len(kept[2].text)
+
+
 def brute_mix(rows, alpha, seed, sweeps=400):
     cells = defaultdict(float)
     for _, dims, n in rows:
