@@ -86,6 +86,22 @@ def test_licenses_against_word_positions(spark, tmp_path):
     assert len(licenses.signatures()) >= 200
 
 
+def test_license_keywords_are_in_all_that_a_signature_matches():
+    rules = licenses.signatures()
+    gated = licenses.by_keyword(rules)
+    around = ("spdx license identifier {} {}", "{} licence version {}", "{} v {}", "{} license v {}", "released under the {} license", "governed by the {} license", "the {} licence")
+    for label, names, *_, versions in licenses.FAMILIES:
+        for name in names.split("|"):
+            for form in around:
+                if versions or "{} {}" not in form and " v" not in form:
+                    words = licenses.words_of(form.format(name, versions.split("|")[0]).encode())
+                    text = b" ".join(words)
+                    want = licenses.suppressed([(m.start(), m.end(), p, la, f) for la, f, p, pattern, _, _ in rules for m in pattern.finditer(text)])
+                    got = [(x["label"], x["rule"]) for x in licenses.scan(words, gated) if x["rule"] != "base"]
+                    assert got == [(x[3], x[4]) for x in want], text
+                    assert any(la.startswith(label) for la, _ in got), text
+
+
 def test_suppression_keeps_the_higher_of_nested_finds():
     found = [(0, 10, 50, "a", "mention"), (2, 8, 90, "b", "title"), (0, 30, 80, "c", "grant"), (40, 50, 50, "d", "mention"), (45, 60, 50, "e", "mention")]
     assert [x[3] for x in licenses.suppressed(found)] == ["c", "b", "d", "e"]

@@ -1,8 +1,9 @@
 """License scan by ordered signature rules.
 
 Texts are reduced to lower-case words. Signature rules are regular expressions over the words, built
-from families (names, versions) and forms (tag, grant, title, mention); each has a priority, and two
-keywords that must be among the text's words before the expression is tried. Of the matches, those
+from families (names, versions) and forms (tag, grant, title, mention), one for each name; each has a
+priority, and two keywords, words of every string that it matches: the longest word of the name, and
+a word of the form. Both must be among the text's words before the expression is tried. Of the matches, those
 that lie inside a match of higher priority (then longer, then earlier) are suppressed. The fixed base
 phrases are found by position beside the rules and are never suppressed.
 
@@ -23,64 +24,64 @@ from .common import released, small_slices, text_of
 #: Fixed phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Families: label, names as words (alternatives by |), the word that all names of the family share, versions.
+#: Families: label, names as words (alternatives by |), versions.
 FAMILIES = (
-    ("mit", "mit|expat|mit x11", "mit", ""),
-    ("apache", "apache|apache software|asl", "apache", "1 0|1 1|2|2 0"),
-    ("gpl", "gpl|gnu gpl|gnu general public", "gpl", "1|2|3|1 0|2 0|3 0"),
-    ("gpl", "gnu general public|general public", "general", "1|2|3|1 0|2 0|3 0"),
-    ("lgpl", "lgpl|gnu lgpl", "lgpl", "2|3|2 0|2 1|3 0"),
-    ("lgpl", "gnu lesser general public|gnu library general public|lesser general public", "general", "2|3|2 0|2 1|3 0"),
-    ("agpl", "agpl|gnu agpl", "agpl", "1|3|1 0|3 0"),
-    ("agpl", "gnu affero general public|affero general public", "affero", "1|3|1 0|3 0"),
-    ("gfdl", "gfdl|gnu free documentation|gnu fdl", "gnu", "1 1|1 2|1 3"),
-    ("bsd", "bsd|berkeley software distribution", "bsd", ""),
-    ("bsd-2-clause", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", "clause", ""),
-    ("bsd-3-clause", "bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd", "bsd", ""),
-    ("bsd-4-clause", "bsd 4 clause|4 clause bsd|original bsd", "clause", ""),
-    ("isc", "isc", "isc", ""),
-    ("mpl", "mpl|mozilla public", "mozilla", "1 0|1 1|2 0"),
-    ("mpl", "mpl", "mpl", "1 0|1 1|2 0"),
-    ("epl", "eclipse public", "eclipse", "1 0|2 0"),
-    ("epl", "epl", "epl", "1 0|2 0"),
-    ("cddl", "cddl|common development and distribution", "cddl", "1 0|1 1"),
-    ("cpl", "common public", "common", "1 0"),
-    ("eupl", "eupl|european union public", "eupl", "1 0|1 1|1 2"),
-    ("artistic", "artistic|perl artistic", "artistic", "1 0|2 0"),
-    ("zlib", "zlib|zlib libpng", "zlib", ""),
-    ("boost", "boost|boost software|bsl", "boost", "1 0"),
-    ("unlicense", "unlicense|the unlicense", "unlicense", ""),
-    ("wtfpl", "wtfpl|do what the fuck you want to public", "wtfpl", "1|2"),
-    ("python", "python|python software foundation|psf", "python", "2|2 0"),
-    ("php", "php", "php", "3 0|3 01"),
-    ("ruby", "ruby", "ruby", ""),
-    ("openssl", "openssl", "openssl", ""),
-    ("postgresql", "postgresql", "postgresql", ""),
-    ("ofl", "ofl|sil open font|open font", "font", "1 0|1 1"),
-    ("odbl", "odbl|open database|odc open database", "odbl", "1 0"),
-    ("odc-by", "odc by|open data commons attribution", "odc", "1 0"),
-    ("pddl", "pddl|open data commons public domain dedication", "pddl", "1 0"),
-    ("ms-pl", "ms pl|microsoft public", "microsoft", ""),
-    ("ms-rl", "ms rl|microsoft reciprocal", "microsoft", ""),
-    ("afl", "afl|academic free", "academic", "1 1|1 2|2 0|2 1|3 0"),
-    ("osl", "osl|open software", "osl", "1 0|2 0|2 1|3 0"),
-    ("ncsa", "ncsa|university of illinois ncsa open source", "ncsa", ""),
-    ("sspl", "sspl|server side public", "sspl", "1"),
-    ("busl", "busl|business source", "busl", "1 0|1 1"),
-    ("elastic", "elastic", "elastic", "1|2|2 0"),
-    ("cecill", "cecill|cecill b|cecill c", "cecill", "1 0|1 1|2 0|2 1"),
-    ("upl", "upl|universal permissive", "upl", "1 0"),
-    ("cc0", "cc0|creative commons zero|cc zero", "cc0", "1 0"),
-    ("cc-by", "cc by", "cc", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-sa", "cc by sa", "cc", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc", "cc by nc", "cc", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nd", "cc by nd", "cc", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-sa", "cc by nc sa", "cc", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by", "creative commons attribution", "creative", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-sa", "creative commons attribution sharealike|creative commons attribution share alike", "creative", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial|creative commons attribution non commercial", "creative", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nd", "creative commons attribution noderivs|creative commons attribution no derivatives|creative commons attribution noderivatives", "creative", "1 0|2 0|2 5|3 0|4 0"),
+    ("mit", "mit|expat|mit x11", ""),
+    ("apache", "apache|apache software|asl", "1 0|1 1|2|2 0"),
+    ("gpl", "gpl|gnu gpl|gnu general public", "1|2|3|1 0|2 0|3 0"),
+    ("gpl", "gnu general public|general public", "1|2|3|1 0|2 0|3 0"),
+    ("lgpl", "lgpl|gnu lgpl", "2|3|2 0|2 1|3 0"),
+    ("lgpl", "gnu lesser general public|gnu library general public|lesser general public", "2|3|2 0|2 1|3 0"),
+    ("agpl", "agpl|gnu agpl", "1|3|1 0|3 0"),
+    ("agpl", "gnu affero general public|affero general public", "1|3|1 0|3 0"),
+    ("gfdl", "gfdl|gnu free documentation|gnu fdl", "1 1|1 2|1 3"),
+    ("bsd", "bsd|berkeley software distribution", ""),
+    ("bsd-2-clause", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", ""),
+    ("bsd-3-clause", "bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd", ""),
+    ("bsd-4-clause", "bsd 4 clause|4 clause bsd|original bsd", ""),
+    ("isc", "isc", ""),
+    ("mpl", "mpl|mozilla public", "1 0|1 1|2 0"),
+    ("mpl", "mpl", "1 0|1 1|2 0"),
+    ("epl", "eclipse public", "1 0|2 0"),
+    ("epl", "epl", "1 0|2 0"),
+    ("cddl", "cddl|common development and distribution", "1 0|1 1"),
+    ("cpl", "common public", "1 0"),
+    ("eupl", "eupl|european union public", "1 0|1 1|1 2"),
+    ("artistic", "artistic|perl artistic", "1 0|2 0"),
+    ("zlib", "zlib|zlib libpng", ""),
+    ("boost", "boost|boost software|bsl", "1 0"),
+    ("unlicense", "unlicense|the unlicense", ""),
+    ("wtfpl", "wtfpl|do what the fuck you want to public", "1|2"),
+    ("python", "python|python software foundation|psf", "2|2 0"),
+    ("php", "php", "3 0|3 01"),
+    ("ruby", "ruby", ""),
+    ("openssl", "openssl", ""),
+    ("postgresql", "postgresql", ""),
+    ("ofl", "ofl|sil open font|open font", "1 0|1 1"),
+    ("odbl", "odbl|open database|odc open database", "1 0"),
+    ("odc-by", "odc by|open data commons attribution", "1 0"),
+    ("pddl", "pddl|open data commons public domain dedication", "1 0"),
+    ("ms-pl", "ms pl|microsoft public", ""),
+    ("ms-rl", "ms rl|microsoft reciprocal", ""),
+    ("afl", "afl|academic free", "1 1|1 2|2 0|2 1|3 0"),
+    ("osl", "osl|open software", "1 0|2 0|2 1|3 0"),
+    ("ncsa", "ncsa|university of illinois ncsa open source", ""),
+    ("sspl", "sspl|server side public", "1"),
+    ("busl", "busl|business source", "1 0|1 1"),
+    ("elastic", "elastic", "1|2|2 0"),
+    ("cecill", "cecill|cecill b|cecill c", "1 0|1 1|2 0|2 1"),
+    ("upl", "upl|universal permissive", "1 0"),
+    ("cc0", "cc0|creative commons zero|cc zero", "1 0"),
+    ("cc-by", "cc by", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-sa", "cc by sa", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc", "cc by nc", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nd", "cc by nd", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc-sa", "cc by nc sa", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc-nd", "cc by nc nd", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by", "creative commons attribution", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike|creative commons attribution share alike", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nc", "creative commons attribution noncommercial|creative commons attribution non commercial", "1 0|2 0|2 5|3 0|4 0"),
+    ("cc-by-nd", "creative commons attribution noderivs|creative commons attribution no derivatives|creative commons attribution noderivatives", "1 0|2 0|2 5|3 0|4 0"),
 )
 
 #: Forms: name, priority, the expression around a name N and version V, a word that the form needs.
@@ -88,7 +89,8 @@ FAMILIES = (
 FORMS = (
     ("tag", 100, r"spdx license identifier N(?: V)?(?: only| or later)?", "spdx"),
     ("title", 90, r"N license version V", "license"),
-    ("version", 85, r"N(?: license)? (?:version|v) V", "version"),
+    ("version", 85, r"N(?: license)? version V", "version"),
+    ("version", 85, r"N(?: license)? v V", "v"),
     ("grant", 80, r"(?:licensed|released|distributed|published|available|provided|redistributed|shared) (?:\w+ ){0,3}?under (?:the |a |an )?(?:terms of (?:the )?)?N(?: V)?(?: license)?", "under"),
     ("use", 70, r"(?:subject to|governed by|covered by|in accordance with) (?:the )?(?:terms of (?:the )?)?N(?: V)? license", "license"),
     ("mention", 50, r"(?:the )?N(?: V)? license", "license"),
@@ -117,17 +119,18 @@ def words_of(text: bytes) -> list[bytes]:
 def signatures() -> list[tuple[str, str, int, re.Pattern, bytes, bytes]]:
     """(label, form, priority, expression, keyword, keyword) of all rules, in order of priority."""
     out = []
-    for label, names, keyword, versions in FAMILIES:
+    named = dict.fromkeys((label, name, versions) for label, names, versions in FAMILIES for name in names.split("|"))
+    for label, name, versions in named:
+        keyword = max(name.split(), key=len)
         for form, priority, around, needs in FORMS:
             if "V" in around and not versions:
                 if form in ("title", "version"):
                     continue
-            name = "(?:" + "|".join(sorted(names.split("|"), key=len, reverse=True)) + ")"
             for v in versions.split("|") if form in ("title", "version") else [versions]:
                 version = f"(?:{'|'.join(sorted(v.split('|'), key=len, reverse=True))})" if v else "(?!)"
                 text = around.replace("N", name).replace("V", version).replace("license", "licen[sc]e")
-                named = f"{label}-{v.replace(' ', '.')}" if form in ("title", "version") else label
-                out.append((named, form, priority, re.compile(rf"(?a)(?<![^ ]){text}(?![^ ])".encode()), keyword.encode(), needs.encode()))
+                told = f"{label}-{v.replace(' ', '.')}" if form in ("title", "version") else label
+                out.append((told, form, priority, re.compile(rf"(?a)(?<![^ ]){text}(?![^ ])".encode()), keyword.encode(), needs.encode()))
     for label, priority, text, a, b in PASSAGES:
         out.append((label, "passage", priority, re.compile(rf"(?<![^ ]){text}(?![^ ])".encode()), a.encode(), b.encode()))
     return sorted(out, key=lambda r: -r[2])
