@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,29 +36,90 @@ def plausible_name(value: Column) -> Column:
     return F.length(v).between(2, 100) & v.rlike(r"\p{L}") & ~not_name
 
 
-def json_secrets(df: DataFrame, id_col: str, text_col: str = "text", depth: int = 6) -> DataFrame:
-    """(id, path, key, value, confidence) of strings under suspicious keys, down to a depth; texts that are not JSON have none."""
-    found = None
-    level = df.select(F.col(id_col), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(text_col).alias("v")).where("v is not null")
-    for _ in range(depth):
-        parts = _exploded(level, id_col)
-        named = parts.where("kind = 'string' AND key IS NOT NULL").withColumn("text", F.try_variant_get("v", "$", "string"))
-        exact, like = F.lower("key").isin(*SECRET_KEYS), F.lower("key").rlike(SECRET_PATTERN)
-        hits = named.where((exact | like) & significant(F.col("text"))).select(id_col, "path", "key", F.col("text").alias("value"), F.when(exact, "high").otherwise("medium").alias("confidence"))
-        found = hits if found is None else found.unionByName(hits)
-        level = parts.where("kind = 'nested'").select(id_col, "path", "key", "v")
-    return found
-
-
-def _exploded(level: DataFrame, id_col: str) -> DataFrame:
-    """One level down: (id, path, key, v, kind). The key of an array's elements is the array's."""
-    return level.sparkSession.sql(
-        f"""
-        select `{id_col}`, case when e.key is null then concat(path, '[', e.pos, ']') else concat(path, '.', e.key) end as path, coalesce(e.key, l.key) as key, e.value as v,
-          case when schema_of_variant(e.value) = 'STRING' then 'string' when schema_of_variant(e.value) like 'OBJECT%' or schema_of_variant(e.value) like 'ARRAY%' then 'nested' else 'other' end as kind
-        from {{level}} l, lateral variant_explode(l.v) e""",
-        level=level,
-    )
+class _Pairs(list):
+    """The members of a JSON object, repeated names too."""
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Pairs, strict=False)
+_JSON_START = re.compile(r'\{(?=\s*["}])|\[(?=\s*["{\[\]\-0-9tfn])')
+_BRACKETS = re.compile(r'[{}\[\]]|"(?:[^"\\]|\\.)*"', re.S)
+
+
+def _closed(text: str, start: int) -> bool:
+    """Whether the bracket at start is closed by its like, outside strings."""
+    open_ = []
+    for m in _BRACKETS.finditer(text, start):
+        c = m[0]
+        if c in "{[":
+            open_.append("}" if c == "{" else "]")
+        elif c in "}]":
+            if open_.pop() != c:
+                return False
+            if not open_:
+                return True
+    return False
+
+
+def json_fragments(text: str) -> Iterator[tuple[int, int, object]]:
+    """(start, end, value) of the outermost JSON objects and arrays of a text: a document, lines, parts of log lines."""
+    at = 0
+    while m := _JSON_START.search(text, at):
+        at = m.end()
+        if _closed(text, m.start()):
+            with contextlib.suppress(ValueError, RecursionError):
+                value, at = _DECODER.raw_decode(text, m.start())
+                yield m.start(), at, value
+
+
+def _json_strings(path: str, value: object) -> Iterator[tuple[str, str, str]]:
+    """(path, key, string) of all strings under a key, at any depth. The key of an array's elements is the array's."""
+    todo = [(path, None, value)]
+    while todo:
+        path, key, value = todo.pop()
+        if isinstance(value, str):
+            if key is not None:
+                yield path, key, value
+        elif isinstance(value, _Pairs):
+            todo += [(f"{path}.{k}", k, v) for k, v in value]
+        elif isinstance(value, list):
+            todo += [(f"{path}[{i}]", key, v) for i, v in enumerate(value)]
+
+
+def json_secrets(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, path, key, value, confidence) of strings under suspicious keys, at any depth, in all JSON of a text.
+
+    Paths start with $ where the text is one JSON document, and with $@ and the fragment's place in
+    characters where JSON lies in lines or among other text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [id_col, "path", "key", "text"]
+
+        def batch(ids: pa.Array, rows: list, at: list) -> pa.RecordBatch:
+            found = [pa.array([clean(r[k]) for r in rows], pa.string()) for k in range(3)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *found], names)
+
+        def clean(x: str) -> str:
+            return x.encode("utf-8", "replace").decode()
+
+        for b in batches:
+            rows, at = [], []
+            for i, t in enumerate(b.column(1)):
+                text = t.as_py() or ""
+                for start, end, value in json_fragments(text):
+                    whole = not text[:start].strip() and not text[end:].strip()
+                    for row in _json_strings("$" if whole else f"$@{start}", value):
+                        rows.append(row)
+                        at.append(i)
+                if len(rows) >= 10_000:
+                    yield batch(b.column(0), rows, at)
+                    rows, at = [], []
+            yield batch(b.column(0), rows, at)
+
+    kind = df.schema[id_col].dataType.simpleString()
+    named = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, path string, key string, text string")
+    exact, like = F.lower("key").isin(*SECRET_KEYS), F.lower("key").rlike(SECRET_PATTERN)
+    return named.where((exact | like) & significant(F.col("text"))).select(id_col, "path", "key", F.col("text").alias("value"), F.when(exact, "high").otherwise("medium").alias("confidence"))
 
 
 def _cells(line: Column, sep: Column) -> Column:
