@@ -183,6 +183,36 @@ def test_perplexity_bands_reject_strangers(spark):
     assert quality.judged(docs(spark, [])).count() == 0
 
 
+def test_quality_bounds_are_fitted_on_labels(spark):
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(500):
+        text = prose(rng, 120)
+        if i >= 400:
+            text = " ".join(w + rng.choice(["", "", "#", "*"]) for w in text.split())
+        rows.append((i, text))
+        labels.append((i, int(i < 400)))
+    told = spark.createDataFrame(labels, "doc_id long, quality int")
+    df = docs(spark, rows)
+    kept = {r.doc_id for r in quality.judged(df, labels=told).where("kept").collect()}
+    assert 400 * (1 - quality.LOSS) <= len([i for i in kept if i < 400])
+    assert len([i for i in kept if i >= 400]) < 20
+    plain = {r.doc_id for r in quality.judged(df, labels=told.limit(50)).where("kept").collect()}
+    assert len(plain) >= len(kept)  # too few labels: the given bounds
+    assert quality.fitted(np.zeros(10), np.ones(10, bool), 0.01) is None
+
+
+def test_rare_languages_share_a_band(spark):
+    rng = random.Random(15)
+    odd = " ".join("".join(rng.choice("zxqjkvwpñß#") for _ in range(7)) for _ in range(80))
+    rows = [(i, prose(rng, 80), "en") for i in range(100)] + [(200 + i, prose(rng, 80), f"x{i % 4}") for i in range(120)] + [(900, odd, "x1")]
+    df = spark.createDataFrame([(i, t, la, "s", len(t)) for i, t, la in rows], DOCS)
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert not got[900].kept and sum(r.kept for r in got.values()) >= 215
+    few = quality.judged(df.where("lang = 'en' OR doc_id IN (200, 201)")).where("doc_id >= 200").collect()
+    assert all(r.kept and r.lower is None and r.upper is not None for r in few)
+
+
 def brute_lines(rows):
     seen, gone = {}, defaultdict(set)
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):

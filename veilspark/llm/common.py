@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """(doc_id, quality), where the data has labels."""
+    try:
+        return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

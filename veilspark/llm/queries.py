@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_trees, exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, rans, secrets
-from .common import documents, shared_dir, text_of
+from .common import documents, quality_labels, shared_dir, text_of
 
 
 def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
@@ -34,7 +34,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = quality.judged(documents(spark, sf_dir))
+    done = quality.judged(documents(spark, sf_dir), labels=quality_labels(spark, sf_dir))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_perplexity", 4).alias("log_perplexity"))
 
 
