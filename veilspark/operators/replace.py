@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import spans as sp
+
 BLOCK = "█"
 
 #: Fixed shapes of fakes; {n} is the number, {n:k} its last k digits with zeros ahead.
@@ -38,27 +40,40 @@ NAMES = ("Alex", "Blair", "Casey", "Drew", "Ellis", "Finley", "Gray", "Harper",
 TWO_PART_TOPS = ("co.uk", "org.uk", "gov.uk", "ac.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.in", "co.za", "com.br", "com.cn", "com.mx", "com.sg", "com.tr", "com.tw", "com.hk", "co.kr", "co.il", "com.ar", "co.id", "com.my", "com.ph")
 
 
+def _rule_numbers(firsts: Column) -> Column:
+    """For (i, rule, counts): (i, n) with n the number among those of the same rule that count, rule by rule; 0 for the others."""
+    names = F.array_distinct(F.transform(firsts, lambda x: x["rule"]))
+
+    def of_rule(name: Column) -> Column:
+        return F.transform(F.filter(firsts, lambda x: (x["rule"] == name) & x["counts"]), lambda x, k: F.struct(x["i"].alias("i"), (k + 1).alias("n")))
+
+    others = F.transform(F.filter(firsts, lambda x: ~x["counts"]), lambda x: F.struct(x["i"].alias("i"), F.lit(0).alias("n")))
+    return F.array_sort(F.concat(F.flatten(F.transform(names, of_rule)), others))
+
+
 def position_numbers(spans: Column) -> Column:
     """For each span, its number among the spans of its rule."""
-    return F.transform(spans, lambda s, i: F.size(F.filter(F.slice(spans, 1, i + 1), lambda x: x["rule"] == s["rule"])))
+    placed = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["rule"].alias("rule"), F.lit(True).alias("counts")))
+    return F.transform(sp.let(placed, _rule_numbers), lambda x: x["n"])
 
 
 def with_value_numbers(df: DataFrame, spans: str = "spans", out: str = "numbers", by_type: bool = False) -> DataFrame:
     """df with, for each span, (rule, n) by first appearance of its value. by_type: values of two rules are two values.
 
-    Each step is a column of its own, so that no step runs again for every span.
+    Equal values are brought together by sorting. Each step is a column of its own, so that no step runs again for every span.
     """
-    key = F.transform(spans, lambda s: F.concat(s["rule"], F.lit(":"), s["value"]) if by_type else s["value"])
-    held = df.withColumn(f"__{out}_k", key)
-    held = held.withColumn(f"__{out}_d", F.array_distinct(f"__{out}_k"))
-    held = held.withColumn(f"__{out}_f", F.transform(f"__{out}_d", lambda k: F.get(F.col(spans), (F.array_position(f"__{out}_k", k) - 1).cast("int"))))
-    held = held.withColumn(f"__{out}_n", position_numbers(F.col(f"__{out}_f")))
-
-    def numbered(k: Column) -> Column:
-        at = (F.array_position(f"__{out}_d", k) - 1).cast("int")
-        return F.struct(F.get(F.col(f"__{out}_f"), at)["rule"].alias("rule"), F.get(F.col(f"__{out}_n"), at).alias("n"))
-
-    return held.withColumn(out, F.transform(f"__{out}_k", numbered)).drop(*[f"__{out}_{c}" for c in "kdfn"])
+    key = F.transform(spans, lambda s, i: F.struct((F.concat(s["rule"], F.lit(":"), s["value"]) if by_type else s["value"]).alias("k"), i.alias("i")))
+
+    def to_first(acc: Column, x: Column) -> Column:
+        first = F.when(acc["k"].eqNullSafe(x["k"]), acc["first"]).otherwise(x["i"])
+        return F.struct(x["k"].alias("k"), first.alias("first"), *sp.added(acc, F.struct(x["i"].alias("i"), first.alias("first"))))
+
+    begun = F.struct(F.lit(None).cast("string").alias("k"), F.lit(0).alias("first"), *sp.empty_list("struct<i:int,first:int>"))
+    held = df.withColumn(f"__{out}_f", F.transform(F.array_sort(F.aggregate(F.array_sort(key), begun, to_first, sp.listed)), lambda x: x["first"]))
+    counted = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["rule"].alias("rule"), (F.get(F.col(f"__{out}_f"), i) == i).alias("counts")))
+    held = held.withColumn(f"__{out}_n", sp.let(counted, _rule_numbers))
+    numbered = F.transform(f"__{out}_f", lambda f: F.struct(F.get(F.col(spans), f)["rule"].alias("rule"), F.get(F.col(f"__{out}_n"), f)["n"].alias("n")))
+    return held.withColumn(out, numbered).drop(*[f"__{out}_{c}" for c in "fn"])
 
 
 def label(rule: Column, n: Column, prefix: str = "[", suffix: str = "]") -> Column:

@@ -7,7 +7,7 @@ struct<rule, value, start, end, priority>.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -41,17 +41,39 @@ def valid(rule: Rule, value: str) -> str | None:
     return CHECKS[rule.validator](value) if rule.validator else None
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: A fold's list is kept in parts of so many elements, so that adding one copies a part and not the whole list.
+PART = 256
+
+
+def empty_list(kind: str = SPAN) -> tuple[Column, Column]:
+    return F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("part")
+
+
+def added(acc: Column, item: Column) -> tuple[Column, Column]:
+    full = F.size(acc["part"]) >= PART
+    done = F.when(full, F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"])
+    return done.alias("done"), F.when(full, F.array(item)).otherwise(F.concat(acc["part"], F.array(item))).alias("part")
+
+
+def listed(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["done"]), acc["part"])
+
+
 def _located(found: Column, gaps: Column, rule: Rule, no: int) -> Column:
     """The spans of one rule: its matches lie between the pieces that split() leaves. Both are columns, computed once."""
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
         start, value = acc["at"] + F.length(F.get(gaps, i)), F.get(found, i)
         end = start + F.length(value)
         span = F.struct(F.lit(rule.id).alias("rule"), value.alias("value"), start.alias("start"), end.alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), *added(acc, span))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begun, step)["out"]
+    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), *empty_list()), step, listed)
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -85,23 +107,24 @@ def resolved(spans: Column, overlap: str = "greedy") -> Column:
     replaces an earlier one, whose own beginning then stays readable.
     "cover": touching spans are merged to one, named after its first; nothing of any find stays.
     """
-    order = ordered(spans)
-    empty = F.array().cast(f"array<{SPAN}>")
+
+    def replaced_last(acc: Column, m: Column) -> Column:
+        return F.struct(acc["done"].alias("done"), F.concat(F.slice(acc["part"], 1, F.size(acc["part"]) - 1), F.array(m)).alias("part"))
 
     def greedy(acc: Column, m: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
+        last = F.get(acc["part"], F.size(acc["part"]) - 1)
         length, last_length = m["end"] - m["start"], last["end"] - last["start"]
         keep_last = (last_length > length) | ((last_length == length) & (last["priority"] >= m["priority"]))
         return (
-            F.when(F.size(acc) == 0, F.array(m))
+            F.when(F.size(acc["part"]) == 0, F.struct(*added(acc, m)))
             .when(m["end"] <= last["end"], acc)
             .when((m["start"] < last["end"]) & keep_last, acc)
-            .when(m["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(m)))
-            .otherwise(F.concat(acc, F.array(m)))
+            .when(m["start"] < last["end"], replaced_last(acc, m))
+            .otherwise(F.struct(*added(acc, m)))
         )
 
     def cover(acc: Column, m: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
+        last = F.get(acc["part"], F.size(acc["part"]) - 1)
         wider = F.struct(
             last["rule"].alias("rule"),
             F.when(m["end"] > last["end"], F.concat(last["value"], F.substring(m["value"], (last["end"] - m["start"] + 1).cast("int"), F.length(m["value"])))).otherwise(last["value"]).alias("value"),
@@ -110,28 +133,73 @@ def resolved(spans: Column, overlap: str = "greedy") -> Column:
             F.greatest(last["priority"], m["priority"]).alias("priority"),
             last["no"].alias("no"),
         )
-        return F.when(F.size(acc) == 0, F.array(m)).when(m["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(m)))
+        joined = (F.size(acc["part"]) > 0) & (m["start"] < last["end"])
+        return F.when(joined, replaced_last(acc, wider)).otherwise(F.struct(*added(acc, m)))
 
     step = {"greedy": greedy, "cover": cover}[overlap]
-    return F.when(F.size(spans) > 1, F.aggregate(order, empty, step)).otherwise(spans)
+    return F.when(F.size(spans) > 1, F.aggregate(ordered(spans), F.struct(*empty_list()), step, listed)).otherwise(spans)
+
+
+def without_clashes(spans: Column) -> Column:
+    """Spans of which a clash keeps the one of the earlier rule (of one rule, the first), in order of position.
+
+    Only spans of one cluster, a run of spans that overlap one another, are compared.
+    """
+
+    def clustered(acc: Column, m: Column) -> Column:
+        joins = m["start"] < acc["until"]
+        grown = F.struct(F.concat(acc["cluster"], F.array(m)).alias("cluster"), F.greatest(acc["until"], m["end"]).alias("until"), acc["done"].alias("done"), acc["part"].alias("part"))
+        fresh = F.struct(F.array(m).alias("cluster"), m["end"].alias("until"), *added(acc, acc["cluster"]))
+        return F.when(joins, grown).otherwise(fresh)
+
+    def free(acc: Column, m: Column) -> Column:
+        clash = F.exists(acc, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(m)))
+
+    def chosen(cluster: Column) -> Column:
+        by_rule = F.transform(F.array_sort(F.transform(cluster, lambda s: F.struct(s["no"].alias("no"), s["start"].alias("a"), s.alias("s")))), lambda k: k["s"])
+        return F.when(F.size(cluster) < 2, cluster).otherwise(ordered(F.aggregate(by_rule, F.array().cast(f"array<{SPAN}>"), free)))
+
+    begun = F.struct(F.array().cast(f"array<{SPAN}>").alias("cluster"), F.lit(-1).alias("until"), *empty_list(f"array<{SPAN}>"))
+    clusters = F.aggregate(ordered(spans), begun, clustered, lambda acc: F.concat(listed(acc), F.array(acc["cluster"])))
+    return F.flatten(F.transform(clusters, chosen))
+
+
+#: Characters in a block of a text that applied() cuts, as a power of two.
+BLOCK_BITS = 12
 
 
 def applied(text: Column, spans: Column, replacements: Column) -> Column:
-    """The text with each span (disjoint, in order) replaced: gaps and replacements joined in one pass."""
-    last = F.size(spans) - 1
-    pieces = F.transform(
-        spans,
-        lambda s, i: F.concat(
-            F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(spans, i - 1)["end"] + 1), s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])),
-            F.get(replacements, i),
-        ),
-    )
-    return F.when(last < 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, F.get(spans, last)["end"] + 1, F.length(text))))
+    """The text with each span (disjoint, in order) replaced: gaps and replacements joined in one pass.
+
+    The text is cut into blocks first: to find a character by its number a string is read from its start.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << BLOCK_BITS}}}"), F.lit(0))
+
+    def cut(z: Column, start: Column, end: Column) -> Column:
+        first = F.shiftright(start, BLOCK_BITS)
+        over = F.slice(z["blocks"], first + 1, F.greatest(F.shiftright(end - 1, BLOCK_BITS) - first + 1, F.lit(0)))
+        return F.substring(F.array_join(over, ""), start.bitwiseAND((1 << BLOCK_BITS) - 1) + 1, end - start)
+
+    def joined(z: Column) -> Column:
+        pieces = F.transform(z["spans"], lambda s, i: F.concat(cut(z, F.when(i == 0, F.lit(0)).otherwise(F.get(z["spans"], i - 1)["end"]), s["start"]), F.get(z["new"], i)))
+        return F.concat(F.array_join(pieces, ""), cut(z, F.get(z["spans"], F.size(z["spans"]) - 1)["end"], F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(blocks.alias("blocks"), spans.alias("spans"), replacements.alias("new")), joined))
+
+
+def rows_of(df: DataFrame, array: Column | str, keep: Sequence[str] = (), at: str = "at", name: str = "s") -> DataFrame:
+    """(keep.., at, name): a row for each element of a computed array.
+
+    By posexplode_outer(): for posexplode() the optimiser adds a test of the array's size and pushes it
+    down, where it copies whatever computes the array into the filter, once for each use.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, name)).where(F.col(at).isNotNull())
 
 
 def exploded(df: DataFrame, id_col: str = "doc_id", spans: str = "spans") -> DataFrame:
     """The span table: (id, span_no, rule, value, start, end, priority)."""
-    return df.select(F.col(id_col), F.posexplode(spans).alias("span_no", "s")).select(id_col, "span_no", "s.rule", "s.value", "s.start", "s.end", "s.priority")
+    return rows_of(df, spans, [id_col], "span_no").select(id_col, "span_no", "s.rule", "s.value", "s.start", "s.end", "s.priority")
 
 
 def line_of(text: Column, start: Column) -> Column:

@@ -35,12 +35,7 @@ def found(df: DataFrame, text_col: str = "text") -> DataFrame:
     rules = [Rule(name, "time", 100 - i, pattern) for i, (name, pattern) in enumerate(SHAPES)]
     shaped = sp.detect(df, rules, text_col, "times")
 
-    def free(acc: Column, m: Column) -> Column:
-        clash = F.exists(acc, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(m)))
-
-    chosen = F.aggregate("times", F.array().cast(f"array<{sp.SPAN}>"), free)
-    return shaped.withColumn("times", sp.ordered(chosen))
+    return shaped.withColumn("times", sp.without_clashes(F.col("times")))
 
 
 def read(value: Column, shape: Column, assume_year: int = 2024) -> Column:

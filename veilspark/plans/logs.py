@@ -54,7 +54,7 @@ def time_shift_to_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle="select cast(count(*) + count(*) filter (event_id % 9 = 8) as bigint) as n_all, count(*) filter (event_id % 9 in (0, 1, 2, 4, 5, 7, 8)) as n_line_start from events")
 def time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All times, and those at line starts (AGG-20, FLT-16, TIM-06)."""
-    found = timeshift.found(log_lines(spark, sf_dir)).select("text", F.explode("times").alias("s"))
+    found = spans.rows_of(timeshift.found(log_lines(spark, sf_dir)), "times", ["text"])
     return found.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(timeshift.at_line_start(F.col("text"), F.col("s.start"))).alias("n_line_start"))
 
 

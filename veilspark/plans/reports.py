@@ -52,7 +52,7 @@ def counts_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replaced_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = resolved_documents(texts(spark, sf_dir), TWELVE)
     done = replace.with_value_numbers(done)
-    rows = done.select("doc_id", "text", F.explode(F.arrays_zip("spans", "numbers")).alias("z"))
+    rows = spans.rows_of(done, F.arrays_zip("spans", "numbers"), ["doc_id", "text"], name="z")
     return rows.select("doc_id", F.col("z.spans.start").alias("start"), F.col("z.spans.end").alias("end"), F.col("z.spans.rule").alias("rule"), F.col("z.spans.value").alias("value"), replace.label(F.col("z.numbers.rule"), F.col("z.numbers.n")).alias("replacement"), spans.line_of(F.col("text"), F.col("z.spans.start")).alias("line"))
 
 
@@ -165,7 +165,7 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with numbers and offsets, and whether a span touches them (SRC-03, FLT-07, J-09, WIN-05). Spans that begin in a line are found by line number; a span may run on to later lines."""
     t = texts(spark, sf_dir)
     rows = spans.lines(t)
-    found = resolved_documents(t, TWELVE).select("doc_id", "text", F.explode("spans").alias("s"))
+    found = spans.rows_of(resolved_documents(t, TWELVE), "spans", ["doc_id", "text"])
     first, last = spans.line_of(F.col("text"), F.col("s.start")), spans.line_of(F.col("text"), F.col("s.end") - 1)
     touched = found.select("doc_id", F.explode(F.sequence(first, last)).alias("line_no")).distinct().withColumn("changed", F.lit(True))
     joined = rows.join(touched, ["doc_id", "line_no"], "left")
@@ -204,7 +204,7 @@ def line_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reveal_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens in redacted texts looked up in the mapping (X-18)."""
     done = redacted(texts(spark, sf_dir), SEVEN, lambda s: F.transform(s, lambda x: replace.bare(x["rule"])))
-    tokens = done.select("doc_id", F.explode(F.regexp_extract_all("redacted", F.lit(r"\[[A-Z0-9_]+\]"), F.lit(0))).alias("token"))
+    tokens = spans.rows_of(done, F.regexp_extract_all("redacted", F.lit(r"\[[A-Z0-9_]+\]"), F.lit(0)), ["doc_id"], name="token")
     known = spark.createDataFrame([(f"[{r.label}]",) for r in SEVEN], "token string")
     return tokens.join(F.broadcast(known), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 

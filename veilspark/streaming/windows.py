@@ -41,7 +41,7 @@ def redacted_lines(lines: DataFrame, rules: list[Rule], text_col: str = "text")
 def hit_rows(lines: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """One row for each find, for counts by window: (all columns, rule, value_hash)."""
     found = spans.detect(lines, rules, text_col)
-    return found.withColumn("s", F.explode("spans")).withColumn("rule", F.col("s.rule")).withColumn("value_hash", F.sha2("s.value", 256)).drop("spans", "s")
+    return found.withColumn("s", F.explode_outer("spans")).where("s IS NOT NULL").withColumn("rule", F.col("s.rule")).withColumn("value_hash", F.sha2("s.value", 256)).drop("spans", "s")
 
 
 def new_values(hits: DataFrame) -> DataFrame:
