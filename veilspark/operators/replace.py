@@ -60,20 +60,22 @@ def position_numbers(spans: Column) -> Column:
 def with_value_numbers(df: DataFrame, spans: str = "spans", out: str = "numbers", by_type: bool = False) -> DataFrame:
     """df with, for each span, (rule, n) by first appearance of its value. by_type: values of two rules are two values.
 
-    Equal values are brought together by sorting. Each step is a column of its own, so that no step runs again for every span.
+    Equal values are brought together by sorting.
     """
     key = F.transform(spans, lambda s, i: F.struct((F.concat(s["rule"], F.lit(":"), s["value"]) if by_type else s["value"]).alias("k"), i.alias("i")))
 
     def to_first(acc: Column, x: Column) -> Column:
         first = F.when(acc["k"].eqNullSafe(x["k"]), acc["first"]).otherwise(x["i"])
-        return F.struct(x["k"].alias("k"), first.alias("first"), *sp.added(acc, F.struct(x["i"].alias("i"), first.alias("first"))))
-
-    begun = F.struct(F.lit(None).cast("string").alias("k"), F.lit(0).alias("first"), *sp.empty_list("struct<i:int,first:int>"))
-    held = df.withColumn(f"__{out}_f", F.transform(F.array_sort(F.aggregate(F.array_sort(key), begun, to_first, sp.listed)), lambda x: x["first"]))
-    counted = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["rule"].alias("rule"), (F.get(F.col(f"__{out}_f"), i) == i).alias("counts")))
-    held = held.withColumn(f"__{out}_n", sp.let(counted, _rule_numbers))
-    numbered = F.transform(f"__{out}_f", lambda f: F.struct(F.get(F.col(spans), f)["rule"].alias("rule"), F.get(F.col(f"__{out}_n"), f)["n"].alias("n")))
-    return held.withColumn(out, numbered).drop(*[f"__{out}_{c}" for c in "fn"])
+        return F.struct(x["k"].alias("k"), first.alias("first"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("i"), first.alias("first")))).alias("out"))
+
+    begun = {"k": F.lit(None).cast("string"), "first": F.lit(0)}
+    firsts = F.transform(F.array_sort(sp.folded(F.array_sort(key), begun, to_first, "struct<i:int,first:int>")), lambda x: x["first"])
+
+    def numbered(first: Column) -> Column:
+        counted = F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["rule"].alias("rule"), (F.get(first, i) == i).alias("counts")))
+        return sp.let(sp.let(counted, _rule_numbers), lambda n: F.transform(first, lambda f: F.struct(F.get(F.col(spans), f)["rule"].alias("rule"), F.get(n, f)["n"].alias("n"))))
+
+    return df.withColumn(out, sp.let(firsts, numbered))
 
 
 def label(rule: Column, n: Column, prefix: str = "[", suffix: str = "]") -> Column:

@@ -46,35 +46,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: A fold's list is kept in parts of so many elements, so that adding one copies a part and not the whole list.
+#: Elements that folded() takes at a time.
 PART = 256
 
 
-def empty_list(kind: str = SPAN) -> tuple[Column, Column]:
-    return F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("part")
+def folded(items: Column, state: dict[str, Column], step: Callable[[Column, Column], Column], kind: str = SPAN) -> Column:
+    """The list that a fold makes. step: (state and "out", item) to the next state and "out", of which it may read the last element only.
 
+    Each step of aggregate() copies its state, so a list that grows with the items would make it quadratic.
+    So the items are folded part by part, and only the end of a part's list goes on to the next part.
+    """
+    n = F.size(items)
+    parts = let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda k: F.slice(x, k * PART + 1, PART)))
+
+    def over_part(acc: Column, part: Column) -> Column:
+        begun = F.struct(*[acc[c].alias(c) for c in state], acc["out"].alias("out"))
 
-def added(acc: Column, item: Column) -> tuple[Column, Column]:
-    full = F.size(acc["part"]) >= PART
-    done = F.when(full, F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"])
-    return done.alias("done"), F.when(full, F.array(item)).otherwise(F.concat(acc["part"], F.array(item))).alias("part")
+        def go_on(z: Column) -> Column:
+            last = F.greatest(F.size(z["out"]), F.lit(1))
+            return F.struct(*[z[c].alias(c) for c in state], F.slice(z["out"], last, 1).alias("out"), F.concat(acc["done"], F.array(F.slice(z["out"], 1, last - 1))).alias("done"))
 
+        return let(F.aggregate(part, begun, step), go_on)
 
-def listed(acc: Column) -> Column:
-    return F.concat(F.flatten(acc["done"]), acc["part"])
+    begun = F.struct(*[v.alias(k) for k, v in state.items()], F.array().cast(f"array<{kind}>").alias("out"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    return F.when(n > 0, F.aggregate(parts, begun, over_part, lambda acc: F.concat(F.flatten(acc["done"]), acc["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _located(found: Column, gaps: Column, rule: Rule, no: int) -> Column:
-    """The spans of one rule: its matches lie between the pieces that split() leaves. Both are columns, computed once."""
+    """The spans of one rule: its matches lie between the pieces that split() leaves."""
 
-    def step(acc: Column, i: Column) -> Column:
-        start, value = acc["at"] + F.length(F.get(gaps, i)), F.get(found, i)
-        end = start + F.length(value)
-        span = F.struct(F.lit(rule.id).alias("rule"), value.alias("value"), start.alias("start"), end.alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no"))
-        return F.struct(end.alias("at"), *added(acc, span))
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        span = F.struct(F.lit(rule.id).alias("rule"), x["value"].alias("value"), start.alias("start"), end.alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), *empty_list()), step, listed)
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+    return F.when(F.size(found) > 0, folded(both, {"at": F.lit(0)}, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def detect(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -108,23 +116,23 @@ def resolved(spans: Column, overlap: str = "greedy") -> Column:
     "cover": touching spans are merged to one, named after its first; nothing of any find stays.
     """
 
-    def replaced_last(acc: Column, m: Column) -> Column:
-        return F.struct(acc["done"].alias("done"), F.concat(F.slice(acc["part"], 1, F.size(acc["part"]) - 1), F.array(m)).alias("part"))
+    def ends_with(acc: Column, m: Column, instead: bool = False) -> Column:
+        return F.struct(F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1) if instead else acc["out"], F.array(m)).alias("out"))
 
     def greedy(acc: Column, m: Column) -> Column:
-        last = F.get(acc["part"], F.size(acc["part"]) - 1)
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
         length, last_length = m["end"] - m["start"], last["end"] - last["start"]
         keep_last = (last_length > length) | ((last_length == length) & (last["priority"] >= m["priority"]))
         return (
-            F.when(F.size(acc["part"]) == 0, F.struct(*added(acc, m)))
+            F.when(F.size(acc["out"]) == 0, ends_with(acc, m))
             .when(m["end"] <= last["end"], acc)
             .when((m["start"] < last["end"]) & keep_last, acc)
-            .when(m["start"] < last["end"], replaced_last(acc, m))
-            .otherwise(F.struct(*added(acc, m)))
+            .when(m["start"] < last["end"], ends_with(acc, m, True))
+            .otherwise(ends_with(acc, m))
         )
 
     def cover(acc: Column, m: Column) -> Column:
-        last = F.get(acc["part"], F.size(acc["part"]) - 1)
+        last = F.get(acc["out"], F.size(acc["out"]) - 1)
         wider = F.struct(
             last["rule"].alias("rule"),
             F.when(m["end"] > last["end"], F.concat(last["value"], F.substring(m["value"], (last["end"] - m["start"] + 1).cast("int"), F.length(m["value"])))).otherwise(last["value"]).alias("value"),
@@ -133,11 +141,10 @@ def resolved(spans: Column, overlap: str = "greedy") -> Column:
             F.greatest(last["priority"], m["priority"]).alias("priority"),
             last["no"].alias("no"),
         )
-        joined = (F.size(acc["part"]) > 0) & (m["start"] < last["end"])
-        return F.when(joined, replaced_last(acc, wider)).otherwise(F.struct(*added(acc, m)))
+        return F.when((F.size(acc["out"]) > 0) & (m["start"] < last["end"]), ends_with(acc, wider, True)).otherwise(ends_with(acc, m))
 
     step = {"greedy": greedy, "cover": cover}[overlap]
-    return F.when(F.size(spans) > 1, F.aggregate(ordered(spans), F.struct(*empty_list()), step, listed)).otherwise(spans)
+    return F.when(F.size(spans) > 1, folded(ordered(spans), {}, step)).otherwise(spans)
 
 
 def without_clashes(spans: Column) -> Column:
@@ -147,10 +154,10 @@ def without_clashes(spans: Column) -> Column:
     """
 
     def clustered(acc: Column, m: Column) -> Column:
-        joins = m["start"] < acc["until"]
-        grown = F.struct(F.concat(acc["cluster"], F.array(m)).alias("cluster"), F.greatest(acc["until"], m["end"]).alias("until"), acc["done"].alias("done"), acc["part"].alias("part"))
-        fresh = F.struct(F.array(m).alias("cluster"), m["end"].alias("until"), *added(acc, acc["cluster"]))
-        return F.when(joins, grown).otherwise(fresh)
+        held = F.get(acc["out"], F.size(acc["out"]) - 1)
+        joins = (F.size(acc["out"]) > 0) & (m["start"] < acc["until"])
+        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat(held, F.array(m))))
+        return F.when(joins, F.struct(F.greatest(acc["until"], m["end"]).alias("until"), grown.alias("out"))).otherwise(F.struct(m["end"].alias("until"), F.concat(acc["out"], F.array(F.array(m))).alias("out")))
 
     def free(acc: Column, m: Column) -> Column:
         clash = F.exists(acc, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
@@ -160,9 +167,8 @@ def without_clashes(spans: Column) -> Column:
         by_rule = F.transform(F.array_sort(F.transform(cluster, lambda s: F.struct(s["no"].alias("no"), s["start"].alias("a"), s.alias("s")))), lambda k: k["s"])
         return F.when(F.size(cluster) < 2, cluster).otherwise(ordered(F.aggregate(by_rule, F.array().cast(f"array<{SPAN}>"), free)))
 
-    begun = F.struct(F.array().cast(f"array<{SPAN}>").alias("cluster"), F.lit(-1).alias("until"), *empty_list(f"array<{SPAN}>"))
-    clusters = F.aggregate(ordered(spans), begun, clustered, lambda acc: F.concat(listed(acc), F.array(acc["cluster"])))
-    return F.flatten(F.transform(clusters, chosen))
+    clusters = folded(ordered(spans), {"until": F.lit(-1)}, clustered, f"array<{SPAN}>")
+    return F.when(F.size(spans) > 1, F.flatten(F.transform(clusters, chosen))).otherwise(spans)
 
 
 #: Characters in a block of a text that applied() cuts, as a power of two.
