@@ -7,13 +7,19 @@ one. So each chunk is indexed once for each place that may be wrong, by its othe
 within that distance is missed. (A pair of similarity 0.8 shares no key with probability 1e-7.)
 
 Documents with equal sets (128-bit digest of the full set) are one class, and only classes are joined.
-No key's members are all paired. In a few turns each member meets the most alike leader of its keys; the
-links that the full sets confirm are contracted to components. Then, for keys whose members still lie in several
-components, the members outside the key's largest component meet the others; a pair inside one
-component can add nothing. The sizes of the sets, and sketches of 60 bits (beyond 24 differing bits a
-pair of similarity 0.8 has probability 1e-9), drop pairs inside the join; the rest is confirmed on full
-sets of shingles from the texts. Components come from alternating large-star and small-star joins.
-
+No key's members are all paired. In a few turns each member meets the most alike leader of its keys: first the
+member that shares most keys with others (in a group of copies, the one that all were made from). The links that
+the full sets confirm are contracted to components. Then, for keys whose members still lie in several components,
+the members outside the key's largest component meet the others; a pair inside one component can add nothing.
+
+Three tests inside the join drop pairs: the sizes of the sets; the distance of the signatures (a pair of
+similarity 0.8 differs in more than DISTANCE_MOST places with probability 2e-9); and parity maps. A
+parity map has BITS bits, each telling whether an odd number of the set's hashes fall on it. Two maps differ in at
+most as many bits as the sets have elements that only one holds, so that test loses no pair whatever. What is
+left is confirmed on full sets of shingles from the texts. Components come from alternating large-star and
+small-star joins.
+
+Very long texts are hashed whole, one at a time; their sets are larger than a parity map, and rely on the signatures.
 Nulls: null and empty texts have empty sets, and are linked with nothing; null ids are passed on, and
 component_id is the least id that is not null. Of rows with one component's least id, one is kept.
 Empty tables give empty results; other columns are not read.
@@ -33,11 +39,16 @@ from .common import checkpointed, released, small_slices, stored, text_of
 
 CHUNKS, PER_CHUNK, B_BITS = 12, 5, 14
 PLACES = CHUNKS * PER_CHUNK
-SKETCH_MOST = 24
+DISTANCE_MOST = 32
+#: Bits of a parity map, kept as columns of 64.
+BITS = 1024
+#: A signature is kept as columns of so many places each.
+PLACES_HELD = 4
+SIGNED, MAPPED = [f"s{i}" for i in range(PLACES // PLACES_HELD)], [f"m{i}" for i in range(BITS // 64)]
 #: Rows of (id, text hash) that are broadcast to fetch candidates' texts; more are joined by shuffle.
 FETCH_BOUND = 200_000
 #: Turns in which members meet their keys' leaders before the rest is compared.
-STAR_TURNS = 3
+STAR_TURNS = 2
 #: Distinct words whose hashes a task keeps.
 WORDS_HELD = 300_000
 
@@ -99,8 +110,22 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(signature: np.ndarray) -> np.ndarray:
+    """(documents, len(SIGNED)) numbers, PLACES_HELD places in each."""
+    out = np.zeros((len(signature), len(SIGNED)), np.int64)
+    for j in range(PLACES_HELD):
+        out = (out << B_BITS) | signature[:, j::PLACES_HELD]
+    return out
+
+
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits in 64-bit numbers."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, th, n, digest, sketch, keys, left): th is a hash of the text, n the size of the set, left the value that each key leaves out."""
+    """(id, th, n, digest, SIGNED.., MAPPED.., keys, left): th is a hash of the text, n the size of the set, left the value that each key leaves out."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
 
@@ -118,11 +143,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
                             known[w] = xxhash.xxh64_intdigest(w)
                     sets.append(shingle_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), size))
                 n = np.array([len(s) for s in sets], np.int64)
-                keys, left, sketch = np.zeros((len(sets), PLACES), np.int64), np.zeros((len(sets), PLACES), np.int16), np.zeros(len(sets), np.int64)
+                keys, left = np.zeros((len(sets), PLACES), np.int64), np.zeros((len(sets), PLACES), np.int16)
+                signed, mapped = np.zeros((len(sets), len(SIGNED)), np.int64), np.array([parity_map(s) for s in sets])
                 if len(full := np.flatnonzero(n)):
                     signature = signatures(np.concatenate(sets), (np.cumsum(n) - n)[full])
-                    keys[full], left[full] = index_keys(signature), signature
-                    sketch[full] = ((signature & 1) << np.arange(PLACES)).sum(axis=1)
+                    keys[full], left[full], signed[full] = index_keys(signature), signature, packed(signature)
                 offsets = np.cumsum([0, *np.where(n > 0, PLACES, 0)]).astype(np.int32)
                 yield pa.record_batch(
                     {
@@ -130,14 +155,16 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
                         "th": part.column(1),
                         "n": n,
                         "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        "sketch": sketch,
+                        **{c: np.ascontiguousarray(signed[:, i]) for i, c in enumerate(SIGNED)},
+                        **{c: np.ascontiguousarray(mapped[:, i]) for i, c in enumerate(MAPPED)},
                         "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel())),
                         "left": pa.ListArray.from_arrays(pa.array(offsets), pa.array(left[n > 0].ravel())),
                     }
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(released(run), f"id {kind}, th bigint, n bigint, digest binary, sketch bigint, keys array<bigint>, left array<smallint>")
+    numbers = ", ".join(f"{c} bigint" for c in [*SIGNED, *MAPPED])
+    return rows.mapInArrow(released(run), f"id {kind}, th bigint, n bigint, digest binary, {numbers}, keys array<bigint>, left array<smallint>")
 
 
 def fetched(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -187,23 +214,46 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+#: In each place of a packed signature, all bits but the highest, and the highest.
+_LOW = sum(((1 << (B_BITS - 1)) - 1) << (B_BITS * j) for j in range(PLACES_HELD))
+_HIGH = sum(1 << (B_BITS * j + B_BITS - 1) for j in range(PLACES_HELD))
+
+
+def _distance(x: str, y: str):
+    """In how many places the signatures differ: a place that differs carries into, or has, its highest bit."""
+    total = F.lit(0)
+    for c in SIGNED:
+        z = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        total = total + F.bit_count((z.bitwiseAND(_LOW) + _LOW).bitwiseOR(z).bitwiseAND(_HIGH))
+    return total
+
+
+def _maps_apart(x: str, y: str):
+    total = F.lit(0)
+    for c in MAPPED:
+        total = total + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    return total
+
+
 def _near(x: str, y: str, percent: int):
-    """What a pair's sizes and sketches must meet."""
-    sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
-    return sizes & (F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch"))) <= SKETCH_MOST)
+    """What a pair's sizes, parity maps and signatures must meet."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    sizes = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+    return sizes & ((100 + percent) * _maps_apart(x, y) <= (100 - percent) * (nx + ny)) & (_distance(x, y) <= DISTANCE_MOST)
 
 
-def _star(now: DataFrame, turn: int, percent: int) -> DataFrame:
+def _star(now: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member with the most alike of its keys' leaders that lies in another component.
 
-    A key's leader is its least member at first, and the least by a hash at each later turn; a member has one
-    pair a turn, so a group's pairs grow as its members.
+    A key's leader is the member whose keys have most members, outside the key's largest component after the first
+    turn; a member has one pair a turn, so a group's pairs grow as its members.
     """
-    rank = F.col("rid") if turn == 0 else F.xxhash64("rid", F.lit(turn))
-    leaders = now.groupBy("key").agg(F.min_by(F.struct("rid", "n", "sketch", "comp"), rank).alias("l"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "l.*")
-    met = now.alias("x").join(leaders.alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent))
-    apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
-    best = met.groupBy(F.col("x.rid").alias("a")).agg(F.min(F.struct(apart.alias("d"), F.col("y.rid").alias("b"))).alias("best"))
+    rank = F.struct("score", (-F.col("rid")).alias("r"))
+    held = now.where(F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
+    leaders = held.groupBy("key").agg(F.max_by(F.struct(F.col("rid").alias("b"), F.col("comp").alias("b_comp")), rank).alias("l")).select("key", "l.*")
+    met = now.join(leaders, "key").where("comp <> b_comp").select(F.col("rid").alias("a"), "b").distinct()
+    y = met.alias("m").join(facts.alias("y"), F.col("m.b") == F.col("y.rid")).join(facts.alias("x"), F.col("m.a") == F.col("x.rid"))
+    best = y.where(_near("x", "y", percent)).groupBy("m.a").agg(F.min(F.struct(_distance("x", "y").alias("d"), F.col("m.b").alias("b"))).alias("best"))
     return checkpointed(best.select("a", "best.b"))
 
 
@@ -212,7 +262,7 @@ def _open_keys(shared: DataFrame, roots: DataFrame) -> DataFrame:
     now = shared.drop("main").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
     sums = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
     main = sums.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("m.comp").alias("main"))
-    return now.join(main, "key")
+    return now.join(stored(main), "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -220,23 +270,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if percent < 80:
         raise ValueError("the index is laid out for similarities of 80 per cent or more")
     told = stored(described(docs, id_col, text_col, size).withColumn("rid", F.monotonically_increasing_id()))
-    classes = told.where("n > 0").groupBy("digest").agg(F.min("rid").alias("class"))
+    # Tables of groups are written before they are joined, so that the join is between plain shuffles, of which Spark splits a hot group's.
+    classes = stored(told.where("n > 0").groupBy("digest").agg(F.min("rid").alias("class")))
     member = stored(told.select("rid", "digest").join(classes, "digest", "left").select("rid", F.coalesce("class", "rid").alias("class")))
     chosen = member.where("rid = class").select("rid")
-    classed = told.where("n > 0").join(chosen, "rid")
+    classed = told.where("n > 0").join(chosen, "rid", "left_semi")
     keys = classed.select("rid", F.explode(F.arrays_zip("keys", "left")).alias("k")).select("rid", F.col("k.keys").alias("key"), F.col("k.left").alias("left"))
-    least = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.max("rid").alias("other")).where("leader <> other").drop("other")
-    facts = classed.select("rid", "n", "sketch")
-    shared = stored(keys.join(least, "key").join(facts, "rid"))
-
-    texts = fetched(shared.select("rid").distinct().join(told.select("rid", "id", "th"), "rid"), docs, id_col, text_col)
-    now, links, roots = shared.withColumn("comp", F.col("rid")), None, None
-    for turn in range(STAR_TURNS):
-        found = confirmed(_star(now, turn, percent), texts, size, percent)
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    held = stored(keys.join(several, "key"))
+    scores = held.groupBy("rid").agg(F.sum("members").alias("score"))
+    shared = stored(held.drop("members").join(scores, "rid"))
+    facts = stored(told.select("rid", "n", *SIGNED, *MAPPED).join(scores.select("rid"), "rid", "left_semi"))
+
+    texts = fetched(facts.select("rid").join(told.select("rid", "id", "th"), "rid"), docs, id_col, text_col)
+    now, links, roots = shared.withColumn("comp", F.col("rid")).withColumn("main", F.lit(None).cast("bigint")), None, None
+    for _ in range(STAR_TURNS):
+        found = confirmed(_star(now, facts, percent), texts, size, percent)
         links = found if links is None else checkpointed(links.unionByName(found))
         roots = components(links)
         now = stored(_open_keys(now.drop("comp"), roots))
 
+    now = now.drop("score").join(facts, "rid")
     x, y = now.where("comp <> main").alias("x"), now.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
     # Two that agree in a whole chunk share all of its keys: one of them is enough.
@@ -249,7 +303,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = member.join(roots.withColumnRenamed("node", "class"), "class", "left").select("rid", F.coalesce("root", "class").alias("comp"))
     placed = told.select("rid", "id", "th", "n").join(placed, "rid")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    # Written, so that the join below is between plain shuffles, of which Spark splits a hot group's.
     groups = stored(placed.groupBy("comp").agg(F.min(order).alias("first")))
     return placed.join(groups, "comp").select(
         F.col("id").alias(id_col),
