@@ -13,18 +13,21 @@ from veilspark.functions.catalogue import MONTHS, Rule
 
 from . import spans as sp
 
-# The shapes in order of precedence.
-_CLOCK, _MON, _ZONE = r"\d{2}:\d{2}:\d{2}", r"[A-Za-z]{3}", r"\s*(?:[+-]\d{4})?"
+# The shapes in order of precedence, each from the document that describes it.
+_CLOCK = "(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
+_MON, _WEEKDAY = f"(?:{MONTHS})", "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
+_DATE, _SLASHED = "[0-9]{4}-[01][0-9]-[0-3][0-9]", "[01][0-9]/[0-3][0-9]/[0-9]{4}"
+_CLF = rf"[0-9]{{1,2}}/{_MON}/[0-9]{{4}}:{_CLOCK}(?: ?[+-][0-9]{{4}})?"
 SHAPES = (
-    ("iso", rf"\d{{4}}-\d{{2}}-\d{{2}}[T\s]{_CLOCK}(?:\.\d{{3}})?(?:Z|[+-]\d{{2}}:?\d{{2}})?"),
-    ("apache_error", rf"\[{_MON}\s+{_MON}\s+\d{{1,2}}\s+{_CLOCK}\s+\d{{4}}\]"),
-    ("apache_access", rf"\[\d{{1,2}}/{_MON}/\d{{4}}:{_CLOCK}{_ZONE}\]"),
-    ("clf", rf"\d{{1,2}}/{_MON}/\d{{4}}:{_CLOCK}{_ZONE}"),
-    ("chat", rf"\({_MON},\s+\d{{1,2}}\s+{_MON}\s+\d{{4}}\s+{_CLOCK}\)"),
-    ("syslog", rf"{_MON}\s+\d{{1,2}}\s+{_CLOCK}"),
-    ("iso_date", r"\d{4}-\d{2}-\d{2}"),
-    ("us_datetime", rf"\d{{2}}/\d{{2}}/\d{{4}}\s+{_CLOCK}"),
-    ("us_date", r"\d{2}/\d{2}/\d{4}"),
+    ("iso", rf"{_DATE}[T ]{_CLOCK}(?:[.,][0-9]{{1,9}})?(?:Z|[+-][0-9]{{2}}:?[0-9]{{2}})?"),  # RFC 3339, ISO 8601
+    ("apache_error", rf"\[{_WEEKDAY} {_MON} +[0-9]{{1,2}} {_CLOCK} [0-9]{{4}}\]"),  # Apache, ErrorLogFormat (ctime)
+    ("apache_access", rf"\[{_CLF}\]"),  # Apache, LogFormat %t
+    ("clf", _CLF),  # the same without brackets
+    ("chat", rf"\({_WEEKDAY}, [0-9]{{1,2}} {_MON} [0-9]{{4}} {_CLOCK}\)"),  # RFC 5322 date in parentheses
+    ("syslog", rf"{_MON} [ 0-9]?[0-9] {_CLOCK}"),  # RFC 3164, no year
+    ("iso_date", _DATE),
+    ("us_datetime", rf"{_SLASHED} {_CLOCK}"),
+    ("us_date", _SLASHED),
 )
 #: How the part of each shape that is a time is read and printed; what stands around it stays.
 FORMATS = {"iso": "yyyy-MM-dd HH:mm:ss", "apache_error": "MMM d HH:mm:ss yyyy", "apache_access": "d/MMM/yyyy:HH:mm:ss", "clf": "d/MMM/yyyy:HH:mm:ss", "chat": "d MMM yyyy HH:mm:ss", "syslog": "yyyy MMM d HH:mm:ss", "iso_date": "yyyy-MM-dd", "us_datetime": "MM/dd/yyyy HH:mm:ss", "us_date": "MM/dd/yyyy"}
@@ -43,9 +46,9 @@ def read(value: Column, shape: Column, assume_year: int = 2024) -> Column:
     blanks = F.regexp_replace(value, r"\s+", " ")
     part = (
         F.when(shape == "iso", F.concat(F.substring(value, 1, 10), F.lit(" "), F.substring(value, 12, 8)))
-        .when(shape.isin("apache_access", "clf"), F.regexp_extract(value, rf"(\d{{1,2}}/{_MON}/\d{{4}}:{_CLOCK})", 1))
-        .when(shape == "apache_error", F.regexp_extract(blanks, rf"({_MON} \d{{1,2}} {_CLOCK} \d{{4}})", 1))
-        .when(shape == "chat", F.regexp_extract(blanks, rf"(\d{{1,2}} {_MON} \d{{4}} {_CLOCK})", 1))
+        .when(shape.isin("apache_access", "clf"), F.regexp_extract(value, rf"([0-9]{{1,2}}/{_MON}/[0-9]{{4}}:{_CLOCK})", 1))
+        .when(shape == "apache_error", F.regexp_extract(blanks, rf"({_MON} [0-9]{{1,2}} {_CLOCK} [0-9]{{4}})", 1))
+        .when(shape == "chat", F.regexp_extract(blanks, rf"([0-9]{{1,2}} {_MON} [0-9]{{4}} {_CLOCK})", 1))
         .when(shape == "syslog", F.concat(F.lit(f"{assume_year} "), blanks))
         .otherwise(blanks)
     )
@@ -57,7 +60,7 @@ def read(value: Column, shape: Column, assume_year: int = 2024) -> Column:
 
 def printed(at: Column, shape: Column, value: Column) -> Column:
     """The time in its shape; separators, fractions and zone texts stay as they are."""
-    zone = F.regexp_extract(value, rf"\d{{4}}:{_CLOCK}(.*)$", 1)
+    zone = F.regexp_extract(value, rf"[0-9]{{4}}:{_CLOCK}(.*)$", 1)
     day = F.date_format(at, "dd/MMM/yyyy:HH:mm:ss")
     return F.coalesce(
         F.when(shape == "iso", F.concat(F.date_format(at, "yyyy-MM-dd"), F.substring(value, 11, 1), F.date_format(at, "HH:mm:ss"), F.substring(value, 20, 40)))

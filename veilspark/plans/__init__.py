@@ -1 +1,3 @@
 
+
+from . import detection, logs, lookups, redaction, reports, tables  # noqa: F401

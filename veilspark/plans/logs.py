@@ -41,14 +41,13 @@ def time_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeshift.shifted(log_lines(spark, sf_dir), 5400, assume_year=2024).select("doc_id", "text", "n_times")
 
 
-@query(oracle="""with f as (select event_id, case when event_id % 9 in (6, 8) then date_trunc('day', ts) else date_trunc('second', ts) end as t0, ts from events where event_id % 9 <> 5)
+@query(oracle="""with f as (select event_id, case when event_id % 9 in (6, 8) then date_trunc('day', ts) else date_trunc('second', ts) end as t0, ts from events)
   select event_id as doc_id, case event_id % 9 when 0 then '2030-01-01T00:00:00.250+02:00' when 1 then '[Tue Jan 01 00:00:00 2030]' when 2 then '[01/Jan/2030:00:00:00 +0100]' when 3 then 'at 01/Jan/2030:00:00:00 end'
-   when 4 then '(Tue, 01 Jan 2030 00:00:00)' when 6 then 'on 2030-01-01!' when 7 then '01/01/2030 00:00:00;'
+   when 4 then '(Tue, 01 Jan 2030 00:00:00)' when 5 then 'Jan 01 00:00:00 host' when 6 then 'on 2030-01-01!' when 7 then '01/01/2030 00:00:00;'
    else '01/01/2030' || chr(10) || 'second line ' || strftime(timestamp '2024-02-03 04:05:06' + (timestamp '2030-01-01' - t0), '%Y-%m-%d %H:%M:%S') end as head from f""")
 def time_shift_to_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document moved so that its first time becomes a given start (TIM-04, WIN-08); the shape without a year is left out."""
-    lines = log_lines(spark, sf_dir).where("doc_id % 9 <> 5")
-    return timeshift.shifted(lines, first_at="2030-01-01 00:00:00").select("doc_id", F.regexp_replace("text", r" user=.*$", "").alias("head"))
+    """Each document moved so that its first time becomes a given start (TIM-04, WIN-08); the shape without a year takes 2024."""
+    return timeshift.shifted(log_lines(spark, sf_dir), first_at="2030-01-01 00:00:00", assume_year=2024).select("doc_id", F.regexp_replace("text", r" user=.*$", "").alias("head"))
 
 
 @query(oracle="select cast(count(*) + count(*) filter (event_id % 9 = 8) as bigint) as n_all, count(*) filter (event_id % 9 in (0, 1, 2, 4, 5, 7, 8)) as n_line_start from events")
@@ -58,11 +57,11 @@ def time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n_all"), F.count_if(timeshift.at_line_start(F.col("text"), F.col("s.start"))).alias("n_line_start"))
 
 
-@query(oracle="select event_id as doc_id, case when event_id % 9 in (6, 8) then date_trunc('day', ts) else date_trunc('second', ts) end as at from events where event_id % 9 <> 5")
+@query(oracle="select event_id as doc_id, case when event_id % 9 in (6, 8) then date_trunc('day', ts) when event_id % 9 = 5 then strptime('2024-' || strftime(ts, '%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') else date_trunc('second', ts) end as at from events")
 def first_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first time of a line (TIM-07)."""
-    found = timeshift.found(log_lines(spark, sf_dir).where("doc_id % 9 <> 5")).withColumn("s", F.get("times", 0))
-    return found.select("doc_id", timeshift.read(F.col("s.value"), F.col("s.rule")).alias("at"))
+    found = timeshift.found(log_lines(spark, sf_dir)).withColumn("s", F.get("times", 0))
+    return found.select("doc_id", timeshift.read(F.col("s.value"), F.col("s.rule"), assume_year=2024).alias("at"))
 
 
 # Texts of every kind, with the key of an order in them.
@@ -92,12 +91,7 @@ def content_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(classify.language(F.col("text")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-_AUTH_SQL = " + ".join(f"cast(regexp_matches(h, {sql(p)}) as int)" for p in classify.AUTH)
-_TIMES_SQL = " or ".join(f"regexp_matches(substr(text, 1, 5000), {sql(p)})" for p in classify.TIMES)
-
-
-@query(oracle=f"""with {KINDS_CTE}, k as (select *, substr(text, 1, 15000) as h from kinds), f as (select doc_id, {classify.duck_first_kind('h', classify.LOG_KINDS, '')} as f, ({_AUTH_SQL}) >= 2 as a, ({_TIMES_SQL}) as has_times from k),
-  g as (select doc_id, case when f <> '' then f when a then 'auth' else 'none' end as kind, has_times from f)
+@query(oracle=f"""with {KINDS_CTE}, g as (select doc_id, {classify.duck_first_kind('text', classify.LOG_KINDS, 'none')} as kind, regexp_matches(text, {sql(classify.TIMES)}) as has_times from kinds)
   select doc_id, kind, has_times, case kind {' '.join(f"when '{k}' then '{v}'" for k, v in classify.PRESETS.items())} end as preset from g""")
 def log_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log kinds, presence of times and the preset for each kind (CLS-08 to CLS-16, CLS-19)."""

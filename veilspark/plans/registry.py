@@ -1,6 +1,6 @@
 """All registered queries and their DuckDB twins.
 
-Each module of this folder adds its own queries with @query; a query takes (spark, sf_dir).
+Each module of this folder, imported in its __init__, adds its own queries with @query; a query takes (spark, sf_dir).
 """
 
 from __future__ import annotations
@@ -29,5 +29,3 @@ def sql(text: str) -> str:
     """A string for SQL."""
     return "'" + text.replace("'", "''") + "'"
 
-
-from . import detection, logs, lookups, redaction, reports, tables  # noqa: E402, F401
