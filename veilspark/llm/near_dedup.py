@@ -49,6 +49,8 @@ SIGNED, MAPPED = [f"s{i}" for i in range(PLACES // PLACES_HELD)], [f"m{i}" for i
 FETCH_BOUND = 200_000
 #: Turns in which members meet their keys' leaders before the rest is compared.
 STAR_TURNS = 2
+#: Links for which components() has a task.
+PART_LINKS = 500_000
 #: Distinct words whose hashes a task keeps.
 WORDS_HELD = 300_000
 
@@ -198,19 +200,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); the root is the least node of its component."""
-    edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    """(node, root) for every node of the edges (a, b); the root is the least node of its component.
+
+    Links are few against documents, so that they are dealt to a task for every PART_LINKS, not to all shuffle partitions.
+    """
+    parts = 1 + edges.count() // PART_LINKS
+
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts)
+
+    edges = checkpointed(few(few(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")).distinct()))
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = few(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.where("a <> b").distinct())
+        large = few(few(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct())
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = checkpointed(few(few(small.where("a <> b")).distinct()))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(few(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
         before = now
 
 
