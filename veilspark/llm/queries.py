@@ -101,8 +101,8 @@ def op9_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}"
     rans.write_files(documents(spark, sf_dir), tokenizer_json(), path)
     files = spark.read.parquet(path)
-    read = rans.read_documents(files).join(rans.part_starts(files), "part")
-    return read.select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    read = rans.read_digests(files).join(rans.part_starts(files), "part")
+    return read.select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,10 @@ before them (4 bytes), the first checkpoint being the block's start; then all bl
 
 Rows are dealt by ranges of id, with a hash of the text behind it so that a repeated id can be split,
 and sorted; part k of the files holds the k-th range. Nulls: a null text counts as empty; null ids
-come first. Empty documents have their end id only. Empty tables give no file.
+come first. Empty documents have their end id only. Empty tables give no file. Repeated rows are coded one by
+one. Other columns are not read, whatever their names. A very long text makes one longer section.
+
+Beside each section stand its documents' ids and lengths with a checksum of their own.
 """
 
 from __future__ import annotations
@@ -135,17 +138,22 @@ class Section:
         self.first = np.cumsum([0, *self.words])[:-1]
 
     def decode(self, blocks: list[int], checkpoint: int = 0) -> list[np.ndarray]:
-        """The ids of some blocks, from a checkpoint on; whole blocks are held against their checksums."""
+        """The ids of some blocks, from a checkpoint on; whole blocks are held against their checksums.
+
+        What lies between two checkpoints is decoded side by side with all the rest.
+        """
         if not blocks:
             return []
-        s0 = checkpoint * CHECKPOINT
-        state = np.concatenate([self.marks[b][checkpoint] for b in blocks])
-        read = np.array([self.first[b] + self.before[b][checkpoint] for b in blocks], np.int64)
-        out = np.zeros((self.steps - s0, len(blocks) * LANES), np.int32)
-        left = np.array([self.sizes[b] for b in blocks])[:, None] - np.arange(LANES)[None, :]
+        marks = range(checkpoint, _checkpoints(self.steps))
+        runs = [(b, k) for b in blocks for k in marks]
+        state = np.concatenate([self.marks[b][k] for b, k in runs])
+        read = np.array([self.first[b] + self.before[b][k] for b, k in runs], np.int64)
+        steps = min(CHECKPOINT, self.steps)
+        out = np.zeros((steps, len(runs) * LANES), np.int32)
+        left = np.array([self.sizes[b] - k * CHECKPOINT * LANES for b, k in runs])[:, None] - np.arange(LANES)[None, :]
         left = left.ravel()
         low, body = np.uint64((1 << PRECISION) - 1), np.append(self.body, np.uint32(0))
-        for s in range(s0, self.steps):
+        for s in range(steps):
             slot = state & low
             at = self.slots[slot.astype(np.int64)]
             x = self.share[at] * (state >> np.uint64(PRECISION)) + slot - self.start[at]
@@ -153,14 +161,15 @@ class Section:
             if not live.all():
                 x = np.where(live, x, state)
             take = (x < LOW) & live
-            by_block = take.reshape(-1, LANES)
-            place = (read[:, None] + np.cumsum(by_block, axis=1) - 1).ravel()
+            by_run = take.reshape(-1, LANES)
+            place = (read[:, None] + np.cumsum(by_run, axis=1) - 1).ravel()
             state = np.where(take, (x << np.uint64(32)) | body[np.where(take, place, -1)], x)
-            read += by_block.sum(axis=1)
-            out[s - s0] = at
+            read += by_run.sum(axis=1)
+            out[s] = at
         found = []
-        for i, b in enumerate(blocks):
-            ids = self.symbols[out[:, i * LANES : (i + 1) * LANES].ravel()[: max(0, self.sizes[b] - s0 * LANES)]]
+        by_lanes = out.reshape(steps, len(runs), LANES).transpose(1, 0, 2).reshape(len(blocks), -1)
+        for own, b in zip(by_lanes, blocks):
+            ids = self.symbols[own[: max(0, self.sizes[b] - checkpoint * CHECKPOINT * LANES)]]
             if not checkpoint and zlib.crc32(ids.astype("<u4").tobytes()) != self.crc[b]:
                 raise ValueError(f"block {b} does not match its checksum")
             found.append(ids)
@@ -180,13 +189,19 @@ def _by_library(tokenizer_json: str):
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.no_truncation(), tokenizer.no_padding()
     chars = bpe.byte_characters()
+    blank = chars[ord(" ")]
 
     def ids_of(parts: list[str]) -> Iterator[list[int]]:
         mixed = [p for p in parts if not (p[1:] if p[:1] == " " else p).isalpha()]
         whole = dict(zip(mixed, tokenizer.encode_batch_fast(mixed, add_special_tokens=False)))
         tokenize = tokenizer.model.tokenize
         for p in parts:
-            yield whole[p].ids if p in whole else [t.id for t in tokenize("".join(map(chars.__getitem__, p.encode())))]
+            if p in whole:
+                yield whole[p].ids
+            elif p.isascii():
+                yield [t.id for t in tokenize(blank + p[1:] if p[0] == " " else p)]
+            else:
+                yield [t.id for t in tokenize("".join(map(chars.__getitem__, p.encode())))]
 
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         flat, sizes = [np.zeros(0, np.int32)], []
@@ -199,8 +214,13 @@ def _by_library(tokenizer_json: str):
     return encode
 
 
+def _head_crc(docs: pa.Array, lengths: list[int]) -> int:
+    """The checksum of a section's document ids and lengths."""
+    return zlib.crc32(repr((docs.to_pylist(), lengths)).encode())
+
+
 def write_files(docs: DataFrame, tokenizer_json: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
-    """Writes rows (part, section, start, ids_of_docs, lengths, data); start counts the ids of the part's earlier sections."""
+    """Writes rows (part, section, start, docs, lengths, head_crc, data); start counts the ids of the part's earlier sections."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -211,8 +231,9 @@ def write_files(docs: DataFrame, tokenizer_json: str, path: str, id_col: str = "
         def out() -> pa.RecordBatch:
             data = encode_section(np.concatenate(held))
             row = {"part": pa.array([part], pa.int32()), "section": pa.array([section], pa.int32()), "start": pa.array([start], pa.int64())}
-            row |= {"docs": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(keys))}
-            row |= {"lengths": pa.array([[len(x) for x in held]], pa.list_(pa.int64())), "data": pa.array([data], pa.binary())}
+            own, lengths = pa.concat_arrays(keys), [len(x) for x in held]
+            row |= {"docs": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), own)}
+            row |= {"lengths": pa.array([lengths], pa.list_(pa.int64())), "head_crc": pa.array([_head_crc(own, lengths)], pa.int64()), "data": pa.array([data], pa.binary())}
             return pa.record_batch(row)
 
         for now, rows in bpe.rounds(batches, 1):
@@ -230,30 +251,39 @@ def write_files(docs: DataFrame, tokenizer_json: str, path: str, id_col: str = "
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"), F.xxhash64(text_of(text_col)).alias("h"))
     sorted_rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "t")
-    sorted_rows.mapInArrow(released(run), f"part int, section int, start bigint, docs array<{kind}>, lengths array<bigint>, data binary").write.option("compression", "none").parquet(path)
+    sorted_rows.mapInArrow(released(run), f"part int, section int, start bigint, docs array<{kind}>, lengths array<bigint>, head_crc bigint, data binary").write.option("compression", "none").parquet(path)
 
 
-def read_documents(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, part, start_in_part, ids) of every document, decoded from the files' sections."""
+def _read(files: DataFrame, id_col: str, columns: str, told) -> DataFrame:
+    """(id, part, start_in_part, columns..) of every document; told: a document's ids in bytes to the columns' values."""
     kind = files.schema["docs"].dataType.elementType.simpleString()
+    schema = f"`{id_col}` {kind}, part int, start_in_part bigint, {columns}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                docs, lengths = b.column(2).slice(i, 1).flatten(), np.array(b.column(3)[i].as_py(), np.int64)
-                ids = decode_section(b.column(4)[i].as_py())
-                ends = np.cumsum(lengths)
+                part, start, docs, lengths, crc, data = (b.column(k)[i] for k in range(6))
+                docs, lengths = docs.values, lengths.as_py()
+                if _head_crc(docs, lengths) != crc.as_py():
+                    raise ValueError("a section's documents do not match their checksum")
+                ids, ends = decode_section(data.as_py()).astype("<u4"), np.cumsum(lengths)
+                found = list(zip(*[told(x.tobytes()) for x in np.split(ids, ends[:-1])]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        docs,
-                        pa.array(np.full(len(docs), b.column(0)[i].as_py()), pa.int32()),
-                        pa.array(b.column(1)[i].as_py() + ends - lengths, pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])], pa.binary()),
-                    ],
-                    [id_col, "part", "start_in_part", "ids"],
+                    [docs, pa.array(np.full(len(docs), part.as_py()), pa.int32()), pa.array(start.as_py() + ends - lengths, pa.int64()), *map(pa.array, found)],
+                    [id_col, "part", "start_in_part", *[c.split()[0] for c in columns.split(", ")]],
                 )
 
-    return files.select("part", "start", "docs", "lengths", "data").mapInArrow(released(run), f"`{id_col}` {kind}, part int, start_in_part bigint, ids binary")
+    return files.select("part", "start", "docs", "lengths", "head_crc", "data").mapInArrow(released(run), schema)
+
+
+def read_documents(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, part, start_in_part, ids) of every document, decoded from the files' sections; ids are 4 bytes each."""
+    return _read(files, id_col, "ids binary", lambda ids: (ids,))
+
+
+def read_digests(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, part, start_in_part, n_tokens, ids_crc32) of every document: as read_documents(), but the ids stay where they are decoded."""
+    return _read(files, id_col, "n_tokens bigint, ids_crc32 bigint", lambda ids: (len(ids) // 4, zlib.crc32(ids)))
 
 
 def part_starts(files: DataFrame) -> DataFrame:
