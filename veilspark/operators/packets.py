@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .report import ranked
 
 #: Services by port.
 SERVICES = {20: "ftp", 21: "ftp", 22: "ssh", 23: "telnet", 25: "smtp", 53: "dns", 67: "dhcp", 68: "dhcp", 80: "http", 110: "pop3", 123: "ntp", 137: "netbios", 138: "netbios", 139: "netbios", 143: "imap", 161: "snmp", 443: "https", 445: "smb", 587: "smtp", 993: "imaps", 3306: "mysql", 3389: "rdp", 5060: "sip", 5432: "postgres", 6379: "redis", 8080: "http"}
@@ -72,21 +73,27 @@ def first_numbers(packets: DataFrame, sides: list[str]) -> DataFrame:
     """
     at = F.explode(F.array(*[F.struct(F.col(c).alias("value"), F.lit(i).alias("side")) for i, c in enumerate(sides)]))
     first = packets.select("packet_no", at.alias("x")).where("x.value is not null").groupBy("x.value").agg(F.min(F.struct("packet_no", "x.side")).alias("f"))
-    dealt = first.repartitionByRange("f.packet_no", "f.side", "value").withColumn("part", F.spark_partition_id())
-    within = F.row_number().over(W.partitionBy("part").orderBy("f.packet_no", "f.side", "value"))
-    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a partition
-    return dealt.withColumn("k", within).join(counts.select("part", before.alias("b")), "part").select("value", (F.col("k") + F.col("b")).alias("number"))
+    return ranked(first.select("value", "f.packet_no", "f.side", F.lit(0).alias("all")), "all", ["packet_no", "side", "value"]).select("value", "number")
+
+
+def _beyond(n: Column, what: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"no {what} left for number "), n.cast("string")))
 
 
 def v4_pseudonym(n: Column) -> Column:
-    """n from 1: hosts 1 to 254 of three documentation networks, then 198.18.0.0/15 so that no two share one."""
+    """n from 1: hosts 1 to 254 of three documentation networks, then 198.18.0.0/15, then 240.0.0.0/4; an error beyond, as no two may share one."""
     m = n - 1
     out = F.when(F.lit(False), F.lit(""))
     for i, net in enumerate(DOC_NETS):
         out = out.when(F.floor(m / 254) == i, F.concat(F.lit(net + "."), (m % 254 + 1).cast("string")))
     r = m - 254 * len(DOC_NETS)
-    return out.otherwise(F.concat(F.lit("198."), (18 + F.floor(r / 65536) % 2).cast("string"), F.lit("."), (F.floor(r / 256) % 256).cast("string"), F.lit("."), (r % 256).cast("string")))
+
+    def address(first: Column, x: Column) -> Column:
+        return F.concat(first.cast("string"), F.lit("."), (F.shiftright(x, 16) % 256).cast("string"), F.lit("."), (F.shiftright(x, 8) % 256).cast("string"), F.lit("."), (x % 256).cast("string"))
+
+    bench, free = 1 << 17, r - (1 << 17)
+    out = out.when(r < bench, address(F.lit(198), r + (18 << 16)))
+    return out.when(free < 15 << 24, address(240 + F.shiftright(free, 24), free)).otherwise(_beyond(n, "address"))
 
 
 def v6_pseudonym(n: Column) -> Column:
@@ -94,19 +101,22 @@ def v6_pseudonym(n: Column) -> Column:
 
 
 def mac_pseudonym(n: Column, value: Column) -> Column:
-    """02:00:00 and the number; broadcast, zero and multicast addresses stay."""
-    h = F.lpad(F.lower(F.hex(n)), 6, "0")
+    """02 and the number in five octets; broadcast, zero and multicast addresses stay."""
     kept = (F.lower(value) == "ff:ff:ff:ff:ff:ff") | (value == "00:00:00:00:00:00") | F.lower(value).rlike("^.[13579bdf]")
-    return F.when(kept, value).otherwise(F.concat(F.lit("02:00:00:"), F.substring(h, 1, 2), F.lit(":"), F.substring(h, 3, 2), F.lit(":"), F.substring(h, 5, 2)))
+    octets = F.regexp_replace(F.lpad(F.lower(F.hex(n)), 10, "0"), "(..)", ":$1")
+    return F.when(kept, value).when(n >= 1 << 40, _beyond(n, "hardware address")).otherwise(F.concat(F.lit("02"), octets))
 
 
 def port_pseudonym(n: Column, port: Column, keep_known: bool = True) -> Column:
+    """49152 to 65535 first, then 1024 to 49151, then, unless known ports are kept, 1 to 1023."""
     kept = (port == 0) | ((port < 1024) if keep_known else F.lit(False))
-    return F.when(kept, port).otherwise((49152 + (n - 1) % 16384).cast("int"))
+    out = F.when(kept, port).when(n <= 16384, (49151 + n).cast("int")).when(n <= 64512, (n - 16384 + 1023).cast("int"))
+    return (out if keep_known else out.when(n <= 65535, (n - 64512).cast("int"))).otherwise(_beyond(n, "port").cast("int"))
 
 
 def domain_pseudonym(n: Column, name: Column) -> Column:
-    return F.when(name.isin("", "."), name).otherwise(F.concat(F.lit("anon"), F.lpad(n.cast("string"), 5, "0"), F.lit(".example.com")))
+    number = n.cast("string")
+    return F.when(name.isin("", "."), name).otherwise(F.concat(F.lit("anon"), F.lpad(number, F.greatest(F.length(number), F.lit(5)), F.lit("0")), F.lit(".example.com")))
 
 
 def service(port: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.functions.catalogue import Rule
+from veilspark.sources.shared import written
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
@@ -31,7 +32,7 @@ def totals(spans: DataFrame) -> DataFrame:
 
 def by_category(spans: DataFrame, rules: DataFrame) -> DataFrame:
     """Counts of rules with their category's total and the category's place by total."""
-    n = spans.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(rules.select("rule", "category")), "rule")
+    n = spans.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(rules.select("rule", "category"), "rule")
     n = n.withColumn("category_total", F.sum("n").over(W.partitionBy("category")))
     return n.withColumn("category_rank", F.dense_rank().over(W.orderBy(F.col("category_total").desc(), "category")).cast("long"))
 
@@ -44,7 +45,7 @@ def mapping(replaced: DataFrame) -> DataFrame:
 
 def audit(spans: DataFrame, most: int = 100) -> DataFrame:
     """Per rule: hits, distinct values, and the first distinct values in order (ranked, so that no group is gathered whole)."""
-    counts = spans.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(spans.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n")))
     ranked = counts.withColumn("k", F.row_number().over(W.partitionBy("rule").orderBy("value"))).where(F.col("k") <= most)
     listed = ranked.groupBy("rule").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), "|").alias("sample"))
     return counts.groupBy("rule").agg(F.sum("n").alias("n_hits"), F.count(F.lit(1)).alias("n_distinct")).join(listed, "rule")
@@ -58,7 +59,7 @@ def samples(spans: DataFrame, most: int = 3) -> DataFrame:
 
 def suggestions(spans: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules with hits, and whether they are on: those that are off are suggested."""
-    return spans.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(rules), "rule").select("rule", "label", "category", "n", F.when(F.col("enabled"), "active").otherwise("suggested").alias("kind"))
+    return spans.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).join(rules, "rule").select("rule", "label", "category", "n", F.when(F.col("enabled"), "active").otherwise("suggested").alias("kind"))
 
 
 def without_hits(spans: DataFrame, rules: DataFrame) -> DataFrame:
@@ -66,26 +67,31 @@ def without_hits(spans: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.where("enabled").join(spans.select("rule").distinct(), "rule", "left_anti").select("rule", "label")
 
 
-def corpus_numbers(spans: DataFrame) -> DataFrame:
-    """(value, rule, number): numbers by first appearance over the whole corpus, per rule of the first hit.
+def ranked(rows: DataFrame, group: str, order: list[str], out: str = "number") -> DataFrame:
+    """rows with their number in their group, from 1, in the order given.
 
-    Two passes, so that no task sees all values: values are range-partitioned by (rule, place of first
-    appearance) and counted per partition and rule, and the earlier partitions' counts are added to
-    the place within the partition.
+    Two passes, so that no task sees a whole group: rows are range-partitioned by (group, order) and written with
+    their part's number; the parts' counts, one row for each part and group, are summed before each part and added to
+    the place within the part. Written, because rows that are dealt anew, or read in other parts, would get other numbers.
     """
+    dealt = written(rows.repartitionByRange(group, *order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("__group"), F.col("__part").alias("__p"), before.alias("__before"))
+    within = dealt.withColumn("__k", F.row_number().over(W.partitionBy("__part", group).orderBy(*order)))
+    joined = within.join(offsets, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn(out, F.col("__k") + F.col("__before")).drop("__part", "__k", "__group", "__p", "__before")
+
+
+def corpus_numbers(spans: DataFrame) -> DataFrame:
+    """(value, rule, number): numbers by first appearance over the whole corpus, per rule of the first hit."""
     first = spans.groupBy("value").agg(F.min(F.struct("doc_id", "start", "rule")).alias("f")).select("value", "f.rule", "f.doc_id", "f.start")
-    dealt = first.repartitionByRange("rule", "doc_id", "start").withColumn("part", F.spark_partition_id())
-    within = F.row_number().over(W.partitionBy("part", "rule").orderBy("doc_id", "start"))
-    counts = dealt.groupBy("rule", "part").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy("rule").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("rule", "part", before.alias("before"))
-    return dealt.withColumn("k", within).join(offsets, ["rule", "part"]).select("value", "rule", (F.col("k") + F.col("before")).alias("number"))
+    return ranked(first, "rule", ["doc_id", "start"]).select("value", "rule", "number")
 
 
 def dictionary_continued(values: DataFrame, old: DataFrame) -> DataFrame:
     """(kind, original, number): an imported dictionary kept as it is, and new originals numbered after its largest number."""
     new = values.select("kind", "original").distinct().join(old, ["kind", "original"], "left_anti")
     top = old.groupBy("kind").agg(F.max("number").alias("top"))
-    k = F.row_number().over(W.partitionBy("kind").orderBy("original"))
-    fresh = new.withColumn("k", k).join(F.broadcast(top), "kind", "left").select("kind", "original", (F.col("k") + F.coalesce("top", F.lit(0))).alias("number"))
+    fresh = ranked(new, "kind", ["original"], "k").join(top, "kind", "left").select("kind", "original", (F.col("k") + F.coalesce("top", F.lit(0))).alias("number"))
     return old.select("kind", "original", "number").unionByName(fresh)

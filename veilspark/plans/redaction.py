@@ -118,11 +118,14 @@ def redact_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 _N = "row_number() over (partition by doc_id, rule order by s)"
 
 
+def _wide(width: int) -> str:
+    return f"lpad(cast({_N} as varchar), greatest({width}, length(cast({_N} as varchar)))::int, '0')"
+
+
 @query(
     oracle=duck_redacted(
-        f"case rule when 'email' then 'user' || {_N} || '@example.com' when 'ipv4' then '192.0.2.' || lpad(cast({_N} % 1000 as varchar), 3, '0') when 'hostname' then 'host' || {_N} || '.example.com' "
-        f"when 'credit_card' then '4000-0000-0000-' || lpad(cast({_N} % 10000 as varchar), 4, '0') when 'phone_us' then '555-010-' || lpad(cast({_N} % 10000 as varchar), 4, '0') "
-        f"when 'generic_secret' then 'secret-' || lpad(cast({_N} % 10000 as varchar), 4, '0') else lpad(cast({_N} as varchar), 40, '0') end",
+        f"case rule when 'email' then 'user' || {_N} || '@example.com' when 'ipv4' then '192.0.2.' || {_wide(3)} when 'hostname' then 'host' || {_N} || '.example.com' "
+        f"when 'credit_card' then '4000-0000-0000-' || {_wide(4)} when 'phone_us' then '555-010-' || {_wide(4)} when 'generic_secret' then 'secret-' || {_wide(4)} else {_wide(40)} end",
         SEVEN,
     )
 )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.functions import catalogue
-from veilspark.operators import replace, report, spans
+from veilspark.operators import lookup, replace, report, spans
+from veilspark.sources.shared import written
 
 from .planted import TEXTS_CTE, texts
 from .redaction import RESOLVED, SEVEN, duck_redacted, duck_spans, redacted, resolved_documents
@@ -100,7 +101,7 @@ def rules_without_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refilter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished spans filtered by the rules that are on, without a new scan (FLT-02, FLT-08)."""
     on = report.rule_table(spark, catalogue.RULES).where("enabled").select("rule")
-    return span_table(spark, sf_dir).join(F.broadcast(on), "rule", "left_semi").select("doc_id", "rule", "start")
+    return span_table(spark, sf_dir).join(on, "rule", "left_semi").select("doc_id", "rule", "start")
 
 
 _CONTEXT = """
@@ -134,9 +135,9 @@ def corpus_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
   select kind, original, row_number() over (partition by kind order by original) + coalesce(top, 0) from new left join top using (kind)""")
 def dictionary_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An imported dictionary is kept and its numbers go on (SRC-11, J-12)."""
-    rows = span_table(spark, sf_dir).select("doc_id", F.col("rule").alias("kind"), F.col("value").alias("original"))
-    old = rows.where("doc_id >= 0").select("kind", "original").distinct().withColumn("number", F.row_number().over(W.partitionBy("kind").orderBy("original")))
-    return report.dictionary_continued(rows, old)
+    rows = written(span_table(spark, sf_dir).select("doc_id", F.col("rule").alias("kind"), F.col("value").alias("original")))
+    old = report.ranked(rows.where("doc_id >= 0").select("kind", "original").distinct(), "kind", ["original"])
+    return report.dictionary_continued(rows, written(old))
 
 
 @query(oracle=f"""{_REPLACED} select doc_id, s as "start", cast(s + coalesce(sum(length(replacement) - length(value)) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding), 0) as bigint) as out_start from replaced""")
@@ -209,18 +210,18 @@ def reveal_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.join(F.broadcast(known), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query(oracle="""with w as (select item_id, lower(trim(text)) as t from benchmark), d as (select doc_id, lower(text) as t from documents)
+@query(oracle="""with w as (select item_id, lower(trim(text)) as t from benchmark union all
+   select -1 - item_id, split_part(lower(trim(text)), ' ', 1 + cast(item_id % 3 as int)) from benchmark union all
+   select -1000000 - item_id, array_to_string(string_split(lower(trim(text)), ' ')[2:1 + 2 + cast(item_id % 4 as int)], ' ') from benchmark),
+   d as (select doc_id, lower(text) as t from documents)
   select doc_id, item_id from d join w on contains(d.t, w.t) where length(w.t) > 0""")
 def literal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a literal of a list, by the literal's second to fifth word: an equi join of word windows, then a test (J-07). Literals of at least six words."""
-
-    def windows(words, k: int):
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
-
-    parted = r"[\x20\x09-\x0D]+"
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("lit")).where("length(lit) > 0")
-    items = items.withColumn("key", F.array_join(F.slice(F.split("lit", parted), 2, 4), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    keys = docs.select("doc_id", F.split("t", parted).alias("words")).select("doc_id", F.explode(windows(F.col("words"), 4)).alias("key"))
-    hits = keys.join(items.select("item_id", "key", "lit"), "key").select("doc_id", "item_id", "lit").distinct()
-    return hits.join(docs, "doc_id").where(F.contains("t", F.col("lit"))).select("doc_id", "item_id")
+    """Documents that hold a literal of a list (J-07): the benchmark's items, and words and phrases of one to five words from them."""
+    text = F.lower(F.trim("text"))
+    items = table(spark, sf_dir, "benchmark")
+    words = F.split(text, " ")
+    one = items.select((-1 - F.col("item_id")).alias("item_id"), F.get(words, (F.col("item_id") % 3).cast("int")).alias("literal"))
+    few = items.select((-1000000 - F.col("item_id")).alias("item_id"), F.array_join(F.slice(words, F.lit(2), (F.col("item_id") % 4).cast("int") + 2), " ").alias("literal"))
+    literals = items.select("item_id", text.alias("literal")).unionByName(one).unionByName(few).where("length(literal) > 0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return lookup.literal_hits(docs, literals)

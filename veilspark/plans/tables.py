@@ -60,7 +60,7 @@ def _first(sides: list[str]) -> str:
     return f"f as (select value, arg_min(side, (packet_no, side)) as side, min(packet_no) as packet_no from ({union}) group by value), num as (select value, row_number() over (order by packet_no, side, value) as n from f)"
 
 
-_V4 = "case when n <= 762 then (case (n - 1) // 254 when 0 then '192.0.2.' when 1 then '198.51.100.' else '203.0.113.' end) || ((n - 1) % 254 + 1) else '198.' || (18 + (n - 763) // 65536 % 2) || '.' || ((n - 763) // 256 % 256) || '.' || ((n - 763) % 256) end"
+_V4 = "case when n <= 762 then (case (n - 1) // 254 when 0 then '192.0.2.' when 1 then '198.51.100.' else '203.0.113.' end) || ((n - 1) % 254 + 1) when n <= 131834 then '198.' || (18 + (n - 763) // 65536 % 2) || '.' || ((n - 763) // 256 % 256) || '.' || ((n - 763) % 256) end"
 
 
 @query(oracle=f"with {PACKETS_CTE}, {_first(['src_ip', 'dst_ip'])} select value as original, n as number, {_V4} as replacement, '2001:db8::' || lower(to_hex(n)) as v6 from num")
@@ -87,7 +87,7 @@ def anonymised_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle=f"""with {PACKETS_CTE}, f as (select *, row_number() over (order by src_port) as x from (select distinct src_port from packets)), g as (select src_port, x as n from f)
-  select src_port, case when src_port < 1024 then src_port else cast(49152 + (n - 1) % 16384 as int) end as port, 'anon' || lpad(cast(n as varchar), 5, '0') || '.example.com' as domain from g""")
+  select src_port, case when src_port < 1024 then src_port when n <= 16384 then cast(49151 + n as int) else cast(n - 16384 + 1023 as int) end as port, 'anon' || lpad(cast(n as varchar), greatest(5, length(cast(n as varchar)))::int, '0') || '.example.com' as domain from g""")
 def port_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PKT-04, PKT-05. There are 65,536 ports at most, so one window numbers them."""
     d = packet_table(spark, sf_dir).select("src_port").distinct().withColumn("n", F.row_number().over(W.orderBy("src_port")))

@@ -6,12 +6,13 @@ expression without state, so a stream of lines takes the same plan as a table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from veilspark.functions.catalogue import Rule
 from veilspark.operators import replace, spans
+from veilspark.operators.report import ranked
 
 
 def with_watermark(stream: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -57,11 +58,16 @@ def numbered_batches(stream: DataFrame, dictionary: str):
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema("rule string, value string, number long, batch long").parquet(dictionary)
-        fresh = batch.select("rule", "value").distinct().join(old.where(F.col("batch") != batch_id), ["rule", "value"], "left_anti")
-        top = old.where(F.col("batch") != batch_id).groupBy("rule").agg(F.max("number").alias("top"))
-        k = F.row_number().over(W.partitionBy("rule").orderBy("value"))
-        out = fresh.withColumn("k", k).join(F.broadcast(top), "rule", "left").select("rule", "value", (F.col("k") + F.coalesce("top", F.lit(0))).cast("long").alias("number"))
+        try:
+            old = spark.read.schema("rule string, value string, number long, batch long").parquet(dictionary)
+        except AnalysisException as e:  # the first batch finds no dictionary yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            old = spark.createDataFrame([], "rule string, value string, number long, batch long")
+        old = old.where(F.col("batch") != batch_id)
+        fresh = batch.select("rule", "value").distinct().join(old, ["rule", "value"], "left_anti")
+        top = old.groupBy("rule").agg(F.max("number").alias("top"))
+        out = ranked(fresh, "rule", ["value"], "k").join(top, "rule", "left").select("rule", "value", (F.col("k") + F.coalesce("top", F.lit(0))).cast("long").alias("number"))
         out.write.mode("overwrite").parquet(f"{dictionary}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(add)
