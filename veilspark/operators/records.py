@@ -119,6 +119,34 @@ def semicircles(raw: Column) -> Column:
     return F.when(raw != 0x7FFFFFFF, F.round(raw * (180.0 / 2**31), 6))
 
 
+SENSORS = ("hr", "cad", "power", "temp", "ele", "ts")
+#: Device values without a reading, and what lies outside a sensor's range.
+RANGES = {"hr": (1, 254), "cad": (0, 254), "power": (0, 4000), "temp": (-60, 80)}
+
+
+def without_columns(points: DataFrame, drop: tuple[str, ...] = (), blank: tuple[str, ...] = ()) -> DataFrame:
+    """Points without some sensor columns, or with nulls in them; columns that are no sensor's are refused."""
+    if other := {*drop, *blank} - set(SENSORS):
+        raise ValueError(f"no sensor columns: {sorted(other)}")
+    return points.drop(*drop).withColumns({c: F.lit(None).cast(points.schema[c].dataType) for c in blank if c in points.columns and c not in drop})
+
+
+def in_range(points: DataFrame) -> DataFrame:
+    """Points with nulls for readings outside their sensor's range."""
+    return points.withColumns({c: F.when(F.col(c).between(*r), F.col(c)) for c, r in RANGES.items() if c in points.columns})
+
+
+def altitude(raw: Column) -> Column:
+    """Device units (fifths of a metre above -500 m) to metres; null for no reading."""
+    return F.when((raw >= 0) & (raw < 0xFFFF), raw / 5.0 - 500.0)
+
+
+def activity_summary(records_: DataFrame) -> DataFrame:
+    """(track_id, type, n, has_place, has_hr, has_power) of an activity's record rows."""
+    flags = {"has_place": F.col("lat").isNotNull() & F.col("lon").isNotNull(), "has_hr": F.col("hr").isNotNull(), "has_power": F.col("power").isNotNull()}
+    return records_.groupBy("track_id", "type").agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(v).alias(k) for k, v in flags.items()])
+
+
 def entities(tokens: DataFrame, least: float = 0.5) -> DataFrame:
     """Token rows (doc_id, token_no, label, word, score, start, end) merged to entities.
 

@@ -96,3 +96,12 @@ def shifted(df: DataFrame, seconds: int | None = None, first_at: str | None = No
     new = F.zip_with("times", "ats", lambda s, a: F.when(a.isNull(), s["value"]).otherwise(printed(moved(a, F.col("by")), s["rule"], s["value"])))
     held = held.withColumn("new", new)
     return held.withColumn("text", sp.applied(F.col("text"), F.col("times"), F.col("new"))).withColumn("n_times", F.size("times").cast("long")).drop("ats", "by", "new", "times")
+
+
+def preview(df: DataFrame, seconds: int, most: int = 3, assume_year: int = 2024) -> DataFrame:
+    """(doc_id, n, before, after): the first times of each document and what they become."""
+    held = found(df).select("doc_id", F.slice("times", 1, most).alias("times"))
+    rows = sp.rows_of(held, "times", ["doc_id"], "n")
+    at = read(F.col("s.value"), F.col("s.rule"), assume_year)
+    after = F.when(at.isNull(), F.col("s.value")).otherwise(printed(moved(at, F.lit(seconds)), F.col("s.rule"), F.col("s.value")))
+    return rows.select("doc_id", (F.col("n") + 1).alias("n"), F.col("s.value").alias("before"), after.alias("after"))

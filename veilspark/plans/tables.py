@@ -221,7 +221,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle=f"with {POINTS_CTE} select track_id, count(*) as n, round(avg(lat), 10) as lat, round(avg(lon), 10) as lon, min(lat) as south, max(lat) as north, min(lon) as west, max(lon) as east, min(ele) as lowest, max(ele) as highest, round((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 60, 4) as minutes from points group by track_id".replace("min(lat)", "cast(min(lat) as double)").replace("max(lat)", "cast(max(lat) as double)").replace("min(lon)", "cast(min(lon) as double)").replace("max(lon)", "cast(max(lon) as double)").replace("min(ele)", "cast(min(ele) as double)").replace("max(ele)", "cast(max(ele) as double)"))
 def track_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-15, AGG-16."""
+    """AGG-15."""
     s = records.track_statistics(points(spark, sf_dir))
     return s.withColumns({"lat": F.round("lat", 10), "lon": F.round("lon", 10), "minutes": F.round("minutes", 4)})
 
@@ -236,7 +236,7 @@ def moved_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle=f"""with {POINTS_CTE}, c as (select case {' '.join(f"when lat between {s} and {n} and lon between {w} and {e} then '{name}'" for name, s, n, w, e in records.CONTINENTS)} else 'unknown' end as continent, no_fix, raw from points)
   select continent, count(*) as n, count(*) filter (not no_fix) as with_fix, round(max(case when not no_fix then round(raw * (180.0 / 2147483648), 6) end), 4) as most from c group by continent""")
 def continents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TRK-02, TRK-03, TRK-04, FLT-17."""
+    """TRK-02, TRK-03, TRK-04."""
     rows = points(spark, sf_dir).withColumn("continent", records.continent(F.col("lat"), F.col("lon")))
     raw = F.when(F.col("no_fix"), F.lit(0x7FFFFFFF)).otherwise(F.col("raw"))
     rows = rows.withColumn("deg", records.semicircles(raw))

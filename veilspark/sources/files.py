@@ -84,3 +84,8 @@ def write_mapping_csv(mapping: DataFrame, path: str) -> None:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("kind string, original string, number long").json(path)
+
+
+def write_dictionary(numbered: DataFrame, path: str) -> None:
+    """(kind, original, replacement, number) as JSON lines, one folder a kind; read_dictionary() reads it back."""
+    numbered.select("kind", "original", "replacement", "number").write.partitionBy("kind").json(path)
