@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veilspark.llm import kneser_ney as kn
-from veilspark.llm import licenses, line_dedup, mixing, quality, queries, secrets
+from veilspark.llm import license_signatures, licenses, line_dedup, mixing, quality, queries, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in a is that for it as was with be by on not he his but at are this have from".split()
@@ -102,6 +103,66 @@ def test_license_keywords_are_in_all_that_a_signature_matches():
                     assert any(la.startswith(label) for la, _ in got), text
 
 
+def _example(rng, expression: str) -> str:
+    """A string that the expression matches."""
+    from re import _constants as k, _parser
+
+    def made(parsed) -> str:
+        out = []
+        for op, arg in parsed:
+            if op is k.LITERAL:
+                out.append(chr(arg))
+            elif op is k.IN:
+                kind, x = rng.choice(arg)
+                out.append("w" if kind is k.CATEGORY else chr(rng.randint(*x) if kind is k.RANGE else x))
+            elif op is k.MAX_REPEAT:
+                low, high, inner = arg
+                out += [made(inner) for _ in range(rng.randint(low, min(int(high), low + 2)))]
+            elif op is k.BRANCH:
+                out.append(made(rng.choice(arg[1])))
+            elif op is k.SUBPATTERN:
+                out.append(made(arg[3]))
+            else:
+                raise AssertionError(op)
+        return "".join(out)
+
+    return made(_parser.parse(expression))
+
+
+def _plainly_suppressed(found):
+    kept = []
+    for x in sorted(found, key=lambda m: (-m[2], m[0] - m[1], m[0], m[3], m[4])):
+        if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
+def test_license_signatures_against_ungated_matching():
+    rng, rules = random.Random(3), licenses.signatures()
+    gated, lines = licenses.by_keyword(rules), license_signatures.lines()
+    assert len(lines) >= 200 and len({x for _, _, x in lines}) == len(lines)
+    for label, _, expression in lines:
+        for _ in range(4):
+            own = _example(rng, expression)
+            assert re.fullmatch(expression, own), expression
+            have = {*own.split(), *(["license"] if "licence" in own.split() else [])}
+            assert {*licenses.keywords(expression)} <= have, (expression, own)
+    for _ in range(60):
+        pieces = [_example(rng, rng.choice(lines)[2]) if rng.random() < 0.7 else "some words between under the mit license" for _ in range(rng.randrange(1, 6))]
+        words = licenses.words_of(" ".join(pieces).encode())
+        text = b" ".join(words)
+        want = _plainly_suppressed([(m.start(), m.end(), p, la, f) for la, f, p, pattern, _, _ in rules for m in pattern.finditer(text)])
+        got = [x for x in licenses.scan(words, gated) if x["rule"] != "base"]
+        assert [(x["label"], x["rule"], x["first"], x["last"]) for x in got] == [(x[3], x[4], text.count(b" ", 0, x[0]), text.count(b" ", 0, x[1])) for x in want]
+
+
+def test_a_long_text_of_repeated_notices():
+    words = licenses.words_of(b"permission is hereby granted free of charge to any person obtaining a copy of this software under the mit license " * 8_000)
+    began = time.time()
+    found = licenses.scan(words, licenses.by_keyword(licenses.signatures()))
+    assert len([x for x in found if x["rule"] == "base"]) == 8_000 and time.time() - began < 60
+
+
 def test_suppression_keeps_the_higher_of_nested_finds():
     found = [(0, 10, 50, "a", "mention"), (2, 8, 90, "b", "title"), (0, 30, 80, "c", "grant"), (40, 50, 50, "d", "mention"), (45, 60, 50, "e", "mention")]
     assert [x[3] for x in licenses.suppressed(found)] == ["c", "b", "d", "e"]

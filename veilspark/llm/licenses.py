@@ -1,24 +1,29 @@
 """License scan by ordered signature rules.
 
-Texts are reduced to lower-case words. Signature rules are regular expressions over the words, built
-from families (names, versions) and forms (tag, grant, title, mention), one for each name; each has a
-priority, and two keywords, words of every string that it matches: the longest word of the name, and
-a word of the form. Both must be among the text's words before the expression is tried. Of the matches, those
+Texts are reduced to lower-case words. Signature rules are regular expressions over the words: the
+hand-written ones of license_signatures.py, and for names that are only mentioned, families (names,
+versions) and forms (tag, grant, title, mention). Each has a priority and two keywords, words of every
+string that it matches. Both must be among the text's words before the expression is tried. Of the matches, those
 that lie inside a match of higher priority (then longer, then earlier) are suppressed. The fixed base
 phrases are found by position beside the rules and are never suppressed.
 
-Null texts count as empty. Ids are passed on as they are, null or repeated. Empty tables stay empty.
+Null texts count as empty. Ids are passed on as they are, null or repeated. Empty tables stay empty; other
+columns are not read, whatever their names. A text's time grows as its length: places are looked up by
+bisection, and suppression is one sweep over the sorted matches.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_signatures
 from .common import released, small_slices, text_of
 
 #: Fixed phrases and their labels.
@@ -96,17 +101,6 @@ FORMS = (
     ("mention", 50, r"(?:the )?N(?: V)? license", "license"),
 )
 
-#: Signatures that name no family: label, priority, expression, two keywords.
-PASSAGES = (
-    ("mit", 95, r"permission is hereby granted free of charge to any person obtaining a copy", "hereby", "granted"),
-    ("isc", 95, r"permission to use copy modify and or distribute this software for any purpose", "permission", "distribute"),
-    ("bsd", 95, r"redistribution and use in source and binary forms with or without modification", "redistribution", "binary"),
-    ("gpl", 60, r"this program is free software you can redistribute it and or modify", "redistribute", "modify"),
-    ("zlib", 95, r"this software is provided as is without any express or implied warranty in no event will the authors", "authors", "warranty"),
-    ("public-domain", 60, r"(?:released into|placed in|dedicated to) the public domain", "public", "domain"),
-    ("proprietary", 40, r"all rights reserved", "rights", "reserved"),
-)
-
 FOUND = "array<struct<label:string,rule:string,priority:int,first:bigint,last:bigint>>"
 #: Everything but digits, ASCII letters and bytes of other characters is a space; A-Z are lowered.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -116,6 +110,20 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TO_WORDS).split()
 
 
+def keywords(expression: str) -> tuple[str, str]:
+    """The two longest words that stand in all that a signature matches: words outside groups, not optional ones.
+
+    A spelling in brackets counts as its first one ("licen[cs]e" as "licence"): scan() takes one for the other.
+    """
+    bare = re.sub(r"\S+ \?\S*", " ( ", expression)  # "share ?alike" may be one word
+    while (fewer := re.sub(r"\([^()]*\)(?:[?*+]|\{[0-9,]*\})?", " ( ", bare)) != bare:
+        bare = fewer
+    told = ["license" if w == "licen[cs]e" else w for w in bare.split()]
+    sure = [w for w in told if re.fullmatch("[a-z0-9]+", w)]
+    best = sorted(dict.fromkeys(sure), key=lambda w: (-len(w), w))
+    return best[0], best[min(1, len(best) - 1)]
+
+
 def signatures() -> list[tuple[str, str, int, re.Pattern, bytes, bytes]]:
     """(label, form, priority, expression, keyword, keyword) of all rules, in order of priority."""
     out = []
@@ -131,17 +139,29 @@ def signatures() -> list[tuple[str, str, int, re.Pattern, bytes, bytes]]:
                 text = around.replace("N", name).replace("V", version).replace("license", "licen[sc]e")
                 told = f"{label}-{v.replace(' ', '.')}" if form in ("title", "version") else label
                 out.append((told, form, priority, re.compile(rf"(?a)(?<![^ ]){text}(?![^ ])".encode()), keyword.encode(), needs.encode()))
-    for label, priority, text, a, b in PASSAGES:
-        out.append((label, "passage", priority, re.compile(rf"(?<![^ ]){text}(?![^ ])".encode()), a.encode(), b.encode()))
+    for label, priority, text in license_signatures.lines():
+        a, b = keywords(text)
+        out.append((label, "signature", priority, re.compile(rf"(?a)(?<![^ ]){text}(?![^ ])".encode()), a.encode(), b.encode()))
     return sorted(out, key=lambda r: -r[2])
 
 
 def suppressed(found: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, int, str, str]]:
-    """(start, end, priority, label, form), without those inside one of higher priority, or as high and longer or earlier."""
-    kept: list = []
-    for x in sorted(found, key=lambda m: (-m[2], m[0] - m[1], m[0], m[3], m[4])):
-        if not any(k[0] <= x[0] and x[1] <= k[1] for k in kept):
-            kept.append(x)
+    """(start, end, priority, label, form), without those inside one of higher priority, or as high and longer or earlier.
+
+    What lies inside a suppressed match lies inside that match's suppressor too, so all matches are held against,
+    level by level: the higher ones sorted by start, with the furthest end so far.
+    """
+    kept, starts, ends = [], [], []
+    for priority in sorted({m[2] for m in found}, reverse=True):
+        level = sorted((m for m in found if m[2] == priority), key=lambda m: (m[0], -m[1], m[3], m[4]))
+        furthest = -1
+        for m in level:
+            above = bisect.bisect_right(starts, m[0])
+            if m[1] > furthest and not (above and ends[above - 1] >= m[1]):
+                kept.append(m)
+            furthest = max(furthest, m[1])
+        both = sorted([*zip(starts, ends), *((m[0], m[1]) for m in level)])
+        starts, ends = [x for x, _ in both], list(accumulate((y for _, y in both), max))
     return sorted(kept)
 
 
@@ -157,22 +177,24 @@ def scan(words: list[bytes], rules: dict[bytes, list]) -> list[dict]:
     have = set(words)
     if b"licence" in have:
         have.add(b"license")
-    joined, out = b"", []
+    joined, out, found = b"", [], []
     for phrase, label in BASE:
         if all(w in have for w in phrase.encode().split()):
             joined = joined or b" ".join(words)
             padded, want, at = b" " + joined + b" ", f" {phrase} ".encode(), -1
             while (at := padded.find(want, at + 1)) >= 0:
-                first = padded.count(b" ", 0, at + 1) - 1
-                out.append({"label": label, "rule": "base", "priority": 100, "first": first, "last": first + phrase.count(" ")})
-    found = []
+                found.append((at, at + len(want) - 2, 100, label, "base"))
+    base, found = found, []
     for keyword in have & rules.keys():
         for label, form, priority, pattern, _, needs in rules[keyword]:
             if needs in have:
                 joined = joined or b" ".join(words)
                 found += [(m.start(), m.end(), priority, label, form) for m in pattern.finditer(joined)]
-    for start, end, priority, label, form in suppressed(found):
-        out.append({"label": label, "rule": form, "priority": priority, "first": joined.count(b" ", 0, start), "last": joined.count(b" ", 0, end)})
+    if not base and not found:
+        return out
+    blanks = [i for i, c in enumerate(joined) if c == 32]
+    for start, end, priority, label, form in [*base, *suppressed(found)]:
+        out.append({"label": label, "rule": form, "priority": priority, "first": bisect.bisect_left(blanks, start), "last": bisect.bisect_left(blanks, end)})
     return out
 
 
