@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 from collections import Counter, defaultdict
 
@@ -64,6 +65,67 @@ def test_secret_training_is_the_same_for_labelled_tables(spark):
     assert np.allclose(secrets.fit(counts.where("n < 0")), 0)
 
 
+def _labelled(rng, n: int) -> list[tuple[str, int]]:
+    """Random strings of several alphabets, and identifiers that people make of words."""
+    alphabets = ["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits]
+    syllables = [a + b for a in "bcdfghlmnprstvw" for b in "aeiou"] + ["tion", "ing", "er", "ment", "get", "set", "user", "file", "index"]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(400)]
+    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(12, 44))), 1) for _ in range(n)]
+    for _ in range(n):
+        parts = rng.choices(words, k=rng.randint(2, 5))
+        joined = rng.choice(["_", "-", ""]).join(p.title() if rng.random() < 0.4 else p for p in parts)
+        out.append((joined + (str(rng.randint(0, 99)) if rng.random() < 0.2 else ""), 0))
+    return out
+
+
+def test_markov_precision_and_recall_on_held_out_samples(spark):
+    rng = random.Random(8)
+    learned, held = _labelled(rng, 3000), [x for x in _labelled(rng, 2000) if len(x[0]) >= secrets.LEAST_CHARS]
+    ratios = secrets.fit(secrets.count_labelled(spark.createDataFrame(learned, "value string, label int")))
+    rows = spark.createDataFrame([(i, f"a {v} b") for i, (v, _) in enumerate(held)], "doc_id long, text string")
+    told = {r.doc_id: [s for s in r.spans if s.kind == secrets.MARKOV or s.kind == "hex"] for r in secrets.find_secrets(rows, ratios).collect()}
+    hits = sum(1 for i, (_, y) in enumerate(held) if y and told[i])
+    wrong = sum(1 for i, (_, y) in enumerate(held) if not y and told[i])
+    recall, precision = hits / sum(y for _, y in held), hits / max(1, hits + wrong)
+    print(f"precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.98 and recall >= 0.85
+
+
+def test_markov_spans_against_brute_force(spark):
+    rng = random.Random(9)
+    counted: dict = {0: Counter(), 1: Counter()}
+    samples = _labelled(rng, 300)
+    for value, label in samples:
+        counted[label].update(zip("\n" + value, value + "\n"))
+    states = [*secrets.ALPHABET, "\n", "other"]
+
+    pairs, single, before = {}, {}, {}
+    for label in (0, 1):
+        pairs[label] = Counter()
+        for (x, y), n in counted[label].items():
+            pairs[label][x if x in states else "other", y if y in states else "other"] += n
+        single[label] = {c: 1.0 + sum(n for (_, y), n in pairs[label].items() if y == c) for c in states}
+        before[label] = {c: sum(n for (x, _), n in pairs[label].items() if x == c) for c in states}
+
+    def share(label: int, a: str, b: str) -> float:
+        return math.log((pairs[label][a, b] + 200.0 * single[label][b] / sum(single[label].values())) / (before[label][a] + 200.0))
+
+    table = {(a, b): share(1, a, b) - share(0, a, b) for a in states for b in states if (a, b) != ("other", "other")}
+    ratios = secrets.fit(secrets.count_labelled(spark.createDataFrame(samples, "value string, label int")))
+    texts = ["", "word " * 10, *[" ".join(rng.choice(samples)[0] for _ in range(8)) for _ in range(40)], "token = " + "aZ9k" * 6 + " 0123456789abcdef0123Zq"]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios).collect()
+    for r in got:
+        text = texts[r.doc_id]
+        base = [(s.start, s.end) for s in r.spans if s.kind != secrets.MARKOV]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+            score = sum(table[a, b] for a, b in zip("\n" + m[0], m[0] + "\n"))
+            beside = all(e <= m.start() or m.end() <= s or e - s < m.end() - m.start() for s, e in base)
+            if beside and score >= 14.0 and score >= 0.5 * len(m[0]):
+                want.append((m.start(), m.end(), round(score, 6)))
+        assert [(s.start, s.end, round(s.score, 6)) for s in r.spans if s.kind == secrets.MARKOV] == want, text
+
+
 def test_licenses_against_word_positions(spark, tmp_path):
     rows = [
         (1, "Under THE MIT-License. under the mit license; under the mit license"),

@@ -4,12 +4,13 @@ Two first-order Markov models over the characters of tokens are trained from lab
 strings (label 1) and ordinary identifiers (label 0). Every task counts the character pairs of its
 samples and Spark sums the counts, so training covers all rows and what reaches the driver has at
 most 2 x 68 x 68 counts. A token whose log-likelihood ratio of the two models is over a threshold,
-in total and for each character, is a find of kind "markov", unless it overlaps a find of a rule.
+in total and for each character, is a find of kind "markov", unless a find of a rule overlaps it and is as long.
 
-label_samples() gives labels from the text itself: values that the rules find are random strings,
-other long tokens are identifiers. Any other labelled table (value, label) will do.
+count_texts() takes labels from the text itself: values that the rules find are random strings, other
+long tokens are identifiers, but for those of CANDIDATE's length with letters and digits, which may be secrets
+and are learned as neither. Any other labelled table (value, label) will do, by count_labelled().
 
-Null texts count as empty; null values or labels are not learned from; ids are passed on as they are,
+A very long text is scanned whole. Other columns are not read, whatever their names. Null texts count as empty; null values or labels are not learned from; ids are passed on as they are,
 null or repeated. Empty tables give empty results and, in training, two uniform models.
 """
 
@@ -42,8 +43,11 @@ CODES = np.full(256, OTHER, np.int64)
 CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
 CODES[ord("\n")] = END
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: The score decides, not the length: twelve characters of an even mix are well above the threshold.
+LEAST_CHARS = 12
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_CHARS},}}"
 SAMPLE = r"[A-Za-z][A-Za-z0-9_.-]{7,}"
+DIGIT = re.compile("[0-9]")
 
 
 def rule_spans(text: str, compiled: list) -> list[tuple[int, int, int]]:
@@ -91,6 +95,11 @@ def count_labelled(samples: DataFrame, value: str = "value", label: str = "label
     return rows.mapInArrow(released(run), COUNTED).groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
+def ordinary(token: str) -> bool:
+    """Whether an unlabelled token is learned as an identifier."""
+    return len(token) < LEAST_CHARS or token.isalpha() or not DIGIT.search(token)
+
+
 def count_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The pair counts of a table of texts, labelled by the fixed rules."""
 
@@ -105,9 +114,9 @@ def count_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     for start, kind, end in spans:
                         pattern, group, _ = compiled[kind]
                         random.append(pattern.match(t, start, end)[group])
-                        plain += sample.findall(t, at, max(at, start))
+                        plain += filter(ordinary, sample.findall(t, at, max(at, start)))
                         at = max(at, end)
-                    plain += sample.findall(t, at)
+                    plain += filter(ordinary, sample.findall(t, at))
                 for k, own in enumerate((plain, random)):
                     if own:
                         totals[k] += pair_counts(own)
@@ -151,7 +160,7 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", te
                     found = [(s, k, e, math.inf) for s, k, e in base]
                     for m in candidate.finditer(t):
                         s, e = m.span()
-                        if any(x < e and s < y for x, _, y in base):
+                        if any(x < e and s < y and y - x >= e - s for x, _, y in base):
                             continue
                         score = log_ratio(m[0], model)
                         if score >= least and score >= least_each * (e - s):
