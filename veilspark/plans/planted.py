@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .registry import sql, table
+from .registry import documents, sql, table
 
 SHAPES = (
     "write to user{k}@mail.example.org or <id{k}@mx.example.net>", "from 10.1.{k}.2 and 192.168.7.9:8080 to 8.8.8.8", "v6 2001:db8::{k} and [::1]:8080 fe80::1%eth0 ok ::ffff:192.168.0.1",
@@ -37,7 +37,7 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and the made texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(planted(spark, sf_dir))
+    return documents(spark, sf_dir).select("doc_id", "text").unionByName(planted(spark, sf_dir))
 
 
 #: Both for DuckDB, as common table expressions.

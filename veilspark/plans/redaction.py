@@ -10,7 +10,7 @@ from veilspark.operators import replace, spans
 
 from .detection import duck_values
 from .planted import TEXTS_CTE, texts
-from .registry import query, sql, table
+from .registry import documents, query, sql, table
 
 FLAGSHIP = catalogue.rules("email", "ipv4", "credit_card", "phone_us")
 SEVEN = catalogue.rules("email", "ipv4", "hostname", "credit_card", "phone_us", "generic_secret", "sha1_hash")
@@ -77,7 +77,7 @@ def each_value(make):
 @query(oracle=duck_redacted("'[' || upper(rule) || '-' || row_number() over (partition by doc_id, rule order by s) || ']'", FLAGSHIP, "documents"))
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: four rules, overlaps resolved, labels numbered by position (X-01 to X-04, R-01, WIN-01)."""
-    return redacted(table(spark, sf_dir, "documents"), FLAGSHIP, numbered_labels)
+    return redacted(documents(spark, sf_dir), FLAGSHIP, numbered_labels)
 
 
 _FIRSTS = """, firsts as (select doc_id, value, arg_min(rule, s) as first_rule, min(s) as first_s from res group by doc_id, value),

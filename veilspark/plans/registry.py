@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.sources.shared import spread
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def sql(text: str) -> str:
     """A string for SQL."""
     return "'" + text.replace("'", "''") + "'"

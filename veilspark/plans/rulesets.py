@@ -12,7 +12,7 @@ from .detection import duck_values
 from .logs import KINDS_CTE, _FORMS, kinds, log_lines
 from .planted import TEXTS_CTE, texts
 from .redaction import RESOLVED, SEVEN, duck_redacted, duck_spans, redacted, resolved_documents
-from .registry import query, sql, table
+from .registry import documents, query, sql, table
 from .tables import _ENTITIES, tokens
 
 EXTRAS = [r for p in presets.PRESETS.values() for r in p.extra]
@@ -74,7 +74,7 @@ def by_capitals(batch) -> list[list[tuple]]:
   r as (select doc_id, unnest(v) as word from w) select doc_id, 'ml_person_name' as rule, word as value, count(*) as n from r where length(word) between 4 and 100 group by all""")
 def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's tagger over whole documents in Arrow batches, merged and mapped to rules (U-04)."""
-    found = entities.entity_spans(entities.tagged(table(spark, sf_dir, "documents"), by_capitals))
+    found = entities.entity_spans(entities.tagged(documents(spark, sf_dir), by_capitals))
     return found.groupBy("doc_id", "rule", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -106,7 +106,7 @@ def one_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One strategy set on all rules, whatever their own (R-18)."""
     rules = presets.with_strategy(SEVEN, "redact")
     own = F.create_map(*[F.lit(x) for r in rules for x in (r.id, r.strategy)])
-    return redacted(table(spark, sf_dir, "documents"), rules, lambda s: F.transform(s, lambda x: replace.replaced(F.try_element_at(own, x["rule"]), x["rule"], x["value"], F.lit(0))))
+    return redacted(documents(spark, sf_dir), rules, lambda s: F.transform(s, lambda x: replace.replaced(F.try_element_at(own, x["rule"]), x["rule"], x["value"], F.lit(0))))
 
 
 _NOTES = "select event_id as doc_id, lower('note: p' || (event_id % 37) || 'pw and K' || (event_id % 11) || 'zz ' || event_type) as text from events"
