@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,12 +10,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.shared import shared_dir, spread, written
+
 #: Characters of text that a Python task holds as Python objects at a time.
 CHUNK_CHARS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
@@ -31,31 +31,14 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame | None:
         return None
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where none is named, a local session has one of its own; a cluster has none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="veilspark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As checkpointed(), but as a compressed column table whose size Spark knows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+#: As checkpointed(), but as a compressed column table whose size Spark knows.
+stored = written
 
 
 def free_name(df: DataFrame, name: str) -> str:
