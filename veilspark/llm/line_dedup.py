@@ -65,9 +65,22 @@ def _outside(lines: Column, runs: Column) -> Column:
     return F.flatten(F.zip_with(gap_from, gap_to, lambda a, b: F.slice(lines, a + 1, b - a)))
 
 
-def _later_starts(rows: DataFrame) -> DataFrame:
-    """(_id, _key, _starts): where later places of repeated windows begin, for rows (id, key, lines)."""
+#: Repeated hashes that are broadcast to sift windows; more are joined by shuffle.
+SIFT_BOUND = 1_000_000
+
+
+def _sifted(places: DataFrame) -> DataFrame:
+    """The places whose first hash occurs twice or more: counting one hash moves far less than all places do."""
+    twice = stored(places.groupBy("w1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1"))
+    few = twice.count() <= SIFT_BOUND
+    return stored(places.join(F.broadcast(twice) if few else twice, "w1", "left_semi"))
+
+
+def _later_starts(rows: DataFrame, sift: bool = False) -> DataFrame:
+    """(_id, _key, _starts): where later places of repeated windows begin, for rows (id, key, lines). sift: most windows occur once."""
     places = rows.select("id", "key", F.explode(_windows(F.col("lines"))).alias("w")).select("w.w1", "w.w2", F.struct(F.col("id").isNull().alias("last"), "id", "key", "w.pos").alias("place"))
+    if sift:
+        places = _sifted(places)
     # Written, so that the join below is between plain shuffles, of which Spark splits a hot window's.
     repeated = stored(places.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("other")).where("first <> other").drop("other"))
     later = places.join(repeated, ["w1", "w2"]).where("place <> first").select(F.col("place.id").alias("_id"), F.col("place.key").alias("_key"), F.col("place.pos").alias("pos"))
@@ -103,7 +116,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bare = F.transform(F.split(text_of(text_col), CLAUSE_END, -1), lambda x: F.btrim(x, F.lit(" \t\r\n")))
     rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), bare.alias("lines"))
     held = free_name(docs, "held_row")
-    joined = _with_starts(docs, _later_starts(rows), key, id_col, held)
+    joined = _with_starts(docs, _later_starts(rows, sift=True), key, id_col, held)
     text = F.col(held)[text_col]
     cut = joined.select(held, F.when(F.col("_starts").isNotNull(), F.split(text, CLAUSE_END, -1)).alias("_units"), _runs(F.col("_starts")).alias("_runs"))
     said = F.filter("_runs", lambda x: F.regexp_count(F.array_join(F.slice("_units", x["a"] + 1, x["b"] - x["a"]), ""), F.lit(r"\S+")) >= least)
