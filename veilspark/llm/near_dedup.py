@@ -267,7 +267,7 @@ def _star(now: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return checkpointed(best.select("a", "best.b"))
 
 
-def _open_keys(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def open_keys(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of keys that still have several components, with their own and the key's largest component."""
     now = shared.drop("main").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
     sums = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = confirmed(_star(now, facts, percent), texts, size, percent)
         links = found if links is None else checkpointed(links.unionByName(found))
         roots = components(links)
-        now = stored(_open_keys(now.drop("comp"), roots))
+        now = stored(open_keys(now.drop("comp"), roots))
 
     now = now.drop("score").join(facts, "rid")
     x, y = now.where("comp <> main").alias("x"), now.alias("y")

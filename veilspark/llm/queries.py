@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_trees, exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, rans, secrets
-from .common import documents, quality_labels, shared_dir, text_of
+from . import bpe, chat_trees, exact_dedup, hard_negatives, licenses, line_dedup, mixing, near_dedup, phrases, quality, rans, secrets, simhash
+from .common import documents, quality_labels, shared_dir, spread, text_of
 
 
 def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
@@ -109,7 +109,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), size=4).drop("text_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat_trees, op4_exact_dedup, op5_licenses, op6_bpe, op7_line_dedup, op8_mixing, op9_rans_files, op10_near_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), F.col("id") % 100 == 0, label=label)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir)).drop("size", "cut")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_chat_trees, op4_exact_dedup, op5_licenses, op6_bpe, op7_line_dedup, op8_mixing, op9_rans_files, op10_near_dedup, op11_hard_negatives, op12_phrases, op13_simhash)}
 
 ORACLES = {
     "op3_chat_trees": r"""
@@ -170,4 +183,33 @@ ORACLES = {
         m as (select x as doc_id, min(y) as y from reach group by x)
         select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(m.y, doc_id)) as component_id, doc_id <= coalesce(m.y, doc_id) as kept
         from documents left join n using (doc_id) left join m using (doc_id)""",
+    "op11_hard_negatives": r"""
+        with e as (
+          select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+          where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, e.vec_id as id, a.label = e.label as same, cast(list_inner_product(a.v, e.v) as bigint) as score
+          from e as a join e on a.vec_id % 100 = 0 and a.vec_id <> e.vec_id),
+        p as (select anchor_id, id, score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+        n as (select anchor_id, p.id as positive_id, row_number() over (partition by anchor_id, p.id order by s.score desc, s.id) as rank,
+            s.id as negative_id, p.score as positive_score, s.score as negative_score
+          from p join s using (anchor_id) where not same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+        select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
+    "op12_phrases": r"""
+        with d as (select coalesce(lang, 'und') as lang,
+            unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+        w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from d),
+        f as (select lang, size, phrase, count(*) as f from (
+            select lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+            from w, (values (1), (2), (3)) as v(size) where len(w) >= size) group by all),
+        c as (select lang, size, phrase, f as a from f where size > 1 and f >= 10),
+        cuts as (select c.*, k, array_to_string(string_split(phrase, ' ')[:k], ' ') as x, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as y
+          from c, (values (1), (2)) as v(k) where k < size),
+        s as (select cuts.*, l.f as l, r.f as r, cast((1000000::hugeint * a * a) // (l.f::hugeint * r.f) as bigint) as score
+          from cuts join f as l on l.lang = cuts.lang and l.phrase = x join f as r on r.lang = cuts.lang and r.phrase = y),
+        b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        longer as (select lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') as phrase, max(a) as m from c, (values (1), (2)) as v(i) where size = 3 group by all),
+        kept as (select b.* from b left join longer using (lang, phrase) where coalesce(100 * m < 50 * a, true)),
+        n as (select lang, sum(f)::bigint as n from f where size = 1 group by lang)
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept join n using (lang)
+        qualify rank <= 2000""",
 }
