@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilspark.llm import bpe, chat_trees, exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, queries, rans, secrets
+from veilspark.llm import bpe, chat_trees, exact_dedup, licenses, line_dedup, mixing, near_dedup, phrases, quality, queries, rans, secrets, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHES = ("id", "key", "rid", "th", "t", "n", "h", "part", "ids", "spans", "found", "kept", "digest", "group", "group_size", "mix_tokens", "n_words", "n_lines", "lines", "words", "comp", "class")
+CLASHES = ("id", "key", "rid", "th", "t", "n", "h", "part", "ids", "spans", "found", "kept", "digest", "group", "group_size", "mix_tokens", "n_words", "n_lines", "lines", "words", "comp", "class", "_id", "_th", "_gone", "_key", "_starts", "gone_id", "gone_hash", "gone_key", "_a", "_b", "held_row", "dim_0", "fp", "rid", "root", "node", "v", "codes", "phrase", "f", "size")
 
 
 def awkward(spark):
@@ -19,7 +19,7 @@ def awkward(spark):
     long = "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(25_000))
     rows = [(1, "one two three. " * 30, "en", "a"), (1, "one two three. " * 30, "en", "a"), (2, None, None, None), (None, "null id " * 20, "en", "b"), (None, None, "de", "b"), (3, "", "", ""), (4, " \n\t ", "en", "a"), (5, long, "en", "hot"), (6, "é👍 " * 50, "fr", "b"), (7, "x", "en", "a")]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS)
-    return df.withColumns({c: F.lit(f"extra {c}") for c in CLASHES})
+    return df.withColumns({c: F.lit(f"extra {c}") for c in dict.fromkeys(CLASHES)})
 
 
 def empty(spark):
@@ -46,6 +46,7 @@ OPERATORS = {
     "mixing": lambda s, d, p: mixing.mix_documents(d),
     "rans": files,
     "near_dedup": lambda s, d, p: near_dedup.near_duplicates(d),
+    "simhash": lambda s, d, p: simhash.similar_documents(d),
 }
 
 
@@ -79,3 +80,4 @@ def test_stage_on_empty_and_awkward_tables(spark, stage):
     assert "5" in ids or stage == "source_mix"  # which draws
     if stage != last:
         assert got.columns == given.columns
+        assert all(r[c] == f"extra {c}" for r in got.collect() for c in CLASHES)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, released, small_slices, stored, text_of
+from .common import checkpointed, free_name, released, small_slices, stored, text_of
 
 CHUNKS, PER_CHUNK, B_BITS = 12, 5, 14
 PLACES = CHUNKS * PER_CHUNK
@@ -326,5 +326,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, with all its columns; repeated rows of a kept one stay."""
     judged = near_duplicates(docs, id_col, text_col, **options)
-    gone = judged.groupBy(id_col, "text_hash").agg(F.max("kept").alias("any")).where("NOT any").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_th")), "left_anti")
+    i, h = free_name(docs, "gone_id"), free_name(docs, "gone_hash")
+    gone = judged.groupBy(id_col, "text_hash").agg(F.max("kept").alias("any")).where("NOT any").select(F.col(id_col).alias(i), F.col("text_hash").alias(h))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_of(text_col)) == F.col(h)), "left_anti")

@@ -288,6 +288,12 @@ def _part(words: Column, start: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
+def score_of() -> Column:
+    """A cut's score from a, l and r, in decimals of 37 digits. l and r are at least a, so it is a million at most."""
+    wide = {c: f"cast({c} as decimal(14,0))" for c in "alr"}
+    return F.expr(f"(cast(1000000 as decimal(7,0)) * ({wide['a']} * {wide['a']})) div ({wide['l']} * {wide['r']})")
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, covered: int = 50, most: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Each language's first `most` phrases: lang, rank, phrase, size, a, cut, l, r, n, score.
 
@@ -301,10 +307,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, covered: in
     for side, count in (("left", "l"), ("right", "r")):
         cuts = cuts.join(known.select("lang", F.col("phrase").alias(side), F.col("f").alias(count)), ["lang", side])
 
-    # Each factor is at least a, so a score is a million at most.
-    wide = {c: f"cast({c} as decimal(14,0))" for c in "alr"}
-    score = F.expr(f"(cast(1000000 as decimal(7,0)) * ({wide['a']} * {wide['a']})) div ({wide['l']} * {wide['r']})")
-    scored = cuts.withColumn("score", score).groupBy("lang", "size", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("w")).select("lang", "size", "phrase", "a", "w.*")
+    scored = cuts.withColumn("score", score_of()).groupBy("lang", "size", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("w")).select("lang", "size", "phrase", "a", "w.*")
     if longest > 2:
         inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("size") - k + 1), lambda i: _part(words, i, k))))
         held = candidates.where("size > 2").select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), F.col("a").alias("b")).groupBy("lang", "phrase").agg(F.max("b").alias("b"))
