@@ -19,6 +19,15 @@ def per_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def statistics(spans: DataFrame) -> DataFrame:
+    """(rule, n_hits, n_distinct, first_value, n_documents). Hits are summed by value and by document first, so that no rule's finds meet in one task."""
+    at = F.struct("doc_id", "start")
+    values = spans.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("f"))
+    values = values.groupBy("rule").agg(F.sum("n").alias("n_hits"), F.count(F.lit(1)).alias("n_distinct"), F.min_by("value", "f").alias("first_value"))
+    documents = spans.select("rule", "doc_id").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("n_documents"))
+    return values.join(documents, "rule")
+
+
 def values_in_order(spans: DataFrame) -> DataFrame:
     """The values of each rule in a document, in order of position."""
     held = F.array_sort(F.collect_list(F.struct("start", "value")))

@@ -1,3 +1,3 @@
 
 
-from . import detection, logs, lookups, redaction, reports, rulesets, tables  # noqa: F401
+from . import defaults, detection, logs, lookups, redaction, reports, rulesets, tables  # noqa: F401
