@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .networks import in_network, v6_bytes
 from .report import ranked
 
 #: Services by port.
@@ -17,8 +18,9 @@ DOC_NETS = ("192.0.2", "198.51.100", "203.0.113")
 
 
 def v4_number(ip: Column) -> Column:
+    """The number of a dotted quad; null for other texts, IPv6 ones among them."""
     p = F.split(ip, "\\.")
-    return reduce(lambda a, b: a * 256 + b, [F.get(p, i).cast("bigint") for i in range(4)])
+    return reduce(lambda a, b: a * 256 + b, [F.get(p, i).try_cast("bigint") for i in range(4)])
 
 
 def is_private_v4(ip: Column) -> Column:
@@ -42,11 +44,16 @@ def cidr_range(cidr: str) -> tuple[int, int]:
 
 
 def filtered(packets: DataFrame, protocols=(), cidrs=(), ports=(), invert: bool = False) -> DataFrame:
-    """packets with keep and reason: protocol, then address, then port; any hit removes the packet, or with invert keeps it."""
+    """packets with keep and reason: protocol, then address (networks of both families), then port; any hit removes the packet, or with invert keeps it."""
     by_protocol = F.col("proto").isin(list(protocols)) if protocols else F.lit(False)
     by_address, by_port = F.lit(False), F.lit(False)
-    for lo, hi in map(cidr_range, cidrs):
-        by_address = by_address | v4_number(F.col("src_ip")).between(lo, hi) | v4_number(F.col("dst_ip")).between(lo, hi)
+    for cidr in cidrs:
+        if ":" in cidr:
+            for side in ("src_ip", "dst_ip"):
+                by_address = by_address | in_network(v6_bytes(F.col(side)), cidr)
+        else:
+            for side in ("src_ip", "dst_ip"):
+                by_address = by_address | F.coalesce(v4_number(F.col(side)).between(*cidr_range(cidr)), F.lit(False))
     for lo, hi in ports:
         by_port = by_port | F.col("src_port").between(lo, hi) | F.col("dst_port").between(lo, hi)
     reason = F.when(by_protocol, "protocol").when(by_address, "address").when(by_port, "port")

@@ -114,6 +114,7 @@ def resolved(spans: Column, overlap: str = "greedy") -> Column:
     stays, of equally long ones the one of higher priority (else the earlier). A longer later span so
     replaces an earlier one, whose own beginning then stays readable.
     "cover": touching spans are merged to one, named after its first; nothing of any find stays.
+    "first": in order, a span that overlaps the last kept one goes.
     """
 
     def ends_with(acc: Column, m: Column, instead: bool = False) -> Column:
@@ -143,7 +144,10 @@ def resolved(spans: Column, overlap: str = "greedy") -> Column:
         )
         return F.when((F.size(acc["out"]) > 0) & (m["start"] < last["end"]), ends_with(acc, wider, True)).otherwise(ends_with(acc, m))
 
-    step = {"greedy": greedy, "cover": cover}[overlap]
+    def first(acc: Column, m: Column) -> Column:
+        return F.when((F.size(acc["out"]) > 0) & (m["start"] < F.get(acc["out"], F.size(acc["out"]) - 1)["end"]), acc).otherwise(ends_with(acc, m))
+
+    step = {"greedy": greedy, "cover": cover, "first": first}[overlap]
     return F.when(F.size(spans) > 1, folded(ordered(spans), {}, step)).otherwise(spans)
 
 
