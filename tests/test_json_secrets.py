@@ -12,7 +12,7 @@ def test_json_secrets_in_lines_log_lines_and_deep(spark):
         (2, '{"token":"first1"}\n{"n":1}\n {"token":"second2"}\n'),
         (3, '[INFO] say "hi: user {"a":[{"api_key":"abc]}123"}]} then [1, {"secret":"tail9"}] and {not json'),
         (4, '{"a":' * deep + '{"password":"deep77"}' + "}" * deep),
-        (5, "[[[[ " + '{"password": {"tokens": ["t0k3n", "null", 5]}}'),
+        (5, "[[[[ " + '{"password": {"user_token": ["t0k3n", "null", 5]}}'),
         (6, 'log {\n  "client_secret": "multi\\"line"\n}\nend'),
         (7, "2024 plain"), (8, None), (9, ""), (10, '{"password":"open'),
     ]
@@ -26,7 +26,7 @@ def test_json_secrets_in_lines_log_lines_and_deep(spark):
         (3, f"$@{at[3]}.a[0].api_key", "api_key", "abc]}123", "high"),
         (3, f"$@{rows[2][1].index('[1,')}[1].secret", "secret", "tail9", "high"),
         (4, "$" + ".a" * deep + ".password", "password", "deep77", "high"),
-        (5, "$@5.password.tokens[0]", "tokens", "t0k3n", "medium"),
+        (5, "$@5.password.user_token[0]", "user_token", "t0k3n", "medium"),
         (6, "$@4.client_secret", "client_secret", 'multi"line', "high"),
     ])
     assert json.loads(rows[3][1])

@@ -73,7 +73,8 @@ LOG_KINDS = (
     ("auth", [[("twice", r"\bsshd\[[0-9]+\]:|\b(?:sudo|su)(?:\[[0-9]+\])?: |\bpam_unix\(|\bFailed (?:password|publickey) for |\bAccepted (?:password|publickey) for |\bauthentication failure\b")]]),
 )
 TIMES = "|".join(f"(?:{p})" for _, p in SHAPES)
-PRESETS = {"kernel": "system", "sip": "voip", "mail_headers": "mail", "web_access": "web", "aws": "cloud", "spam_report": "mail", "auth": "system"}
+#: The preset for a kind of log; the others have none.
+PRESETS = {"sip": "sip-voip", "web_access": "nginx-apache", "aws": "aws-cloudwatch", "auth": "auth-logs"}
 EXTENSIONS = {"json": "json", "xml": "xml", "csv": "csv", "yaml": "yaml", "yml": "yaml", "toml": "toml"}
 
 
@@ -148,6 +149,9 @@ def json_valid(text: Column) -> Column:
 def csv_first_bad_row(text: Column) -> Column:
     """The number (from 2) of the first record whose fields are not as many as the header's; null if none."""
     rows = F.filter(F.split(text, r"\r?\n"), lambda r: r != "")
-    width = F.regexp_count(F.get(rows, 0), F.lit(","))
-    bad = F.filter(F.transform(rows, lambda r, i: F.when(F.regexp_count(F.regexp_replace(r, '"[^"]*"', ""), F.lit(",")) != width, i + 1)), lambda x: x.isNotNull())
+
+    def commas(row: Column) -> Column:
+        return F.regexp_count(F.regexp_replace(row, '"[^"]*"', ""), F.lit(","))
+
+    bad = F.filter(F.transform(rows, lambda r, i: F.when(commas(r) != commas(F.get(rows, 0)), i + 1)), lambda x: x.isNotNull())
     return F.get(bad, 0)

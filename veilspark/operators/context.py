@@ -14,10 +14,10 @@ from pyspark.sql import Window as W
 
 # Exact names (high confidence), name patterns (medium), placeholders, header names.
 SECRET_KEYS = (
-    "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_token", "accesstoken", "refresh_token", "refreshtoken", "auth_token", "authtoken", "client_secret", "clientsecret", "private_key", "privatekey", "secret_key", "secretkey",
-    "access_key", "accesskey", "aws_access_key_id", "aws_secret_access_key", "connection_string", "connectionstring", "database_url", "db_password", "encryption_key", "session_token", "bearer", "authorization", "credential", "credentials", "passphrase", "ssn", "credit_card", "card_number",
+    "password", "passwd", "pwd", "secret", "token", "auth", "credential", "credentials", "api_key", "apikey", "access_key", "accesskey", "private_key", "privatekey", "client_secret", "clientsecret", "auth_token", "authtoken", "access_token", "accesstoken",
+    "refresh_token", "refreshtoken", "bearer", "jwt", "ssh_key", "sshkey", "passphrase", "session_token", "sessiontoken", "secret_key", "secretkey", "encryption_key", "encryptionkey", "signing_key", "signingkey", "master_key", "masterkey",
 )
-SECRET_PATTERN = r"(password|passwd|secret|token|api[_-]?key|credential|private[_-]?key)"
+SECRET_PATTERN = "_key$|_token$|_secret$|_password$|^auth|cred|pass$"
 PLACEHOLDERS = ("null", "none", "undefined", "n/a", "na", "true", "false", "xxx", "unknown", "test", "example", "redacted", "todo", "changeme")
 NAME_HEADERS = (
     "name", "first name", "firstname", "first_name", "last name", "lastname", "last_name", "surname", "full name", "fullname", "full_name", "given name", "given_name", "family name", "family_name", "middle name", "middle_name", "customer", "customer name", "customer_name",

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from . import context, records
 
-#: Rule ids and the groups of the usual label sets that belong to each; groups that are named nowhere (MISC) are dropped.
+#: Rule ids and the groups and labels of the usual models that belong to each, in any case; labels that are named nowhere (MISC) are dropped.
 RULE_GROUPS = {
-    "ml_person_name": ("PER", "PERSON", "FIRSTNAME", "LASTNAME", "MIDDLENAME", "PREFIX"),
-    "ml_location": ("LOC", "LOCATION", "GPE", "CITY", "STATE", "COUNTY", "STREET", "ZIPCODE", "BUILDINGNUMBER"),
+    "ml_person_name": ("PER", "PERSON", "GIVENNAME1", "GIVENNAME2", "LASTNAME1", "LASTNAME2", "LASTNAME3", "TITLE", "SEX", "BOD", "FIRST_NAME", "LAST_NAME", "NAME", "DOB", "HIPAA_DOB", "FIRSTNAME", "LASTNAME", "MIDDLENAME", "PREFIX"),
+    "ml_location": ("LOC", "LOCATION", "GPE", "STREET", "CITY", "STATE", "COUNTRY", "POSTCODE", "BUILDING", "SECADDRESS", "GEOCOORD", "ZIPCODE", "COUNTY", "BUILDINGNUMBER"),
     "ml_organization": ("ORG", "ORGANIZATION", "COMPANYNAME"),
-    "ml_identifier": ("ID", "SSN", "PASSPORT", "DRIVERLICENSE", "IDCARD", "USERNAME", "VEHICLEVIN"),
-    "ml_contact": ("EMAIL", "PHONE", "PHONENUMBER"),
-    "ml_financial": ("CREDITCARDNUMBER", "ACCOUNTNUMBER", "IBAN", "BIC", "CURRENCY", "AMOUNT"),
-    "ml_credential": ("PASSWORD", "PIN", "SECRET"),
-    "ml_temporal": ("DATE", "TIME", "DOB", "AGE"),
-    "ml_network": ("IP", "IPV4", "IPV6", "MAC", "URL", "USERAGENT"),
+    "ml_identifier": ("ID", "PASSPORT", "IDCARD", "DRIVERLICENSE", "SOCIALNUMBER", "SSN", "DRIVER_LICENSE", "GDPR_NIN", "GDPR_PASSPORT", "HIPAA_MRN", "VEHICLEVIN"),
+    "ml_contact": ("CONTACT", "EMAIL", "TEL", "PHONE", "PHONENUMBER"),
+    "ml_financial": ("FINANCIAL", "CREDIT_CARD", "GDPR_IBAN", "HIPAA_ACCOUNT", "PCI_EXPIRY", "PCI_PAN", "PCI_TRACK", "CREDITCARDNUMBER", "ACCOUNTNUMBER", "IBAN", "BIC", "CURRENCY", "AMOUNT"),
+    "ml_credential": ("CREDENTIAL", "USERNAME", "PASS", "API_KEY", "AWS_KEY", "PASSWORD", "PRIVATE_KEY", "PIN", "SECRET"),
+    "ml_temporal": ("TEMPORAL", "DATE", "TIME", "AGE"),
+    "ml_network": ("NETWORK", "IP", "IP_ADDRESS", "IPV4", "IPV6", "MAC", "URL", "USERAGENT"),
 }
 GROUP_RULE = {g: rule for rule, groups in RULE_GROUPS.items() for g in groups}
 

@@ -47,9 +47,24 @@ def by_category(spans: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def mapping(replaced: DataFrame) -> DataFrame:
-    """Per replacement: first original and rule, count and distinct lines. replaced: (doc_id, start, rule, value, replacement, line)."""
-    at = F.struct("doc_id", "start")
-    return replaced.groupBy("replacement").agg(F.min_by("value", at).alias("original"), F.min_by("rule", at).alias("rule"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_set("line")), lambda x: x.cast("string")), ",").alias("lines"))
+    """Per document and replacement: the original, its rule, count and distinct lines. replaced: (doc_id, start, rule, value, replacement, line).
+
+    Numbers are given anew in each document, so [EMAIL-1] of two documents are two rows, and the lines of one row are one document's.
+    """
+    lines = F.array_join(F.transform(F.sort_array(F.collect_set("line")), lambda x: x.cast("string")), ",")
+    return replaced.groupBy("doc_id", "replacement").agg(F.min_by("value", "start").alias("original"), F.min_by("rule", "start").alias("rule"), F.count(F.lit(1)).alias("n"), lines.alias("lines"))
+
+
+def revealed(texts: DataFrame, known: DataFrame, pattern: str, text_col: str = "redacted") -> DataFrame:
+    """(doc_id, token, original, rule, n, lines): tokens of redacted texts with what they stand for. known: a mapping(), keyed by document and token.
+
+    Tokens that the mapping does not have are left out: they were in the text before.
+    """
+    rows = texts.select("doc_id", F.posexplode(F.split(text_col, "\n", -1)).alias("k", "line"))
+    tokens = rows.select("doc_id", (F.col("k") + 1).alias("line"), F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))).alias("token"))
+    found = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_set("line")), lambda x: x.cast("string")), ",").alias("lines"))
+    mine = known.select("doc_id", F.col("replacement").alias("token"), "original", "rule")
+    return found.join(mine, ["doc_id", "token"]).select("doc_id", "token", "original", "rule", "n", "lines")
 
 
 def audit(spans: DataFrame, most: int = 100) -> DataFrame:

@@ -62,8 +62,8 @@ _REPLACED = f"""{_BASE}, firsts as (select doc_id, value, arg_min(rule, s) as fr
   replaced as (select res.*, replacement, {_LINES} as line from res join numbers using (doc_id, value) join texts t using (doc_id))"""
 
 
-@query(oracle=f"""{_REPLACED} select replacement, arg_min(value, (doc_id, s)) as original, arg_min(rule, (doc_id, s)) as rule, count(*) as n,
-  array_to_string(list_sort(list(distinct line)), ',') as lines from replaced group by replacement""")
+@query(oracle=f"""{_REPLACED} select doc_id, replacement, arg_min(value, s) as original, arg_min(rule, s) as rule, count(*) as n,
+  array_to_string(list_sort(list(distinct line)), ',') as lines from replaced group by doc_id, replacement""")
 def mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-05, X-08, TOP-08, SNK-03's rows."""
     return report.mapping(replaced_spans(spark, sf_dir))
