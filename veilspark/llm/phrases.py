@@ -3,13 +3,13 @@
 A text is cut into pieces at the marks . , ; : ! ? and line breaks, and pieces into words at spaces and tabs; ASCII letters are lowered.
 Phrases are runs of words inside a piece. Everything is counted for each language by itself.
 
-Counting goes by length. A task numbers its words, packs a phrase's numbers to one key, and counts keys in a burst trie: hash containers
+Counting goes by length, one and two words first. A task numbers its words, packs a phrase's numbers to one key, and counts keys in a burst trie: hash containers
 below a shallow trie over the digits of the word numbers, where a container of more than BURST keys becomes a node with containers of its
 own. When a task holds more than HELD keys it spills the largest subtrees, whole, as sorted runs of (language, phrase, count), which
 are written to the shared folder. Spark deals all runs by ranges of (language, phrase), that is by prefix, and adds them up there.
 
-A phrase occurs `least` times only if the two phrases that are one word shorter do. So each length is counted where the length before it
-is frequent: frequent phrases are marked in a bitmap of fixed size, 2^FILTER_BITS bits, which is all that is broadcast. It lets
+A phrase occurs `least` times only if the two phrases that are one word shorter do. So from three words on each length is counted where the
+length before it is frequent: frequent phrases are marked in a bitmap of fixed size, 2^FILTER_BITS bits, which is all that is broadcast. It lets
 too many through where hashes meet, never too few; what it lets through is counted exactly.
 
 Scores are exact: integers in decimals of 38 digits. Ranks are counted by ranges, not by one task for each language.
@@ -44,20 +44,21 @@ PART_BYTES = 1 << 20
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 CUT = re.compile(rb"[ .]")
 _FACTORS = np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 9, dtype=np.uint64)
-RUN = "lang string, phrase string, n bigint"
+RUN = "part bigint, lang string, size int, total bigint, phrases binary, lengths binary, counts binary"
+MERGED = "lang string, size int, phrase string, f bigint"
 
 
-def pieces(text: bytes, size: int) -> Iterator[bytes]:
-    """The text with marks as full stops, in parts; a part begins with the size - 1 words before it."""
-    text, at, before = text.translate(TABLE), 0, b""
+def pieces(text: bytes, size: int) -> Iterator[tuple[bytes, int]]:
+    """The text with marks as full stops, in parts. A part begins with up to size - 1 words of the part before it: how many, is told."""
+    text, at, before = text.translate(TABLE), 0, []
     while at < len(text):
         end = at + PART_BYTES
         if end < len(text):
             gap = CUT.search(text, end)
             end = gap.start() if gap else len(text)
-        part = before + b" " + text[at:end]
-        yield part
-        before = b" ".join(part.replace(b".", b" . ").split()[1 - size :]) if size > 1 and end < len(text) else b""
+        part = b" ".join([*before, text[at:end]])
+        yield part, len(before) - before.count(b".")
+        before = part.replace(b".", b" . ").split()[1 - size :] if size > 1 and end < len(text) else []
         at = end
 
 
@@ -80,27 +81,34 @@ def marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Word numbers by word, from 1; the full stop is 0."""
+    """Word numbers by word, from 1."""
 
     def __init__(self, lang: bytes):
-        super().__init__({b".": 0})
-        self.lang, self.listed = lang, [b""]
-        self.hashes, self.alive = np.zeros(1, np.uint64), np.zeros(1, bool)
+        super().__init__()
+        self.lang, self.listed, self.hashes = lang, [b""], np.zeros(1, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.listed)
         self.listed.append(word)
         return n
 
-    def numbers(self, text: bytes, bitmap: np.ndarray | None) -> np.ndarray:
-        """The text's words as numbers; words that the bitmap lacks are 0, as they end phrases."""
-        tokens = text.replace(b".", b" . ").split()
-        found = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if fresh := self.listed[len(self.hashes) :]:
-            hashes = np.fromiter((word_hash(self.lang, w) for w in fresh), np.uint64, len(fresh))
-            alive = np.ones(len(fresh), bool) if bitmap is None else marked(bitmap, phrase_hashes([hashes]))
-            self.hashes, self.alive = np.concatenate([self.hashes, hashes]), np.concatenate([self.alive, alive])
-        return np.where(self.alive[found], found, 0)
+    def numbers(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the text's words, and of the piece that each is in. The words are cut out in whole arrays; only distinct ones are looked up."""
+        signs = np.frombuffer(text, np.uint8)
+        stop = signs == ord(".")
+        inside = ~(stop | (signs == ord(" ")))
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(signs[inside])]).dictionary_encode()
+        known = np.fromiter(map(self.__getitem__, tokens.dictionary.to_pylist()), np.int64, len(tokens.dictionary))
+        return known[tokens.indices.to_numpy()], np.cumsum(stop)[starts]
+
+    def hashed(self) -> np.ndarray:
+        """The hashes of all words, by number."""
+        fresh = self.listed[len(self.hashes) :]
+        self.hashes = np.concatenate([self.hashes, np.fromiter((word_hash(self.lang, w) for w in fresh), np.uint64, len(fresh))])
+        return self.hashes
 
 
 class HatTrie:
@@ -162,43 +170,91 @@ class HatTrie:
         return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
 
 
-def run_of(lang: bytes, words: Words, size: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """A sorted run."""
-    listed = pa.array(words.listed, pa.binary())
-    parts = [listed.take(pa.array((keys >> (WORD_BITS * (size - 1 - j))) & ((1 << WORD_BITS) - 1))) for j in range(size)]
-    phrase = pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
-    order = pc.sort_indices(phrase)
-    return pa.record_batch({"lang": pa.array([lang.decode()] * len(keys), pa.string()), "phrase": phrase.take(order).cast(pa.string()), "n": pa.array(counts).take(order)})
+def _blocks(cuts: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """The buffer cut to binary values, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), data])
+
+
+def run_of(lang: bytes, words: Words, size: int, bits: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A run: a row for each partition, of which there are 2^bits."""
+    ids = [(keys >> (WORD_BITS * (size - 1 - j))) & ((1 << WORD_BITS) - 1) for j in range(size)]
+    known = words.hashed()
+    part = (phrase_hashes([known[i] for i in ids]) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    listed, part, counts = pa.array(words.listed, pa.binary()), part[order], counts[order]
+    each = [listed.take(pa.array(i[order])) for i in ids]
+    phrase = pc.binary_join_element_wise(*each, b" ") if size > 1 else each[0]
+    ends = np.frombuffer(phrase.buffers()[1], np.int32, len(keys) + 1)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    same = np.zeros(len(cuts) - 1, np.int64)
+    return pa.record_batch(
+        {
+            "part": part[cuts[:-1]], "lang": pa.array([lang.decode()], pa.string()).take(pa.array(same)), "size": pa.array(same + size, pa.int32()), "total": np.add.reduceat(counts, cuts[:-1]),
+            "phrases": _blocks(ends[cuts], phrase.buffers()[2]), "lengths": _blocks(cuts * 4, pa.py_buffer(np.diff(ends).astype(np.int32))), "counts": _blocks(cuts * 8, pa.py_buffer(counts.astype(np.int64))),
+        }
+    )
+
+
+def merged(blocks: DataFrame, least: int) -> DataFrame:
+    """MERGED: the phrases of RUN rows that occur `least` times or more. Rows come sorted by partition, of which one is held at a time."""
+
+    def added(lang: str, size: int, held: list) -> pa.RecordBatch:
+        lengths = np.frombuffer(b"".join(x[1] for x in held), np.int32)
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        phrases = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(x[0] for x in held))])
+        counts = pa.array(np.frombuffer(b"".join(x[2] for x in held), np.int64))
+        sums = pa.table({"phrase": phrases, "n": counts}).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
+        same = pa.array(np.zeros(sums.num_rows, np.int64))
+        columns = [pa.array([lang]).take(same), pa.array([size], pa.int32()).take(same), sums["phrase"].combine_chunks().cast(pa.large_string()).cast(pa.string()), sums["n_sum"].combine_chunks()]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            for part, lang, size, *block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (part, lang, size) != key:
+                    if held:
+                        yield added(*key[1:], held)
+                    key, held = (part, lang, size), []
+                held.append(block)
+        if held:
+            yield added(*key[1:], held)
+
+    dealt = blocks.select("part", "lang", "size", "phrases", "lengths", "counts").repartition("part").sortWithinPartitions("part", "lang", "size")
+    return dealt.mapInArrow(released(run), MERGED)
 
 
 class Counter:
-    """A task's tries, one for each language, and their words."""
+    """A task's tries, one for each language and length, and their words. shorter: the bitmap of frequent phrases that are one word shorter."""
 
-    def __init__(self, size: int, filters: dict[int, np.ndarray]):
-        self.size, self.filters = size, filters
-        self.tries: dict[bytes, HatTrie] = {}
+    def __init__(self, sizes: tuple[int, ...], bits: int, shorter: np.ndarray | None = None):
+        self.sizes, self.bits, self.shorter = sizes, bits, shorter
+        self.tries: dict[tuple[bytes, int], HatTrie] = {}
         self.words: dict[bytes, Words] = {}
 
-    def phrases(self, words: Words, found: np.ndarray) -> np.ndarray:
-        """The keys of all phrases of `size` words whose shorter phrases are frequent."""
-        n, size = len(found) - self.size + 1, self.size
+    def phrases(self, words: Words, found: np.ndarray, piece: np.ndarray, size: int, before: int) -> np.ndarray:
+        """The keys of all phrases of `size` words whose shorter phrases are marked, but for those among the first `before` words."""
+        n = len(found) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64)
-        fit, keys = np.ones(n, bool), np.zeros(n, np.int64)
+        fit, keys = piece[:n] == piece[size - 1 :], np.zeros(n, np.int64)
+        fit[: max(0, before - size + 1)] = False
         for j in range(size):
-            fit &= found[j : n + j] > 0
             keys = (keys << WORD_BITS) | found[j : n + j]
-        if size > 2 and (shorter := self.filters.get(size - 1)) is not None:
-            hashes = words.hashes[found]
-            good = marked(shorter, phrase_hashes([hashes[j : n + 1 + j] for j in range(size - 1)]))
+        if self.shorter is not None:
+            hashes = words.hashed()[found]
+            good = marked(self.shorter, phrase_hashes([hashes[j : n + 1 + j] for j in range(size - 1)]))
             fit &= good[:n] & good[1:]
         return keys[fit]
 
-    def add(self, lang: bytes, text: bytes) -> None:
+    def add(self, lang: bytes, text: bytes, before: int = 0) -> None:
         words = self.words.setdefault(lang, Words(lang))
-        keys = self.phrases(words, words.numbers(text, self.filters.get(1)))
-        if len(keys):
-            self.tries.setdefault(lang, HatTrie(self.size)).add(*np.unique(keys, return_counts=True))
+        found, piece = words.numbers(text)
+        for size in self.sizes:
+            keys = self.phrases(words, found, piece, size, before)
+            if len(keys):
+                self.tries.setdefault((lang, size), HatTrie(size)).add(*np.unique(keys, return_counts=True))
 
     def spilled(self, everything: bool = False) -> Iterator[pa.RecordBatch]:
         """Runs, once too much is held: the largest subtrees, down to half of HELD; all where the words are too many."""
@@ -206,23 +262,31 @@ class Counter:
         held = sum(map(len, self.tries.values()))
         if not full and held <= HELD:
             return
-        subtrees = sorted(((n, lang, digit) for lang, t in self.tries.items() for digit, n in enumerate(t.sizes) if n), reverse=True)
-        for n, lang, digit in subtrees:
+        subtrees = sorted(((n, *key, digit) for key, t in self.tries.items() for digit, n in enumerate(t.sizes) if n), reverse=True)
+        chosen: dict[tuple[bytes, int], list] = {}
+        for n, lang, size, digit in subtrees:
             if not full and held <= HELD // 2:
                 break
-            yield run_of(lang, self.words[lang], self.size, *self.tries[lang].taken(digit))
+            chosen.setdefault((lang, size), []).append(self.tries[lang, size].taken(digit))
             held -= n
+        for (lang, size), parts in chosen.items():
+            yield run_of(lang, self.words[lang], size, self.bits, *map(np.concatenate, zip(*parts, strict=True)))
         if full:
             self.tries.clear()
             self.words.clear()
 
 
-def runs(docs: DataFrame, lang_col: str, text_col: str, size: int, filters) -> DataFrame:
-    """RUN: sorted runs of counted phrases of `size` words. filters: a broadcast {length: bitmap}."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("t"))
+#: Partitions are 2^PART_BITS at least, and 2^5 times as many as the table has parts: so what one holds does not grow with the table.
+PART_BITS = 10
+
+
+def runs(docs: DataFrame, lang_col: str, text_col: str, sizes: tuple[int, ...], shorter=None) -> DataFrame:
+    """RUN: runs of counted phrases of so many words. shorter: a broadcast bitmap."""
+    bits = max(PART_BITS, docs.rdd.getNumPartitions().bit_length() + 5)
+    rows, longest = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("t")), max(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(size, filters.value)
+        counter = Counter(sizes, bits, shorter.value if shorter else None)
         for b in batches:
             for part in small_slices(b, 1):
                 by_lang: dict[bytes, list[bytes]] = {}
@@ -230,8 +294,8 @@ def runs(docs: DataFrame, lang_col: str, text_col: str, size: int, filters) -> D
                     if len(text) <= PART_BYTES:
                         by_lang.setdefault(lang, []).append(text)
                         continue
-                    for piece in pieces(text, size):
-                        counter.add(lang, piece)
+                    for piece, before in pieces(text, longest):
+                        counter.add(lang, piece, before)
                         yield from counter.spilled()
                 for lang, texts in by_lang.items():
                     counter.add(lang, b".".join(texts).translate(TABLE))
@@ -263,17 +327,16 @@ def frequencies(docs: DataFrame, longest: int, least: int, lang_col: str, text_c
     """(lang, size, phrase, f) of all phrases that occur `least` times or more, and (lang, n): all words."""
     if not 2 <= longest <= 63 // WORD_BITS:
         raise ValueError(f"phrases may have 2 to {63 // WORD_BITS} words")
-    context, filters, tables, totals = docs.sparkSession.sparkContext, {}, [], None
-    for size in range(1, longest + 1):
-        sent = context.broadcast(filters)
-        found = stored(runs(docs, lang_col, text_col, size, sent))
-        sent.unpersist()
-        if size == 1:
-            totals = stored(found.groupBy("lang").agg(F.sum("n").alias("n")))
-        merged = found.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        tables.append(stored(merged.where(F.col("f") >= least).select("lang", F.lit(size).alias("size"), "phrase", "f")))
-        if size < longest:
-            filters = filters | {size: bitmap_of(tables[-1], size)}
+    context, tables, totals, shorter = docs.sparkSession.sparkContext, [], None, None
+    for sizes in [(1, 2), *[(n,) for n in range(3, longest + 1)]]:
+        found = stored(runs(docs, lang_col, text_col, sizes, shorter))
+        if shorter:
+            shorter.unpersist()
+        if totals is None:
+            totals = stored(found.where("size = 1").groupBy("lang").agg(F.sum("total").alias("n")))
+        tables.append(stored(merged(found, least)))
+        if sizes[-1] < longest:
+            shorter = context.broadcast(bitmap_of(tables[-1].where(F.col("size") == sizes[-1]), sizes[-1]))
     out = tables[0]
     for more in tables[1:]:
         out = out.unionByName(more)

@@ -12,8 +12,8 @@ whole, and one of the next ones left out. What meets in a key is held against th
 against all 64 bits. No pair is lost, and no pair that does not link passes.
 
 Equal fingerprints are one class, and only classes are joined. No key's members are all paired: turn by
-turn each member meets one leader of its key, outside the key's largest component, until no leader links; what then
-still lies in several components of one key is compared across components only.
+turn each member meets one leader of its key, outside the key's largest component, as long as leaders link many; what then
+still lies in several components of one key is compared across components only. Links are between components, so each turn's are fewer.
 
 Long texts are hashed in parts of PART_BYTES, whole. Nulls: null and empty texts and texts without words have fingerprint
 zero, and are linked like any other; null ids are passed on, and component_id is the least id that is not null.
@@ -134,11 +134,29 @@ def _viable(x: str, y: str, most: int) -> Column:
 
 
 def _met_leaders(now: DataFrame, most: int) -> DataFrame:
-    """(a, b): links of members with their key's leader, which lies outside the key's largest component."""
+    """(a, b): components that a member and its keys' leaders link. A key's leader lies outside the key's largest component.
+
+    Of a member's leaders (one a key) the first is linked with the member and with the others: what is joined stays the same, with fewer links.
+    """
     held = now.where(F.coalesce(F.col("comp") != F.col("main"), F.lit(True)))
     leaders = held.groupBy("key").agg(F.max_by(F.struct("rid", "comp"), F.struct("score", "rid")).alias("l")).select("key", "l.*")
     met = now.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & _viable("x", "y", most))
-    return checkpointed(met.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct())
+    held = met.groupBy(F.col("x.rid").alias("rid"), F.col("x.comp").alias("a")).agg(F.sort_array(F.collect_set("y.comp")).alias("s"))
+    told = F.transform(F.concat(F.array("a"), F.slice("s", 2, len(index_masks(most)))), lambda x: F.struct(x.alias("a"), F.get("s", F.lit(0)).alias("b")))
+    return checkpointed(held.select(F.explode(told).alias("l")).select("l.*").distinct())
+
+
+def _merged(roots: DataFrame | None, more: DataFrame) -> DataFrame:
+    """(node, root) after the components of roots have been joined to those of more, whose nodes are components."""
+    if roots is None:
+        return more
+    fresh = more.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    tops = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return checkpointed(roots.unionByName(fresh).join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+#: Turns go on while they link one in so many of the members that are left; what they leave is compared across components.
+WORTH = 20
 
 
 def linked(classes: DataFrame, most: int = 3) -> DataFrame | None:
@@ -148,11 +166,13 @@ def linked(classes: DataFrame, most: int = 3) -> DataFrame | None:
     # Written, so that joins are between plain shuffles, of which Spark splits a hot key's.
     held = stored(keys.join(several, "key"))
     shared = stored(held.drop("members").join(held.groupBy("rid").agg(F.sum("members").alias("score")), "rid"))
-    now, links, roots = shared.withColumn("comp", F.col("rid")).withColumn("main", F.lit(None).cast("bigint")), None, None
-    while not (found := _met_leaders(now, most)).isEmpty():
-        links = found if links is None else checkpointed(links.unionByName(found))
-        roots = components(links)
-        now = stored(open_keys(now.drop("comp"), roots))
+    now, roots, worth = shared.withColumn("comp", F.col("rid")).withColumn("main", F.lit(None).cast("bigint")), None, True
+    while worth:
+        found = _met_leaders(now, most)
+        worth = WORTH * found.count() >= now.select("rid").distinct().count() > 0
+        if not found.isEmpty():
+            roots = _merged(roots, components(found))
+            now = stored(open_keys(now.drop("comp"), roots))
     # Two that agree in all of a chain share all of its keys: the first is enough.
     x, y, index = now.where("comp <> main").alias("x"), now.alias("y"), index_masks(most)
     wild = F.array(*[F.lit(chain(i, steps(most)[1]) & ~mask).cast("bigint") for i, mask in index])
@@ -160,10 +180,8 @@ def linked(classes: DataFrame, most: int = 3) -> DataFrame | None:
     once = F.col("x.t").isin(firsts) | (F.col("x.rid").bitwiseXOR(F.col("y.rid")).bitwiseAND(F.get(wild, F.col("x.t"))) != 0)
     across = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & across & once & _viable("x", "y", most))
-    more = checkpointed(rest.select(F.greatest("x.rid", "y.rid").alias("a"), F.least("x.rid", "y.rid").alias("b")).distinct())
-    if more.isEmpty():
-        return roots
-    return components(more if links is None else links.unionByName(more))
+    more = checkpointed(rest.select(F.greatest("x.comp", "y.comp").alias("a"), F.least("x.comp", "y.comp").alias("b")).distinct())
+    return roots if more.isEmpty() else _merged(roots, components(more))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, most: int = 3) -> DataFrame:

@@ -1,3 +1,3 @@
 
 
-from . import addresses, defaults, detection, logs, lookalikes, lookups, mappings, places, redaction, reports, rulesets, tables  # noqa: F401
+from . import addresses, defaults, detection, frames, logs, lookalikes, lookups, mappings, places, redaction, reports, rulesets, tables  # noqa: F401
