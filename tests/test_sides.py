@@ -35,5 +35,5 @@ def test_dictionary_and_frames_rewritten(spark):
     arp = rows[1, None]
     assert (arp.arp_sender_ip, arp.arp_target_ip, arp.arp_target_mac, arp.dst_mac) == ("192.0.2.1", "192.0.2.2", "00:00:00:00:00:00", "ff:ff:ff:ff:ff:ff") and arp.src_mac == arp.arp_sender_mac == got["aa:00:00:00:00:02"][2]
     assert (arp.n_macs, arp.n_ipv4, arp.n_ipv6, arp.changed) == (2, 2, 0, True) and arp.value == "clash"
-    assert rows[7, "2001:db8::1"].n_ipv6 == 1 and not rows[None, None].changed
+    assert rows[7, "2001:db8::1"].n_ipv6 == 2 and not rows[None, None].changed
     assert sides.anonymised(frames(spark).limit(0)).count() == 0

@@ -1,7 +1,7 @@
 """Frames with all their addresses: counters, one dictionary for every side, and frames rewritten through it.
 
 A frame is a row (packet_no, ethertype, dst_mac, src_mac, arp_sender_mac, arp_sender_ip, arp_target_mac, arp_target_ip, src_ip, dst_ip, proto, src_port, dst_port,
-pppoe, payload as BINARY). Columns that a frame does not have are null; nulls are counted nowhere and stay null. Frames with the same number are frames
+pppoe, payload as BINARY). Columns that a frame does not have are null; a null address is counted nowhere and stays null, a frame of null kind counts as other. Frames with the same number are frames
 of their own.
 """
 
@@ -40,7 +40,7 @@ def counters(frames: DataFrame) -> DataFrame:
     transport = (ip4 | ip6) & proto.isin(6, 17)
     tests = {
         "ethernet": F.lit(True), "arp": arp, "pppoe": ~arp & F.col("pppoe"), "ipv4": ip4, "ipv6": ip6, "icmp": ip4 & (proto == 1), "icmpv6": ip6 & (proto == 58), "tcp": (ip4 | ip6) & (proto == 6), "udp": (ip4 | ip6) & (proto == 17),
-        "other": ~arp & ~F.coalesce(known, F.lit(False)), "tls_client_hello": transport & (proto == 6) & ((F.col("src_port") == 443) | (F.col("dst_port") == 443)) & client_hello(F.col("payload")),
+        "other": ~F.coalesce(arp | known, F.lit(False)), "tls_client_hello": transport & (proto == 6) & ((F.col("src_port") == 443) | (F.col("dst_port") == 443)) & client_hello(F.col("payload")),
     }
     sums = {name: F.count_if(F.coalesce(test, F.lit(False))) for name, test in tests.items()}
     for name, ports in PORTS.items():
