@@ -5,9 +5,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While on, Spark removes the shuffle files of a query as soon as it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders that written() filled since the innermost settled() began.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where none is named, a local session has one of its own; a cluster has none."""
@@ -21,10 +29,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read back: for tables that a plan uses more than once, and for what must not be dealt anew."""
-    path = f"{shared_dir(df.sparkSession)}/veilspark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """df, computed once and read back: for tables that a plan uses more than once, and for what must not be dealt anew.
+
+    The write's shuffle files go when it ends: nothing reads them again, and a lost executor costs only what is running.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    if (paths := _passing.get()) is not None:
+        paths.append(path)
+    return spark.read.parquet(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, as written() gives it; the tables that make() wrote on its way are removed then.
+
+    Only the result may be used afterwards. If anything fails, the tables stay for a look at them.
+    """
+    token = _passing.set([])
+    try:
+        done = make()
+        paths = _passing.get()
+    finally:
+        _passing.reset(token)
+    result = written(done)
+    hadoop, jvm = done.sparkSession.sparkContext._jsc.hadoopConfiguration(), done.sparkSession.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+    return result
 
 
 def spread(df: DataFrame) -> DataFrame:
