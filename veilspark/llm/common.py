@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.sources.shared import shared_dir, spread, written
+from veilspark.sources.shared import settled, shared_dir, spread, written
 
 #: Characters of text that a Python task holds as Python objects at a time.
 CHUNK_CHARS = 1_000_000
