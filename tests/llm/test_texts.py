@@ -126,6 +126,20 @@ def test_markov_spans_against_brute_force(spark):
         assert [(s.start, s.end, round(s.score, 6)) for s in r.spans if s.kind == secrets.MARKOV] == want, text
 
 
+def test_tokens_under_base_spans_against_brute_force():
+    rng = random.Random(12)
+
+    def disjoint():
+        cuts = sorted(rng.sample(range(120), 2 * rng.randint(0, 12)))
+        return list(zip(cuts[::2], cuts[1::2]))
+
+    for _ in range(300):
+        tokens, base = disjoint(), sorted((s, k, e) for k in range(3) for s, e in disjoint())
+        assert secrets.as_long(base, tokens, 3) == [any(x < e and s < y and y - x >= e - s for x, _, y in base) for s, e in tokens]
+    many = [(10 * i, 10 * i + 8) for i in range(100_000)]
+    assert secrets.as_long([(s, i % 3, e - i % 2) for i, (s, e) in enumerate(many)], many, 3) == [i % 2 == 0 for i in range(100_000)]
+
+
 def test_licenses_against_word_positions(spark, tmp_path):
     rows = [
         (1, "Under THE MIT-License. under the mit license; under the mit license"),

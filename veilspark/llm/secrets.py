@@ -145,6 +145,25 @@ def log_ratio(value: str, ratios: np.ndarray) -> float:
     return float(ratios[code[:-1], code[1:]].sum())
 
 
+def as_long(base: list[tuple[int, int, int]], tokens: list[tuple[int, int]], kinds: int) -> list[bool]:
+    """For each token (start, end), whether a base span (start, kind, end) that overlaps it is as long.
+
+    Tokens are disjoint and in order, and so are the base spans of one kind: one sweep a kind, linear in both.
+    """
+    out = [False] * len(tokens)
+    for kind in range(kinds):
+        own = [(x, y) for x, k, y in base if k == kind]
+        at = 0
+        for i, (s, e) in enumerate(tokens):
+            while at < len(own) and own[at][1] <= s:
+                at += 1
+            j = at
+            while j < len(own) and own[j][0] < e:
+                out[i] |= own[j][1] - own[j][0] >= e - s
+                j += 1
+    return out
+
+
 def find_secrets(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", least: float = 14.0, least_each: float = 0.5) -> DataFrame:
     """(id, spans) for each document: all finds in order of start, then kind; ends are exclusive, in code points."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -158,11 +177,11 @@ def find_secrets(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", te
                 for t in part.column(1).to_pylist():
                     base = rule_spans(t, compiled)
                     found = [(s, k, e, math.inf) for s, k, e in base]
-                    for m in candidate.finditer(t):
-                        s, e = m.span()
-                        if any(x < e and s < y and y - x >= e - s for x, _, y in base):
+                    tokens = [m.span() for m in candidate.finditer(t)]
+                    for (s, e), covered in zip(tokens, as_long(base, tokens, len(kinds))):
+                        if covered:
                             continue
-                        score = log_ratio(m[0], model)
+                        score = log_ratio(t[s:e], model)
                         if score >= least and score >= least_each * (e - s):
                             found.append((s, len(kinds), e, score))
                     rows.append([{"kind": (*kinds, MARKOV)[k], "start": s, "end": e, "score": None if x == math.inf else x} for s, k, e, x in sorted(found)])
