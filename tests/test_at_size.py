@@ -1,5 +1,7 @@
 """What larger tables brought out: rules that hold beyond the small numbers, and joins that keep to what matches."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -18,3 +20,24 @@ def test_the_twin_has_a_pseudonym_for_every_number(spark, query):
     assert duckdb.sql(f"select {tables._V4} from (select unnest({some}) as n)").fetchall() == [tuple(r) for r in new]
     with pytest.raises(duckdb.Error):
         duckdb.sql(f"select {tables._V4} from (select 251790075 as n)").fetchall()
+
+
+def test_ranges_of_any_ends(spark):
+    rng = random.Random(9)
+    ends = [(rng.randrange(2**32), rng.randrange(2**32)) for _ in range(20)] + [(x := rng.randrange(2**32), x + rng.randrange(300)) for _ in range(60)] + [(0, 2**32 - 1), (5, 5), (6, 5), (None, 3), (0, None), (134217728, 134217983)]
+    ips = [rng.choice([lo, hi, (lo + hi) // 2, lo - 1, hi + 1]) % 2**32 for lo, hi in ends if lo is not None and hi is not None for _ in range(4)]
+    rows = spark.createDataFrame([(i, ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))) for i, n in enumerate(ips)] + [(-1, None), (-2, "::1"), (-3, "-1.0.0.0")], "packet_no long, ip string")
+    nets = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate(ends)], "id int, lo long, hi long")
+    got = packets.in_networks(rows, nets, "ip")
+    assert got.columns == ["packet_no", "ip", "id"]
+    want = [(i, k) for i, n in enumerate(ips) for k, (lo, hi) in enumerate(ends) if lo is not None and hi is not None and lo <= n <= hi]
+    assert sorted((r.packet_no, r.id) for r in got.collect()) == sorted(want)
+    assert packets.in_networks(rows, nets.limit(0), "ip").count() == 0
+
+
+def test_networks_of_one_block_meet_only_their_own(spark):
+    """A thousand networks in one /16 block: a packet was tested against each of them."""
+    nets = spark.range(1000).selectExpr("id", "134217728 + (id % 250) * 256 as lo", "134217728 + (id % 250) * 256 + 255 as hi")
+    rows = spark.range(500).selectExpr("id as packet_no", "concat('8.0.', cast(id % 250 as string), '.7') as ip")
+    got = packets.in_networks(rows, nets, "ip")
+    assert got.count() == 2000 and "BETWEEN" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()).upper() and "<=" not in plan
