@@ -19,37 +19,44 @@ from veilspark.sources.shared import written
 from .spans import let
 
 
+#: A dotted quad; the groups of an address, with :: once at most. Every text is read by few expressions, each of them once: a split that stands in several branches is done in each.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+_QUAD = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_GROUPS = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+
+
 def v4_bytes(ip: Column) -> Column:
     """Four bytes of a dotted quad; null for other texts."""
-    parts = F.regexp_extract_all(ip, F.lit("[0-9]+"), F.lit(0))
-    fit = ip.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    octets = [F.try_element_at(parts, F.lit(i + 1)).cast("int") for i in range(4)]
-    small = reduce(lambda a, b: a & b, [o <= 255 for o in octets])
-    return F.when(fit, F.when(small, F.unhex(F.concat(*[F.lpad(F.hex(o), 2, "0") for o in octets]))))
+    return F.when(ip.rlike(f"^{_QUAD}$"), F.unhex(_quad_hex(ip)))
+
+
+def _quad_hex(quad: Column) -> Column:
+    """Eight digits of what is a dotted quad."""
+    return let(F.split(quad, "\\."), lambda p: F.lpad(F.hex(reduce(lambda a, b: a * 256 + b, [F.get(p, F.lit(i)).try_cast("bigint") for i in range(4)])), 8, "0"))
 
 
 def v6_bytes(ip: Column) -> Column:
     """Sixteen bytes of an address of RFC 4291, with :: and a dotted quad at the end or without; null for other texts."""
-    bare = F.lower(F.regexp_replace(ip, r"^\[|(?:%[^\]]*)?\]?$", ""))
+    bare = F.lower(F.when(ip.rlike(r"^\[|[%\]]"), F.regexp_replace(ip, r"^\[|(?:%[^\]]*)?\]?$", "")).otherwise(ip))
+
+    def in_hex(text: Column) -> Column:
+        start = F.length(F.substring_index(text, ":", -1))
+        digits = _quad_hex(F.substring_index(text, ":", -1))
+        return F.concat(F.substring(text, F.lit(1), F.length(text) - start), let(digits, lambda d: F.concat(F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4))))
+
+    def padded(text: Column) -> Column:
+        """Groups of four digits without the signs between them, :: stays."""
+        longer = F.regexp_replace(text, "([0-9a-f]+)", "000$1")
+        return F.regexp_replace(longer, "[0-9a-f]{0,3}([0-9a-f]{4})(?::(?!:))?", "$1")
+
+    def whole(digits: Column) -> Column:
+        filled = F.concat(F.substring_index(digits, "::", 1), F.repeat(F.lit("0"), F.lit(34) - F.length(digits)), F.substring_index(digits, "::", -1))
+        return F.when(digits.contains("::"), F.when(F.length(digits) <= 30, filled)).when(F.length(digits) == 32, digits)
 
     def of(text: Column) -> Column:
-        quad = F.regexp_extract(text, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-        last = F.lower(F.hex(v4_bytes(quad)))
-        in_hex = F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(quad)), F.substring(last, 1, 4), F.lit(":"), F.substring(last, 5, 4))
-        return let(F.when(quad == "", text).otherwise(in_hex), grouped)
-
-    def grouped(text: Column) -> Column:
-        def groups(side: Column) -> Column:
-            return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
-
-        sides = F.split(text, "::", -1)
-        left, right, short = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit(""))), F.size(sides) == 2
-        missing = F.lit(8) - F.size(left) - F.size(right)
-        whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
-        fit = F.when(short, missing >= 1).otherwise((F.size(sides) == 1) & (missing == 0)) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-        return F.when(fit, F.unhex(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
-
-    return let(bare, of)
+        return F.when(text.rlike(f"^(?:{_GROUPS})?(?:::(?:{_GROUPS})?)?$"), F.unhex(let(padded(text), whole)))
+
+    return let(bare, lambda text: let(F.when(text.rlike(f":{_QUAD}$"), F.lower(in_hex(text))).otherwise(text), of))
 
 
 def address_bytes(ip: Column) -> Column:
