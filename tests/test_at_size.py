@@ -41,3 +41,15 @@ def test_networks_of_one_block_meet_only_their_own(spark):
     rows = spark.range(500).selectExpr("id as packet_no", "concat('8.0.', cast(id % 250 as string), '.7') as ip")
     got = packets.in_networks(rows, nets, "ip")
     assert got.count() == 2000 and "BETWEEN" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()).upper() and "<=" not in plan
+
+
+def test_addresses_of_a_packet_are_read_once(spark):
+    """However many networks: a side was split again for each of them, and for keep and for reason."""
+    rows = spark.createDataFrame([("10.1.0.1", "8.8.8.8", 6, 1, 2)], "src_ip string, dst_ip string, proto int, src_port int, dst_port int")
+
+    def reads(nets, what):
+        plan = packets.filtered(rows, (17,), nets, ((20, 25),)).select("keep", "reason")
+        return plan._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+    for nets, what in ((("10.1.0.0/16", "8.8.0.0/20", "9.9.0.0/16"), "split("), (("fe80::/10", "::1/128", "2001:db8::/32"), "regexp_replace(")):
+        assert reads(nets, what) == reads(nets[:1], what) > 0

@@ -22,7 +22,8 @@ DOC_NETS = ("192.0.2", "198.51.100", "203.0.113")
 def v4_number(ip: Column) -> Column:
     """The number of a dotted quad; null for other texts, IPv6 ones among them."""
     p = F.split(ip, "\\.")
-    return reduce(lambda a, b: a * 256 + b, [F.get(p, i).try_cast("bigint") for i in range(4)])
+    # A part with a colon is no number; without the test each costs an exception.
+    return reduce(lambda a, b: a * 256 + b, [F.when(~F.get(p, i).contains(":"), F.get(p, i).try_cast("bigint")) for i in range(4)])
 
 
 def is_private_v4(ip: Column) -> Column:
@@ -49,19 +50,31 @@ def filtered(packets: DataFrame, protocols=(), cidrs=(), ports=(), invert: bool
     """packets with keep and reason: protocol, then address (networks of both families), then port; any hit removes the packet, or with invert keeps it."""
     by_protocol = F.col("proto").isin(list(protocols)) if protocols else F.lit(False)
     by_address, by_port = F.lit(False), F.lit(False)
+    # Each side is read once, as columns of their own: inside the tests it would be read again for every network.
+    read = {}
+    for side in ("src", "dst"):
+        if any(":" not in c for c in cidrs):
+            read[f"__{side}_v4"] = v4_number(F.col(f"{side}_ip"))
+        if any(":" in c for c in cidrs):
+            read[f"__{side}_v6"] = F.when(F.col(f"{side}_ip").contains(":"), v6_bytes(F.col(f"{side}_ip")))
     for cidr in cidrs:
-        if ":" in cidr:
-            for side in ("src_ip", "dst_ip"):
-                by_address = by_address | in_network(v6_bytes(F.col(side)), cidr)
-        else:
-            for side in ("src_ip", "dst_ip"):
-                by_address = by_address | F.coalesce(v4_number(F.col(side)).between(*cidr_range(cidr)), F.lit(False))
+        for side in ("src", "dst"):
+            if ":" in cidr:
+                by_address = by_address | in_network(F.col(f"__{side}_v6"), cidr)
+            else:
+                by_address = by_address | F.coalesce(F.col(f"__{side}_v4").between(*cidr_range(cidr)), F.lit(False))
     for lo, hi in ports:
         by_port = by_port | F.col("src_port").between(lo, hi) | F.col("dst_port").between(lo, hi)
     reason = F.when(by_protocol, "protocol").when(by_address, "address").when(by_port, "port")
-    if invert:
-        return packets.withColumn("keep", reason.isNotNull()).withColumn("reason", F.when(reason.isNull(), "inverted"))
-    return packets.withColumn("keep", reason.isNull()).withColumn("reason", reason)
+    out = packets.withColumns(read).withColumn("reason", reason).drop(*read)
+    out = out.withColumn("keep", F.col("reason").isNull())
+    keep, why = turned(F.col("keep")) if invert else (F.col("keep"), F.col("reason"))
+    return out.select(*packets.drop("keep", "reason").columns, keep.alias("keep"), why.alias("reason"))
+
+
+def turned(keep: Column) -> tuple[Column, Column]:
+    """keep and reason of a filter that is turned round, from keep of the plain one."""
+    return ~keep, F.when(keep, "inverted")
 
 
 def in_networks(packets: DataFrame, networks: DataFrame, column: str) -> DataFrame:

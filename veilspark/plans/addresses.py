@@ -62,10 +62,9 @@ def _hit(bits: str) -> str:
   select packet_no, not (a or o) as keep, case when a then 'address' when o then 'port' end as reason, a or o as keep_inverted, case when not (a or o) then 'inverted' end as reason_inverted from h""")
 def packet_filter_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Networks of both families in one filter, and the filter turned round (FLT-10)."""
-    rows = address_table(spark, sf_dir)
-    plain = packets.filtered(rows, (), FILTERED, ((2000, 2050),))
-    turned = packets.filtered(plain.withColumnsRenamed({"keep": "k", "reason": "r"}), (), FILTERED, ((2000, 2050),), invert=True)
-    return turned.select("packet_no", F.col("k").alias("keep"), F.col("r").alias("reason"), F.col("keep").alias("keep_inverted"), F.col("reason").alias("reason_inverted"))
+    plain = packets.filtered(address_table(spark, sf_dir), (), FILTERED, ((2000, 2050),))
+    keep, reason = packets.turned(F.col("keep"))
+    return plain.select("packet_no", "keep", "reason", keep.alias("keep_inverted"), reason.alias("reason_inverted"))
 
 
 _SUPPLIER_BITS = f"'{int('20010db8', 16):032b}' || lpad(bin(cast(s_suppkey % 65536 as bigint)), 16, '0')"
