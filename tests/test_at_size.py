@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import packets
+from veilspark.operators import mapping, packets
 from veilspark.plans import tables
 
 
@@ -53,3 +53,17 @@ def test_addresses_of_a_packet_are_read_once(spark):
 
     for nets, what in ((("10.1.0.0/16", "8.8.0.0/20", "9.9.0.0/16"), "split("), (("fe80::/10", "::1/128", "2001:db8::/32"), "regexp_replace(")):
         assert reads(nets, what) == reads(nets[:1], what) > 0
+
+
+def test_no_row_of_a_mapping_holds_the_words_of_a_text(spark, monkeypatch):
+    """The words of a text went along with each place where an original may begin."""
+    seen, written = [], mapping.written
+    monkeypatch.setattr(mapping, "written", lambda df: seen.append(df.schema.simpleString()) or written(df))
+    cells = spark.createDataFrame([(1, "a b c a b " * 50), (2, None), (3, "")], "cell int, text string")
+    nodes = mapping.trie(spark.createDataFrame([(1, "a b", "X"), (2, "b c a", "Y"), (3, "c", "Z")], "no long, original string, replacement string"))
+    found = mapping.matches(cells, nodes)
+    assert seen and not any("array" in s for s in seen)
+    got = sorted((r.start, r.end, r.replacement) for r in found.collect())
+    text = "a b c a b " * 50
+    want = [(m, m + len(o), n) for o, n in (("a b", "X"), ("b c a", "Y"), ("c", "Z")) for m in range(len(text)) if text.startswith(o, m)]
+    assert got == sorted(want)

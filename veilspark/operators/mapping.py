@@ -40,21 +40,22 @@ def trie(entries: DataFrame) -> DataFrame:
 
 
 def matches(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cell, start, end, replacement) of all matches in cells (cell, text), overlapping ones too."""
+    """(cell, start, end, replacement) of all matches in cells (cell, text), overlapping ones too.
+
+    Every word that the trie has is a row of its own and is met by its place, so no row holds a text's words more than once.
+    """
     longest = nodes.agg(F.max("depth")).first()[0] or 0
-    told = written(spans.detect(cells, [_TOKENS], out="tokens").select("cell", F.transform("tokens", lambda t: F.struct(F.lower(t["value"]).alias("w"), t["start"].alias("a"), t["end"].alias("b"))).alias("tokens")))
+    known = nodes.select(F.substring_index("node", " ", -1).alias("w")).distinct()
+    each = spans.rows_of(spans.detect(cells, [_TOKENS], out="tokens"), "tokens", ["cell"])
+    each = each.select("cell", "at", F.lower("s.value").alias("w"), F.col("s.start").alias("a"), F.col("s.end").alias("b"))
+    told = written(each.join(known, "w", "left_semi"))
     found = told.select("cell", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("replacement")).limit(0)
-    if not longest:
-        return found
-    # Only first words are dealt out; the words behind one are fetched where it begins something.
-    firsts = told.select("cell", F.posexplode(F.transform("tokens", lambda t: t["w"])).alias("at", "node"))
-    begun = firsts.join(nodes.where("depth = 1").select("node"), "node").groupBy("cell").agg(F.collect_list("at").alias("ats"))
-    alive = told.join(begun, "cell").select("cell", "tokens", F.explode("ats").alias("at")).select("cell", F.slice("tokens", F.col("at") + 1, F.lit(longest)).alias("ahead"))
+    alive = told.select("cell", "at", F.col("a").alias("start"), F.col("b").alias("end"), F.col("w").alias("node"))
     for depth in range(1, longest + 1):
-        here = alive.where(F.size("ahead") >= depth).withColumn("node", F.array_join(F.transform(F.slice("ahead", 1, depth), lambda t: t["w"]), " "))
-        here = written(here.join(nodes.where(F.col("depth") == depth).drop("depth"), "node"))
-        whole = here.where("replacement IS NOT NULL").select("cell", F.col("ahead")[0]["a"].alias("start"), F.col("ahead")[depth - 1]["b"].alias("end"), "replacement")
-        found, alive = found.unionByName(whole), here.where("inner").select("cell", "ahead")
+        here = written(alive.join(nodes.where(F.col("depth") == depth).drop("depth"), "node"))
+        found = found.unionByName(here.where("replacement IS NOT NULL").select("cell", "start", "end", "replacement"))
+        alive = here.where("inner").select("cell", (F.col("at") + 1).alias("at"), "start", "node").join(told, ["cell", "at"])
+        alive = alive.select("cell", "at", "start", F.col("b").alias("end"), F.concat_ws(" ", "node", "w").alias("node"))
     return found
 
 

@@ -50,14 +50,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 PART = 256
 
 
-def folded(items: Column, state: dict[str, Column], step: Callable[[Column, Column], Column], kind: str = SPAN) -> Column:
+def folded(items: Column, state: dict[str, Column], step: Callable[[Column, Column], Column], kind: str = SPAN, part: int = PART) -> Column:
     """The list that a fold makes. step: (state and "out", item) to the next state and "out", of which it may read the last element only.
 
     Each step of aggregate() copies its state, so a list that grows with the items would make it quadratic.
     So the items are folded part by part, and only the end of a part's list goes on to the next part.
     """
     n = F.size(items)
-    parts = let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda k: F.slice(x, k * PART + 1, PART)))
+    parts = let(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / part).cast("int")), lambda k: F.slice(x, k * part + 1, part)))
 
     def over_part(acc: Column, part: Column) -> Column:
         begun = F.struct(*[acc[c].alias(c) for c in state], acc["out"].alias("out"))
@@ -72,17 +72,22 @@ def folded(items: Column, state: dict[str, Column], step: Callable[[Column, Colu
     return F.when(n > 0, F.aggregate(parts, begun, over_part, lambda acc: F.concat(F.flatten(acc["done"]), acc["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def _located(found: Column, gaps: Column, rule: Rule, no: int) -> Column:
-    """The spans of one rule: its matches lie between the pieces that split() leaves."""
+def _starts(found: Column, gaps: Column) -> Column:
+    """Where the matches of a rule begin: they lie between the pieces that split() leaves.
+
+    The fold holds numbers only: each of its steps copies what it holds, texts too.
+    """
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        span = F.struct(F.lit(rule.id).alias("rule"), x["value"].alias("value"), start.alias("start"), end.alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct((acc["at"] + x["gap"] + x["long"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out"))
+
+    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(F.length(v).alias("long"), F.length(g).alias("gap")))
+    return F.when(F.size(found) > 0, folded(both, {"at": F.lit(0)}, step, "int", 64)).otherwise(F.array().cast("array<int>"))
 
-    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.when(F.size(found) > 0, folded(both, {"at": F.lit(0)}, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+def _located(found: Column, starts: Column, rule: Rule, no: int) -> Column:
+    """The spans of one rule."""
+    return F.zip_with(found, starts, lambda v, a: F.struct(F.lit(rule.id).alias("rule"), v.alias("value"), a.alias("start"), (a + F.length(v)).alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no")))
 
 
 def detect(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -95,10 +100,11 @@ def detect(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", out: st
     n = range(len(rules))
     held = df.withColumns({f"__{out}_v{i}": values(text, r) for i, r in enumerate(rules)})
     held = held.withColumns({f"__{out}_g{i}": F.when(F.size(f"__{out}_v{i}") > 0, F.split(text, r.pattern, -1)) for i, r in enumerate(rules)})
-    held = held.withColumns({f"__{out}_s{i}": _located(F.col(f"__{out}_v{i}"), F.col(f"__{out}_g{i}"), r, i) for i, r in enumerate(rules)})
+    held = held.withColumns({f"__{out}_a{i}": _starts(F.col(f"__{out}_v{i}"), F.col(f"__{out}_g{i}")) for i in n})
+    held = held.withColumns({f"__{out}_s{i}": _located(F.col(f"__{out}_v{i}"), F.col(f"__{out}_a{i}"), r, i) for i, r in enumerate(rules)})
     parts = [F.expr(f"filter(__{out}_s{i}, x -> {valid(r, 'x.value')})") if r.validator else F.col(f"__{out}_s{i}") for i, r in enumerate(rules)]
     whole = F.concat(*parts) if parts else F.array().cast(f"array<{SPAN}>")
-    return held.withColumn(out, whole).drop(*[f"__{out}_{k}{i}" for i in n for k in "vgs"])
+    return held.withColumn(out, whole).drop(*[f"__{out}_{k}{i}" for i in n for k in "vgas"])
 
 
 def ordered(spans: Column) -> Column:
@@ -144,10 +150,19 @@ def resolved(spans: Column, overlap: str = "greedy") -> Column:
         )
         return F.when((F.size(acc["out"]) > 0) & (m["start"] < last["end"]), ends_with(acc, wider, True)).otherwise(ends_with(acc, m))
 
-    def first(acc: Column, m: Column) -> Column:
-        return F.when((F.size(acc["out"]) > 0) & (m["start"] < F.get(acc["out"], F.size(acc["out"]) - 1)["end"]), acc).otherwise(ends_with(acc, m))
+    def first(items: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            free = x["start"] >= acc["until"]
+            return F.struct(F.when(free, x["end"]).otherwise(acc["until"]).alias("until"), F.concat(acc["out"], F.array(free)).alias("out"))
+
+        # The fold holds flags only, as each of its steps copies what it holds.
+        ends = F.transform(items, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        kept = folded(ends, {"until": F.lit(0)}, step, "boolean", 64)
+        return F.transform(F.filter(F.arrays_zip(items.alias("s"), kept.alias("kept")), lambda x: x["kept"]), lambda x: x["s"])
 
-    step = {"greedy": greedy, "cover": cover, "first": first}[overlap]
+    if overlap == "first":
+        return F.when(F.size(spans) > 1, let(ordered(spans), first)).otherwise(spans)
+    step = {"greedy": greedy, "cover": cover}[overlap]
     return F.when(F.size(spans) > 1, folded(ordered(spans), {}, step)).otherwise(spans)
 
 
