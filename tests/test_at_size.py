@@ -67,3 +67,22 @@ def test_no_row_of_a_mapping_holds_the_words_of_a_text(spark, monkeypatch):
     text = "a b c a b " * 50
     want = [(m, m + len(o), n) for o, n in (("a b", "X"), ("b c a", "Y"), ("c", "Z")) for m in range(len(text)) if text.startswith(o, m)]
     assert got == sorted(want)
+
+
+def test_quality_bounds_are_fitted_on_all_labels(spark):
+    """A sample of 20,000 labels was taken; the fit over tables of any size is the one in memory."""
+    import numpy as np
+
+    from veilspark.llm import quality
+
+    rng = np.random.default_rng(4)
+    for n, step in ((300, 0.25), (5_000, 0.01), (30_000, 0.001)):
+        good = rng.random(n) < 0.8
+        place = np.round(rng.normal(np.where(good, 0.0, 0.8), np.where(good, 1.0, 2.5)) / step) * step
+        table = spark.createDataFrame([(float(p), bool(g)) for p, g in zip(place, good)], "place double, good boolean")
+        for loss in (0.0, 0.01):
+            assert quality.fitted_on(table, loss) == quality.fitted(place, good, loss)
+    assert quality.fitted_on(table.limit(50), 0.01) is None and quality.fitted_on(table.limit(0), 0.01) is None
+    out = spark.range(25_000).selectExpr("id as doc_id", "true as own", "false as base_failed", "rand(1) as log_perplexity", "0.5 as middle", "1.0 as spread", "cast(id as string) as key")
+    labels = spark.range(25_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert quality.labelled(out, labels, "doc_id").count() == 25_000

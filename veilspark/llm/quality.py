@@ -5,9 +5,8 @@ scored, and the median and quartiles of the log perplexity of each language set
 bound, `below` and `above` interquartile ranges from the median. Texts outside their language's band, and texts
 that fail a fixed rule, are rejected.
 
-With labels (id, quality 1 or 0), below and above are fitted: of the SAMPLE labelled ids of least hash, those
-that pass the fixed rules, the pair is taken that rejects most of quality 0 and at most `loss` of
-quality 1. With fewer than LEAST_GOOD of quality 1 the given below and above hold.
+With labels (id, quality 1 or 0), below and above are fitted: of all labelled texts that pass the fixed
+rules, the pair is taken that rejects most of quality 0 and at most `loss` of quality 1. With fewer than LEAST_GOOD of quality 1 the given below and above hold.
 
 Languages of fewer than `least` texts share one model and one band. If they are fewer even together,
 their upper bound is that of all texts pooled; they have no lower one, as a model of few texts knows
@@ -25,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import kneser_ney
 from .common import free_name, released, small_slices, stored, text_of
@@ -32,8 +32,8 @@ from .common import free_name, released, small_slices, stored, text_of
 SYMBOLS = "#*$%&|<>"
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Labelled ids that the bounds are fitted on, at most, and passing ones of quality 1, at least.
-SAMPLE, LEAST_GOOD = 20_000, 200
+#: Labelled texts of quality 1 that pass the fixed rules, at least, for fitted bounds.
+LEAST_GOOD = 200
 #: The share of quality 1 that the fitted bounds may reject.
 LOSS = 0.01
 
@@ -105,14 +105,37 @@ def fitted(place: np.ndarray, good: np.ndarray, loss: float) -> tuple[float, flo
     return float(-low[k]), float(high[k])
 
 
-def labelled(out: DataFrame, labels: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(place, good) of a bounded sample of labelled texts that pass the fixed rules and have a band of their own."""
+def labelled(out: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """(place, good) of all labelled texts that pass the fixed rules and have a band of their own."""
     some = labels.where("quality in (0, 1)").select(F.col(id_col).alias("_id"), (F.col("quality") == 1).alias("good"))
-    some = some.orderBy(F.xxhash64("_id"), "_id", "good").limit(SAMPLE)
-    held = out.where(F.col("own") & ~F.col("base_failed")).join(F.broadcast(some), F.col(id_col) == F.col("_id"))
-    held = held.select(((F.col("log_perplexity") - F.col("middle")) / F.col("spread")).alias("place"), "good", F.xxhash64("key").alias("h"))
-    table = held.orderBy("h", "place", "good").limit(SAMPLE).toArrow()
-    return table["place"].to_numpy(), table["good"].to_numpy().astype(bool)
+    held = out.where(F.col("own") & ~F.col("base_failed")).join(some, F.col(id_col) == F.col("_id"))
+    return held.select(((F.col("log_perplexity") - F.col("middle")) / F.col("spread")).alias("place"), "good")
+
+
+def fitted_on(table: DataFrame, loss: float) -> tuple[float, float] | None:
+    """As fitted(), of a table (place, good) of any size: one row reaches the driver.
+
+    Each place has the good and the others before it; the counts of earlier parts are added, so no task orders all of them.
+    """
+    good, junk = F.col("good").cast("long"), (~F.col("good")).cast("long")
+    places = table.groupBy("place").agg(F.sum(good).alias("g"), F.sum(junk).alias("j"))
+    dealt = stored(places.repartitionByRange("place").withColumn("part", F.spark_partition_id()))
+    totals = dealt.agg(F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.coalesce(F.sum("j"), F.lit(0)).alias("j")).first()
+    if totals.g < LEAST_GOOD:
+        return None
+    spare = int(loss * totals.g)
+    parts = dealt.groupBy("part").agg(F.sum("g").alias("pg"), F.sum("j").alias("pj"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a part
+    parts = parts.select("part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("pg", "pj")])
+    inside = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    told = dealt.select("part", "place", "g", "j", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for c, n in (("g", "bg"), ("j", "bj"))])
+    told = stored(told.join(F.broadcast(parts), "part").select("place", "g", "j", (F.col("bg") + F.col("pg")).alias("bg"), (F.col("bj") + F.col("pj")).alias("bj")).where("g > 0"))
+    # The k-th good one from below goes with the (spare - k)-th from above.
+    first = totals.g - 1 - spare
+    low = told.where(F.col("bg") <= spare).select(F.explode(F.sequence(F.col("bg"), F.least(F.col("bg") + F.col("g") - 1, F.lit(spare)))).alias("k"), F.col("place").alias("low"), F.col("bj").alias("under"))
+    high = told.where(F.col("bg") + F.col("g") > first).select(F.explode(F.sequence(F.greatest(F.col("bg") - first, F.lit(0)), F.col("bg") + F.col("g") - 1 - first)).alias("k"), F.col("place").alias("high"), (F.lit(totals.j) - F.col("bj") - F.col("j")).alias("over"))
+    best = low.join(high, "k").agg(F.max(F.struct((F.col("under") + F.col("over")).alias("gone"), (-F.col("k")).alias("k"), "low", "high")).alias("b")).first().b
+    return -best.low, best.high
 
 
 def row_key(id_col: Column, text: Column) -> Column:
@@ -137,7 +160,7 @@ def judged(
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     out = out.join(stored(centres(out, least)), "group").withColumn("base_failed", failed)
     if labels is not None:
-        below, above = fitted(*labelled(out, labels, id_col), loss) or (below, above)
+        below, above = fitted_on(labelled(out, labels, id_col), loss) or (below, above)
     lower = F.when(F.col("own"), F.col("middle") - below * F.col("spread"))
     out = out.withColumn("lower", lower).withColumn("upper", F.col("middle") + above * F.col("spread"))
     inside = (F.col("lower").isNull() | (F.col("log_perplexity") >= F.col("lower"))) & (F.col("log_perplexity") <= F.col("upper"))
