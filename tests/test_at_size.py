@@ -86,3 +86,27 @@ def test_quality_bounds_are_fitted_on_all_labels(spark):
     out = spark.range(25_000).selectExpr("id as doc_id", "true as own", "false as base_failed", "rand(1) as log_perplexity", "0.5 as middle", "1.0 as spread", "cast(id as string) as key")
     labels = spark.range(25_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
     assert quality.labelled(out, labels, "doc_id").count() == 25_000
+
+
+def test_statistics_scan_their_spans_once(spark):
+    """Hits by value and by document were two scans of all texts."""
+    from veilspark.functions import catalogue
+    from veilspark.operators import report, spans
+
+    df = spark.createDataFrame([(1, "10.0.0.1 and 10.0.0.2 and 10.0.0.1"), (2, "10.0.0.2"), (3, None)], "doc_id long, text string")
+    done = report.statistics(spans.exploded(spans.detect(df, catalogue.rules("ipv4", "email"))))
+    assert "regexp_extract_all" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in done.select("rule", "n_hits", "n_distinct", "first_value", "n_documents").collect()] == [("ipv4", 4, 2, "10.0.0.1", 2)]
+
+
+def test_made_texts_are_dealt_over_all_cores(spark, tmp_path):
+    """All keys in one row group made one task of all texts, however many parts the file has."""
+    from veilspark.plans import planted
+
+    spark.range(4000).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        sizes = planted.planted(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 2000

@@ -20,11 +20,14 @@ def per_document(spans: DataFrame) -> DataFrame:
 
 
 def statistics(spans: DataFrame) -> DataFrame:
-    """(rule, n_hits, n_distinct, first_value, n_documents). Hits are summed by value and by document first, so that no rule's finds meet in one task."""
-    at = F.struct("doc_id", "start")
-    values = spans.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("f"))
+    """(rule, n_hits, n_distinct, first_value, n_documents). Hits are summed by value and by document first, so that no rule's finds meet in one task.
+
+    The hits of a value in a document are written as one row, so that the texts are scanned once for both sums.
+    """
+    held = written(spans.groupBy("rule", "value", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start")))
+    values = held.groupBy("rule", "value").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("f"))
     values = values.groupBy("rule").agg(F.sum("n").alias("n_hits"), F.count(F.lit(1)).alias("n_distinct"), F.min_by("value", "f").alias("first_value"))
-    documents = spans.select("rule", "doc_id").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("n_documents"))
+    documents = held.select("rule", "doc_id").distinct().groupBy("rule").agg(F.count(F.lit(1)).alias("n_documents"))
     return values.join(documents, "rule")
 
 

@@ -85,26 +85,29 @@ def _starts(found: Column, gaps: Column) -> Column:
     return F.when(F.size(found) > 0, folded(both, {"at": F.lit(0)}, step, "int", 64)).otherwise(F.array().cast("array<int>"))
 
 
-def _located(found: Column, starts: Column, rule: Rule, no: int) -> Column:
-    """The spans of one rule."""
-    return F.zip_with(found, starts, lambda v, a: F.struct(F.lit(rule.id).alias("rule"), v.alias("value"), a.alias("start"), (a + F.length(v)).alias("end"), F.lit(rule.priority).alias("priority"), F.lit(no).alias("no")))
-
-
 def detect(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", out: str = "spans") -> DataFrame:
     """df with all spans of the rules, rule by rule. Null texts have none.
 
     Each rule's matches, and for texts that have some the gaps between them, are columns of their own,
-    so that no expression runs again inside a lambda; the validators are SQL over the spans.
+    so that no expression runs again inside a lambda; the validators are SQL over the spans. Only the rules that
+    found something go on from there: most texts are short beside the list of rules, and hold finds of few.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = range(len(rules))
     held = df.withColumns({f"__{out}_v{i}": values(text, r) for i, r in enumerate(rules)})
     held = held.withColumns({f"__{out}_g{i}": F.when(F.size(f"__{out}_v{i}") > 0, F.split(text, r.pattern, -1)) for i, r in enumerate(rules)})
-    held = held.withColumns({f"__{out}_a{i}": _starts(F.col(f"__{out}_v{i}"), F.col(f"__{out}_g{i}")) for i in n})
-    held = held.withColumns({f"__{out}_s{i}": _located(F.col(f"__{out}_v{i}"), F.col(f"__{out}_a{i}"), r, i) for i, r in enumerate(rules)})
-    parts = [F.expr(f"filter(__{out}_s{i}, x -> {valid(r, 'x.value')})") if r.validator else F.col(f"__{out}_s{i}") for i, r in enumerate(rules)]
-    whole = F.concat(*parts) if parts else F.array().cast(f"array<{SPAN}>")
-    return held.withColumn(out, whole).drop(*[f"__{out}_{k}{i}" for i in n for k in "vgas"])
+    if not rules:
+        return held.withColumn(out, F.array().cast(f"array<{SPAN}>"))
+    each = [F.struct(F.lit(i).alias("no"), F.lit(r.id).alias("rule"), F.lit(r.priority).alias("priority"), F.col(f"__{out}_v{i}").alias("v"), F.col(f"__{out}_g{i}").alias("g")) for i, r in enumerate(rules)]
+
+    def located(x: Column) -> Column:
+        span = lambda v, a: F.struct(x["rule"].alias("rule"), v.alias("value"), a.alias("start"), (a + F.length(v)).alias("end"), x["priority"].alias("priority"), x["no"].alias("no"))
+        return F.struct(x["no"].alias("no"), F.zip_with(x["v"], _starts(x["v"], x["g"]), span).alias("s"))
+
+    held = held.withColumn(f"__{out}_s", F.transform(F.filter(F.array(*each), lambda x: F.size(x["v"]) > 0), located))
+    checks = " ".join(f"when {i} then filter(f.s, x -> {valid(r, 'x.value')})" for i, r in enumerate(rules) if r.validator)
+    whole = F.expr(f"flatten(transform(__{out}_s, f -> {f'case f.no {checks} else f.s end' if checks else 'f.s'}))")
+    return held.withColumn(out, whole).drop(f"__{out}_s", *[f"__{out}_{k}{i}" for i in n for k in "vg"])
 
 
 def ordered(spans: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.sources.shared import dealt
+
 from .registry import documents, sql, table
 
 SHAPES = (
@@ -30,7 +32,7 @@ SHAPES = (
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): one made text for each order; ids are below 0."""
     shapes = spark.createDataFrame(list(enumerate(SHAPES)), "n long, shape string")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey"))
     joined = orders.join(F.broadcast(shapes), F.col("o_orderkey") % len(SHAPES) == F.col("n"))
     return joined.select((-1 - F.col("o_orderkey")).alias("doc_id"), F.replace("shape", F.lit("{k}"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")).alias("text"))
 
