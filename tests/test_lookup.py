@@ -52,3 +52,14 @@ def test_numbered_batches(spark, tmp_path):
     windows.numbered_batches(stream, out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {r.value: r.number for r in spark.read.parquet(out).collect()}
     assert sorted(got) == ["a", "b", "c", "d"] and sorted(got.values()) == [1, 2, 3, 4]
+
+
+def test_few_literals_are_searched_where_they_stand(spark, monkeypatch):
+    """Texts were cut into all their runs of characters for a list of a few short words; both ways give the same hits."""
+    docs = spark.createDataFrame([(1, "the apache license, version 2"), (2, "cherry pie"), (3, None), (4, ""), (4, "a pie"), (4, "a pie")], "doc_id long, text string")
+    literals = spark.createDataFrame([(1, "apache license, version"), (2, "pie"), (2, "cherry"), (3, "e"), (4, "pie"), (5, ""), (6, None), (7, "herry p")], "item_id int, literal string")
+    few = lookup.literal_hits(docs, literals)
+    assert "regexp_extract_all" not in few._jdf.queryExecution().optimizedPlan().toString() and few.schema["item_id"].dataType.simpleString() == "int"
+    monkeypatch.setattr(lookup, "FEW", 0)
+    many = lookup.literal_hits(docs, literals)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(1, 1), (1, 3), (2, 2), (2, 3), (2, 4), (2, 7), (4, 2), (4, 3), (4, 4)]

@@ -12,7 +12,7 @@ from veilspark.sources.shared import written
 
 from .planted import TEXTS_CTE, texts
 from .redaction import RESOLVED, SEVEN, duck_redacted, duck_spans, redacted, resolved_documents
-from .registry import query, sql, table
+from .registry import documents, query, sql, table
 
 TWELVE = SEVEN + catalogue.rules("mac_address", "uuid", "date_iso", "time", "ssn")
 _BASE = f"with recursive {TEXTS_CTE}, {duck_spans(TWELVE)}, {RESOLVED}"
@@ -223,5 +223,5 @@ def literal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = items.select((-1 - F.col("item_id")).alias("item_id"), F.get(words, (F.col("item_id") % 3).cast("int")).alias("literal"))
     few = items.select((-1000000 - F.col("item_id")).alias("item_id"), F.array_join(F.slice(words, F.lit(2), (F.col("item_id") % 4).cast("int") + 2), " ").alias("literal"))
     literals = items.select("item_id", text.alias("literal")).unionByName(one).unionByName(few).where("length(literal) > 0")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
     return lookup.literal_hits(docs, literals)
