@@ -110,3 +110,15 @@ def test_made_texts_are_dealt_over_all_cores(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 2000
+
+
+def test_packets_stay_where_they_are_for_few_hosts(spark, monkeypatch):
+    """Every packet was shuffled with its lines to meet the names of its hosts."""
+    from veilspark.operators import payloads
+
+    rows = spark.range(60).selectExpr("id as packet_no", "6 as proto", "5 as src_port", "80 as dst_port", "concat('GET / HTTP/1.1\\r\\nHost: H', id % 7, '.example\\r\\nCookie: a\\r\\n\\r\\nHost: body') as payload")
+    few = payloads.redacted_headers(rows)
+    assert "LeftOuter" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(payloads, "FEW_HOSTS", 0)
+    many = payloads.redacted_headers(rows)
+    assert few.columns == many.columns and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))

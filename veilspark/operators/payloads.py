@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packets import domain_pseudonym
-from .report import ranked
+from .report import ranked, written
 from .spans import let
 
 # What a request or an answer begins with, headers whose value goes, headers that name a host, ports.
@@ -55,29 +55,30 @@ def _host(value: Column) -> Column:
 def _told(payload: Column, web: Column) -> Column:
     """The lines of a request with what each is: struct<line, name, kind, host>; null for other payloads.
 
-    The state of the fold: whether the first line has been read, and whether an empty line has ended the headers.
+    The lines between the first one and the first empty one are headers; the body is one piece, so that it is not read line by line.
     """
-    kind = "array<struct<line:string,name:string,kind:string,host:string>>"
 
-    def step(acc: Column, line: Column) -> Column:
+    def told(line: Column, i: Column) -> Column:
         name = F.substring_index(line, ":", 1)
-        key, value = F.lower(name), F.trim(F.substring(line, F.length(name) + 2, F.length(line)))
-        of = F.when(~line.contains(":"), F.lit(None)).when(key.isin(*SECRET_HEADERS), "secret").when(key.isin(*HOST_HEADERS), "host").when(key == FORWARDED, "forwarded")
-        of = F.when(acc["state"] == "header", of)
-        next_state = F.when(acc["state"] == "request", "header").when((acc["state"] == "header") & (line == ""), "body").otherwise(acc["state"])
-        told = F.struct(line.alias("line"), name.alias("name"), of.alias("kind"), F.when(of == "host", _host(value)).alias("host"))
-        return F.struct(next_state.alias("state"), F.concat(acc["out"], F.array(told)).alias("out"))
-
-    def folded(text: Column) -> Column:
-        # The headers are few lines; the body is one piece, so that it is not folded line by line.
-        head = F.substring_index(text, "\r\n\r\n", 1)
-        lines = F.aggregate(F.split(head, "\r\n", -1), F.struct(F.lit("request").alias("state"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-        body = F.substring(text, F.length(head) + 3, F.length(text))
+        return F.struct(line.alias("line"), name.alias("name"), F.when((i > 0) & line.contains(":"), F.lower(name)).alias("key"))
+
+    def kind(x: Column) -> Column:
+        of = F.when(x["key"].isin(*SECRET_HEADERS), "secret").when(x["key"].isin(*HOST_HEADERS), "host").when(x["key"] == FORWARDED, "forwarded")
+        host = F.when(x["key"].isin(*HOST_HEADERS), _host(F.trim(F.substring(x["line"], F.length(x["name"]) + 2, F.length(x["line"])))))
+        return F.struct(x["line"].alias("line"), x["name"].alias("name"), of.alias("kind"), host.alias("host"))
+
+    def parts(z: Column) -> Column:
+        lines = F.transform(F.transform(F.split(z["head"], "\r\n", -1), told), kind)
+        body = F.substring(z["text"], F.length(z["head"]) + 3, F.length(z["text"]))
         whole = F.struct(body.alias("line"), F.lit("").alias("name"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("host"))
-        return F.when(F.length(head) < F.length(text), F.concat(lines, F.array(whole))).otherwise(lines)
+        return F.when(F.length(z["head"]) < F.length(z["text"]), F.concat(lines, F.array(whole))).otherwise(lines)
 
     starts = F.rlike(payload, F.lit("^(?:" + "|".join(STARTS) + ")"))
-    return F.when(web & starts, let(payload, folded))
+    return F.when(web & starts, let(F.struct(payload.alias("text"), F.substring_index(payload, "\r\n\r\n", 1).alias("head")), parts))
+
+
+#: Hosts whose names go to the packets as one map; more come back to their packets by shuffle.
+FEW_HOSTS = 500
 
 
 def redacted_headers(packets: DataFrame, payload: str = "payload") -> DataFrame:
@@ -85,21 +86,25 @@ def redacted_headers(packets: DataFrame, payload: str = "payload") -> DataFrame:
     covered, and n_headers, how many lines changed.
 
     Only requests and answers over TCP with a web port on either side are read; their bodies stay. A host has one name in all packets,
-    by the order of its first appearance (packet, line), in any case. The names leave the lines as rows and come back as a map, so no packet is
-    read twice for a host. Null payloads stay null.
+    by the order of its first appearance (packet, line), in any case. The names are counted: few go to all packets as one map; many
+    leave the lines as rows and come back as a map for each packet, so no packet is read twice for a host. Null payloads stay null.
     """
     web = F.coalesce((F.col("proto") == 6) & (F.col("src_port").isin(*WEB_PORTS) | F.col("dst_port").isin(*WEB_PORTS)), F.lit(False))
     told = packets.withColumn("__lines", _told(F.col(payload), web))
     named = told.select("packet_no", F.posexplode(F.transform("__lines", lambda x: x["host"])).alias("line_no", "host")).where("host <> ''")
     first = named.groupBy("host").agg(F.min(F.struct("packet_no", "line_no")).alias("f")).select("host", "f.*", F.lit(0).alias("all"))
-    names = ranked(first, "all", ["packet_no", "line_no", "host"]).select("host", domain_pseudonym(F.col("number"), F.col("host")).alias("new"))
+    names = written(ranked(first, "all", ["packet_no", "line_no", "host"]).select("host", domain_pseudonym(F.col("number"), F.col("host")).alias("new")))
+    few = names.count() <= FEW_HOSTS
     mine = named.select("packet_no", "host").distinct().join(names, "host").groupBy(F.col("packet_no").alias("__of")).agg(F.map_from_entries(F.collect_list(F.struct("host", "new"))).alias("__names"))
 
     def line(x: Column) -> Column:
         new = F.when(x["kind"] == "secret", GONE).when(x["kind"] == "forwarded", SOME_ADDRESS).when(x["kind"] == "host", F.coalesce(F.col("__names")[x["host"]], x["host"]))
         return F.when(x["kind"].isNull(), x["line"]).otherwise(F.concat(x["name"], F.lit(": "), new))
 
-    done = told.join(mine, F.col("packet_no") == F.col("__of"), "left")
+    if few:
+        done = told.crossJoin(F.broadcast(names.agg(F.map_from_entries(F.collect_list(F.struct("host", "new"))).alias("__names")))).withColumn("__of", F.lit(None))
+    else:
+        done = told.join(mine, F.col("packet_no") == F.col("__of"), "left")
     text = F.when(F.col("__lines").isNull(), F.col(payload)).otherwise(F.array_join(F.transform("__lines", line), "\r\n"))
     changed = F.coalesce(F.size(F.filter("__lines", lambda x: x["kind"].isNotNull())), F.lit(0))
     return done.withColumn(payload, text).withColumn("n_headers", F.when(changed > 0, changed).otherwise(0).cast("long")).drop("__lines", "__names", "__of")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators import networks, packets, payloads
+from veilspark.sources.shared import dealt
 
 from .registry import query, table
 
@@ -128,7 +129,7 @@ _NAMED = "(select 'anon' || lpad(cast(n as varchar), greatest(5, length(cast(n a
   from q left join a x on x.host = 'part' || s || '.example.com' left join a y on y.host = 'part' || k || '.example.com'""")
 def web_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cookies, credentials, forwarded addresses and hosts of requests to web ports (FLT-19)."""
-    return payloads.redacted_headers(table(spark, sf_dir, "lineitem").selectExpr(*_select_list())).select("packet_no", "payload", "n_headers")
+    return payloads.redacted_headers(dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).selectExpr(*_select_list())).select("packet_no", "payload", "n_headers")
 
 
 def _select_list() -> list[str]:
