@@ -122,3 +122,13 @@ def test_packets_stay_where_they_are_for_few_hosts(spark, monkeypatch):
     monkeypatch.setattr(payloads, "FEW_HOSTS", 0)
     many = payloads.redacted_headers(rows)
     assert few.columns == many.columns and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_equal_texts_are_parsed_once():
+    import pandas as pd
+
+    from veilspark.functions import syntax
+
+    seen = []
+    out = syntax._each(pd.Series(["a", None, "b", "a", ""]), lambda t: seen.append(t) or (t == "a", None if t == "a" else 3))
+    assert sorted(seen) == ["", "a", "b"] and list(out["valid"]) == [True, False, False, True, False] and list(out["line"].fillna(0)) == [0, 3, 3, 0, 3]

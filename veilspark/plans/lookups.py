@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import catalogue, syntax
 from veilspark.functions.validators import E164, country_code_length, phone_no_plus
 from veilspark.operators import records, replace, spans
+from veilspark.sources.shared import dealt
 
 from .planted import TEXTS_CTE, texts
 from .redaction import RESOLVED, SEVEN, duck_spans, resolved_documents
@@ -134,7 +135,7 @@ def merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def syntax_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOML, XML and YAML, with the line of the first error (CLS-03, CLS-05)."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(
+    rows = dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(
         k.alias("id"),
         F.concat(F.lit("a = 1\n"), F.when(k % 3 == 0, "b = = 2\n").otherwise("b = 2\n")).alias("t"),
         F.concat(F.lit("<a>\n"), F.when(k % 4 == 0, "<b></c>").otherwise("<b/>"), F.lit("</a>")).alias("x"),
