@@ -132,3 +132,16 @@ def test_equal_texts_are_parsed_once():
     seen = []
     out = syntax._each(pd.Series(["a", None, "b", "a", ""]), lambda t: seen.append(t) or (t == "a", None if t == "a" else 3))
     assert sorted(seen) == ["", "a", "b"] and list(out["valid"]) == [True, False, False, True, False] and list(out["line"].fillna(0)) == [0, 3, 3, 0, 3]
+
+
+def test_frames_stay_where_they_are_for_a_small_dictionary(spark, monkeypatch):
+    """All sides of all frames were shuffled, and the frames themselves, whatever the dictionary's size."""
+    from veilspark.operators import sides
+    from veilspark.plans import frames
+
+    rows = frames.frame_table(spark, "/root/testdata/sf0.001").limit(700)
+    few = sides.anonymised(rows)
+    assert "Aggregate" not in few.drop("payload")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(sides, "BROADCAST_BOUND", 0)
+    many = sides.anonymised(rows)
+    assert set(few.columns) == set(many.columns) and sorted(map(str, few.select(many.columns).collect())) == sorted(map(str, many.collect()))

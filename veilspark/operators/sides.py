@@ -49,11 +49,14 @@ def counters(frames: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in sums])))
 
 
+def _kind(side: str) -> Column:
+    return F.lit("mac") if side in MAC_SIDES else F.when(F.col(side).contains(":"), "ipv6").otherwise("ipv4")
+
+
 def _sides(frames: DataFrame, *keep: str) -> DataFrame:
     """(keep.., side, rank, kind, value): a row for each address of each frame."""
     def of(side: str, rank: int) -> Column:
-        kind = F.lit("mac") if side in MAC_SIDES else F.when(F.col(side).contains(":"), "ipv6").otherwise("ipv4")
-        return F.struct(F.lit(side).alias("side"), F.lit(rank).alias("rank"), kind.alias("kind"), F.lower(side).alias("value"))
+        return F.struct(F.lit(side).alias("side"), F.lit(rank).alias("rank"), _kind(side).alias("kind"), F.lower(side).alias("value"))
 
     each = [of(s, i) for sides in (MAC_SIDES, IP_SIDES) for i, s in enumerate(sides)]
     return frames.select(*keep, F.explode(F.array(*each)).alias("x")).select(*keep, "x.*").where("value IS NOT NULL")
@@ -67,14 +70,36 @@ def dictionary(frames: DataFrame) -> DataFrame:
     return numbered.withColumn("replacement", new)
 
 
+#: Addresses of a dictionary that is broadcast to the frames; a larger one is met by shuffle.
+BROADCAST_BOUND = 200_000
+
+
+def _met(frames: DataFrame, known: DataFrame) -> DataFrame:
+    """anonymised() by a dictionary that every task holds: each side looks its address up, and no frame moves."""
+    changed: dict[str, Column] = {k: F.lit(0) for k in ("mac", "ipv4", "ipv6")}
+    out, sides = frames, (*MAC_SIDES, *IP_SIDES)
+    for i, s in enumerate(sides):
+        out = out.withColumns({f"__k{i}": _kind(s), f"__v{i}": F.lower(s)})
+        mine = known.select(F.col("kind").alias(f"__kind{i}"), F.col("value").alias(f"__value{i}"), F.col("replacement").alias(f"__new{i}"))
+        out = out.join(F.broadcast(mine), (F.col(f"__k{i}") == F.col(f"__kind{i}")) & (F.col(f"__v{i}") == F.col(f"__value{i}")), "left")
+        for k in changed:
+            changed[k] = changed[k] + F.when((F.col(f"__k{i}") == k) & (F.col(f"__v{i}") != F.col(f"__new{i}")), 1).otherwise(0)
+    out = out.withColumns({n: changed[k].cast("long") for k, n in (("mac", "n_macs"), ("ipv4", "n_ipv4"), ("ipv6", "n_ipv6"))} | {s: F.col(f"__new{i}") for i, s in enumerate(sides)})
+    out = out.withColumn("changed", F.col("n_macs") + F.col("n_ipv4") + F.col("n_ipv6") > 0)
+    return out.drop(*[f"__{c}{i}" for i in range(len(sides)) for c in ("k", "v", "kind", "value", "new")])
+
+
 def anonymised(frames: DataFrame) -> DataFrame:
     """frames with every address from the one dictionary, and n_macs, n_ipv4, n_ipv6 (addresses that changed) and changed.
 
-    The sides leave the frames as rows, meet the dictionary once, and come back as a map.
+    The dictionary is counted: a small one goes to the frames. For a large one the sides leave the frames as rows,
+    meet the dictionary once, and come back as a map.
     """
+    known = written(dictionary(frames).drop("number"))
+    if known.count() <= BROADCAST_BOUND:
+        return _met(frames, known)
     held = written(frames.withColumn("__rid", F.monotonically_increasing_id()))
-    known = written(dictionary(held))
-    met = _sides(held, "__rid").join(known.drop("number"), ["kind", "value"])
+    met = _sides(held, "__rid").join(known, ["kind", "value"])
 
     def changed(kind: str) -> Column:
         return F.count_if((F.col("kind") == kind) & (F.col("value") != F.col("replacement")))
