@@ -145,3 +145,13 @@ def test_frames_stay_where_they_are_for_a_small_dictionary(spark, monkeypatch):
     monkeypatch.setattr(sides, "BROADCAST_BOUND", 0)
     many = sides.anonymised(rows)
     assert set(few.columns) == set(many.columns) and sorted(map(str, few.select(many.columns).collect())) == sorted(map(str, many.collect()))
+
+
+def test_mails_are_dealt_over_all_cores(spark, tmp_path):
+    spark.range(4000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        sizes = tables.mails(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 2000

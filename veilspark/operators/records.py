@@ -39,28 +39,31 @@ def hops(mails: DataFrame) -> DataFrame:
     v = F.col("value")
     for _ in range(3):  # a comment within a comment becomes a part of it
         v = F.regexp_replace(v, r"\(([^()]*)\(([^()]*)\)", "($1 $2 ")
-
-    def part(text: Column, pattern: str, group: int = 1) -> Column:
-        found = F.regexp_extract(text, pattern, group)
-        return F.when(found != "", found)
-
-    comments = F.array_join(F.regexp_extract_all(v, F.lit(r"\([^()]*\)"), F.lit(0)), " ")
-    clauses = F.concat(F.lit(" "), F.substring_index(F.regexp_replace(v, r"\([^()]*\)", " "), ";", 1), F.lit(" "))
-    zone = part(v, _DATE, 2)
-    sign = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1)
-    offset = sign * (F.substring(zone, 2, 2).cast("int") * 3600 + F.substring(zone, 4, 2).cast("int") * 60)
-    at = F.timestamp_seconds(F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(part(v, _DATE), " +", " "), F.lit("d MMM yyyy HH:mm:ss"))) - offset)
-    rows = headers(mails).where(F.lower("name") == "received").select(
+    lines = headers(mails).where(F.lower("name") == "received").select("mail_id", "header_no", v.alias("v"))
+    plain = F.regexp_replace("v", r"\([^()]*\)", " ")
+    lines = lines.select("mail_id", "header_no", F.regexp_extract_all("v", F.lit(r"\([^()]*\)"), F.lit(0)).alias("c"), plain.alias("p"), F.regexp_extract("v", _DATE, 0).alias("d"))
+    # Each text is a column before it is read, so that no expression is written out for every use.
+    lines = lines.select("mail_id", "header_no", F.array_join("c", " ").alias("c"), F.concat(F.lit(" "), F.substring_index("p", ";", 1), F.lit(" ")).alias("p"), "d")
+
+    def part(text: str, pattern: str, group: int = 1) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+    zone = F.nullif(F.substring("d", -5, 5), F.lit(""))
+    sign = F.when(F.substring("zone", 1, 1) == "-", -1).otherwise(1)
+    offset = sign * (F.substring("zone", 2, 2).cast("int") * 3600 + F.substring("zone", 4, 2).cast("int") * 60)
+    day = F.nullif(F.regexp_replace(F.regexp_extract("d", _DATE, 1), " +", " "), F.lit(""))
+    at = F.timestamp_seconds(F.unix_timestamp(F.try_to_timestamp("day", F.lit("d MMM yyyy HH:mm:ss"))) - offset)
+    rows = lines.withColumns({"zone": zone, "day": day, "software": _software(F.col("c"))}).select(
         "mail_id",
         "header_no",
-        F.coalesce(part(clauses, r"(?i) from +(\S+)"), F.lit("unknown")).alias("from_host"),
-        F.coalesce(part(clauses, r"(?i) by +(\S+)"), F.lit("unknown")).alias("by_host"),
+        F.coalesce(part("p", r"(?i) from +(\S+)"), F.lit("unknown")).alias("from_host"),
+        F.coalesce(part("p", r"(?i) by +(\S+)"), F.lit("unknown")).alias("by_host"),
         at.alias("at"),
-        zone.alias("zone"),
-        part(comments, r"\b((?:TLS|SSL)v?[0-9](?:[.][0-9])?)\b").alias("tls"),
-        F.upper(part(clauses, r"(?i) with +([A-Za-z][A-Za-z0-9-]*)")).alias("protocol"),
-        _software(comments).alias("software"),
-        part(comments, r"\[(?:IPv6:)?([0-9A-Fa-f.:]+)\]").alias("ip"),
+        "zone",
+        part("c", r"\b((?:TLS|SSL)v?[0-9](?:[.][0-9])?)\b").alias("tls"),
+        F.upper(part("p", r"(?i) with +([A-Za-z][A-Za-z0-9-]*)")).alias("protocol"),
+        "software",
+        part("c", r"\[(?:IPv6:)?([0-9A-Fa-f.:]+)\]").alias("ip"),
     )
     order = W.partitionBy("mail_id").orderBy(F.col("header_no").desc())
     rows = rows.withColumn("hop_no", F.row_number().over(order)).withColumn("before", F.lag("at").over(order))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspark.operators import context, packets, records
+from veilspark.sources.shared import dealt
 from veilspark.streaming import windows
 
 from .registry import query, table
@@ -174,7 +175,7 @@ MAILS = (
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr(*[m.replace("\n", "\\n").replace("\t", "\\t") for m in MAILS])
+    return dealt(table(spark, sf_dir, "customer").select("c_custkey")).selectExpr(*[m.replace("\n", "\\n").replace("\t", "\\t") for m in MAILS])
 
 
 _HOPS = """hops as (
