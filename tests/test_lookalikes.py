@@ -57,3 +57,8 @@ def test_what_is_kept(spark):
     for make in (la.person, la.city, la.company):
         names = n.select(make(F.col("id")).alias("x"))
         assert names.distinct().count() == 59_999 and names.where("x rlike '^[A-Z][a-z]+'").count() == 59_999
+
+
+def test_a_walk_has_as_many_steps_as_before():
+    """A walk that had ended went on to its last step, one test of a flag for each; now one for a part of the walk."""
+    assert la.WALK == 400 and la.WALK % la.WALK_PARTS == 0 and la.WALK_PARTS + la.WALK // la.WALK_PARTS < 100

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .spans import let
 
 ROUNDS = 8
-#: Steps of a walk; each keeps a card number with probability 0.9 and a hexadecimal one more often still.
-WALK = 400
+#: Steps of a walk, in so many parts; each keeps a card number with probability 0.9 and a hexadecimal one more often still.
+WALK, WALK_PARTS = 400, 20
 DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX_SMALL, HEX_CAPITAL = "0123456789abcdef", "0123456789ABCDEF"
 
@@ -35,7 +35,8 @@ def _moved(half: Column, amounts: Column, alphabets: tuple[str, ...]) -> Column:
     """Each character moved on within the first of the alphabets that has it."""
 
     def one(c: Column, i: Column) -> Column:
-        by = F.conv(F.substring(amounts, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+        high, low = (F.instr(F.lit("0123456789abcdef"), F.substring(amounts, 2 * i + k, F.lit(1))) - 1 for k in (1, 2))
+        by = high * 16 + low
         out = F.when(F.lit(False), c)
         for letters in alphabets:
             at = F.instr(F.lit(letters), c)
@@ -68,8 +69,11 @@ def walked(value: Column, step: Callable[[Column], Column], holds: Callable[[Col
     def go(acc: Column, _: Column) -> Column:
         return F.when(acc["done"], acc).otherwise(let(step(acc["v"]), lambda v: F.struct(v.alias("v"), holds(v).alias("done"))))
 
-    # A walk ends early as a rule; aggregate() goes on to the end, but only tests a flag there.
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(value.alias("v"), F.lit(False).alias("done")), go)
+    def part(acc: Column, _: Column) -> Column:
+        return F.when(acc["done"], acc).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(WALK // WALK_PARTS)), acc, go))
+
+    # A walk ends early as a rule; aggregate() goes on to the end, but only tests a flag there, and one for a whole part of the walk.
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK_PARTS)), F.struct(value.alias("v"), F.lit(False).alias("done")), part)
     return let(end, lambda x: F.when(x["done"] | x["v"].isNull(), x["v"]).otherwise(F.raise_error(F.lit("no look-alike found on the walk"))))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.operators import lookalikes, report
+from veilspark.sources.shared import dealt
 
 from .registry import query, table
 
@@ -56,9 +57,9 @@ _MOD97 = "cast(substr(v, 5) || '1314' || substr(v, 3, 2) as hugeint) % 97 = 1 an
   select kind, count(distinct v) as n_values, count(distinct v) as n_new, count(*) as n_same_layout, count(*) filter (kind = 'credit_card' and list_sum(case when kind = 'credit_card' then {_DIGITS_BACK} end) % 10 = 0) as n_luhn, count(*) filter (case when kind = 'iban' then {_MOD97} end) as n_iban from v group by kind""")
 def distinct_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values have distinct look-alikes; cards pass Luhn's test, and account numbers have right check digits, as often as the originals do (R-06, R-12)."""
-    rows = None
+    rows, keys = None, dealt(table(spark, sf_dir, "orders").select("o_orderkey"))
     for kind, value in VALUES.items():
-        some = table(spark, sf_dir, "orders").selectExpr(f"'{kind}' as kind", f"{value} as v")
+        some = keys.selectExpr(f"'{kind}' as kind", f"{value} as v")
         rows = some if rows is None else rows.unionByName(some)
     done = report.written(rows.select("kind", "v", lookalikes.look_alike(F.col("kind"), F.col("v")).alias("new")))
 
