@@ -155,3 +155,13 @@ def test_mails_are_dealt_over_all_cores(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 2000
+
+
+def test_a_tagger_gets_few_characters_at_a_time(spark):
+    """Ten thousand texts came at once, and their tokens were held as Python objects."""
+    from veilspark.operators import entities
+
+    df = spark.range(300).selectExpr("id as doc_id", "case when id % 50 = 7 then null when id = 11 then repeat('y', 900000) else repeat('x', 5000) end as text").coalesce(1)
+    got = entities.tagged(df, lambda texts: [[("B-PER", str(int(texts.str.len().sum())), 1.0, 0, len(t))] for t in texts]).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300)) and all(r.end == (0 if r.doc_id % 50 == 7 else 900000 if r.doc_id == 11 else 5000) for r in got)
+    assert max(int(r.word) for r in got) <= 2 * entities.BATCH_CHARS + 900_000 and sum(int(r.word) > entities.BATCH_CHARS + 5000 for r in got) < 110

@@ -30,6 +30,8 @@ def rule_of(group: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in GROUP_RULE.items() for x in kv]), F.upper(group))
 
 
+#: Characters of texts that a tagger gets at a time, beside what is over of the last text.
+BATCH_CHARS = 500_000
 TOKEN = "token_no int, label string, word string, score double, start int, end int"
 
 
@@ -37,15 +39,18 @@ def tagged(df: DataFrame, tagger: Callable[[pd.Series], list[list[tuple]]], id_c
     """(id, token_no, label, word, score, start, end) from a user's tagger.
 
     It gets a batch of texts and returns for each its tokens (label, word, score, start, end), as a model that is
-    loaded once a worker does. Batches are Arrow's, so spark.sql.execution.arrow.maxRecordsPerBatch bounds them.
+    loaded once a worker does. Batches are Arrow's, cut to BATCH_CHARS characters or one longer text, so that few tokens are held as Python objects.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [id_col, "token_no", "label", "word", "score", "start", "end"]
-        for b in batches:
-            rows = [(i, k, *token) for i, tokens in zip(b.iloc[:, 0], tagger(b.iloc[:, 1])) for k, token in enumerate(tokens)]
-            yield pd.DataFrame(rows, columns=names)
+        for whole in batches:
+            part = (whole.iloc[:, 1].str.len().cumsum() - 1).clip(lower=0) // BATCH_CHARS
+            for _, b in whole.groupby(part, sort=False):
+                b = b.reset_index(drop=True)
+                rows = [(i, k, *token) for i, tokens in zip(b.iloc[:, 0], tagger(b.iloc[:, 1])) for k, token in enumerate(tokens)]
+                yield pd.DataFrame(rows, columns=names)
 
     return df.select(id_col, F.coalesce(F.col(text_col), F.lit(""))).mapInPandas(run, f"`{id_col}` {kind}, {TOKEN}")
 
