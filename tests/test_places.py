@@ -42,3 +42,14 @@ def test_places_against_plain_python(spark):
     assert got[1, 7] == (30, 32, "place") and got[1, 8] == (31, 33, "place") and got[1, 9] == none
     assert all(got[k] == none for k in [(1, 10), (1, 11), (2, 0), (3, 0), (4, 0), (9, 0)]) and got[4, 2] == (9, 12, "place")
     assert got[5, 0] == (0, 12, "ends") and got[5, 1] == (8, 12, "place") and got[5, 2] == (17, 25, "place") and got[5, 3] == (0, 12, "ends")
+
+
+def test_entities_are_made_once_and_searched_forward(spark):
+    docs = spark.createDataFrame([(1, "ab " * 20_000)], "doc_id long, text string")
+    asked = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("entity_no"), F.lit("AB").alias("word"))
+    tagged = asked.unionByName(spark.createDataFrame([(None, 0, "ab"), (None, 1, "ab")], "doc_id long, entity_no int, word string")).mapInPandas(lambda parts: parts, "doc_id long, entity_no int, word string")
+    done = places.placed(tagged, docs)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    got = {(r.doc_id, r.entity_no): (r.start, r.end, r.how) for r in done.collect()}
+    assert len(got) == 20_002 and all(got[1, k] == (3 * k, 3 * k + 2, "place") for k in range(20_000))
+    assert got[None, 0] == got[None, 1] == (None, None, None)

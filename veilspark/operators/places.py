@@ -1,13 +1,15 @@
 """Chunks of texts for a model, and the places of entities that come back without offsets.
 
-Both are expressions over one text; nothing but the entities is shuffled, and each text meets its entities once.
+Chunks are expressions over one text. Entities are brought together by document; each text meets its own once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .spans import BLOCK_BITS, folded, let, rows_of
 
@@ -61,15 +63,31 @@ def lowered(text: Column) -> Column:
     return F.when(F.length(low) == F.length(text), low).otherwise(ascii_only)
 
 
-def _places(text: Column, word: Column, n: Column) -> Column:
-    """The first n places of a word, which may overlap; 0-based."""
+def spots(text: str, words: list[str | None]) -> list[tuple[int | None, int | None, str | None]]:
+    """(start, end, how) of each word, in order, as placed() says. A search for a word goes on where its last one ended, and not again when there is no place left."""
+    out, after, ends = [], {}, {}
+    for w in words:
+        at = text.find(w, after.get(w, 0)) if w and after.get(w, 0) >= 0 else -1
+        if w:
+            after[w] = at + 1 if at >= 0 else -1
+        if at >= 0:
+            out.append((at, at + len(w), "place"))
+            continue
+        if w and " " in w and w not in ends:
+            first, last = w[: w.index(" ")], w[w.rindex(" ") + 1 :]
+            begin = text.find(first)
+            end = text.find(last, begin + len(first)) if begin >= 0 else -1
+            ends[w] = (begin, end + len(last), "ends") if end >= 0 else None
+        out.append(ends.get(w) or (None, None, None))
+    return out
+
+
+SPOT = "struct<start:int,end:int,how:string>"
 
-    def step(acc: Column, _: Column) -> Column:
-        found = F.call_function("locate", word, text, acc["at"] + 1)
-        more = (acc["at"] >= 0) & (found > 0)
-        return F.struct(F.when(more, found).otherwise(-1).alias("at"), F.when(more, F.concat(acc["out"], F.array(found - 1))).otherwise(acc["out"]).alias("out"))
 
-    return folded(F.sequence(F.lit(1), n), {"at": F.lit(0)}, step, "int")
+def _spots(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, words in parts:
+        yield pd.Series([None if t is None else spots(t, list(w)) for t, w in zip(texts, words)], dtype=object)
 
 
 def placed(entities: DataFrame, docs: DataFrame) -> DataFrame:
@@ -79,26 +97,11 @@ def placed(entities: DataFrame, docs: DataFrame) -> DataFrame:
     words takes what reaches from the first place of its first word to the next place of its last word; else it has no place. Null words and
     entities of texts that are not there or null have none. Entities of one document are numbered; ids of documents are unique.
     """
-    low = lowered(F.col("word"))
-    asked = entities.withColumn("__w", low).withColumn("__k", F.row_number().over(W.partitionBy("doc_id", "__w").orderBy("entity_no")))
-    wanted = asked.where("length(__w) > 0").groupBy("doc_id", "__w").agg(F.max("__k").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("__w").alias("w"), "n")).alias("words"))
-
-    def of_word(text: Column):
-        def found(x: Column) -> Column:
-            first, last = F.substring_index(x["w"], " ", 1), F.substring_index(x["w"], " ", -1)
-            begin = F.call_function("locate", first, text)
-            end = F.when(begin > 0, F.call_function("locate", last, text, begin + F.length(first))).otherwise(0)
-            ends = F.when(x["w"].contains(" ") & (end > 0), F.struct((begin - 1).alias("start"), (end - 1 + F.length(last)).alias("end")))
-            return F.struct(x["w"].alias("w"), _places(text, x["w"], x["n"]).alias("places"), ends.alias("ends"))
-
-        return found
-
-    told = docs.select("doc_id", "text").join(wanted, "doc_id")
-    told = told.select("doc_id", let(lowered(F.col("text")), lambda t: F.transform("words", of_word(t))).alias("found"))
-    rows = rows_of(told, "found", ["doc_id"], "at").select(F.col("doc_id").alias("__d"), F.col("s.w").alias("__of"), "s.places", "s.ends")
-    met = asked.join(rows, (F.col("doc_id") == F.col("__d")) & (F.col("__w") == F.col("__of")), "left")
-    at = F.get("places", F.col("__k") - 1)
-    start = F.coalesce(at, F.col("ends.start"))
-    end = F.when(at.isNotNull(), at + F.length("word")).otherwise(F.col("ends.end"))
-    how = F.when(at.isNotNull(), "place").when(F.col("ends").isNotNull(), "ends")
-    return met.select(*entities.columns, start.alias("start"), end.alias("end"), how.alias("how"))
+    # Entities without a document are dealt by their number: they are no one's group.
+    key = F.when(F.col("doc_id").isNull(), F.col("entity_no")).alias("__null")
+    own = entities.groupBy("doc_id", key).agg(F.array_sort(F.collect_list(F.struct(F.col("entity_no").alias("__no"), F.struct(*entities.columns).alias("e")))).alias("__own"))
+    placing = F.pandas_udf(_spots, f"array<{SPOT}>")
+    told = own.join(docs.select(F.col("doc_id").alias("__d"), lowered(F.col("text")).alias("__t")), F.col("doc_id") == F.col("__d"), "left")
+    found = told.select("__own", placing("__t", F.transform("__own", lambda x: lowered(x["e"]["word"]))).alias("__at"))
+    rows = rows_of(found, F.arrays_zip("__own", F.coalesce("__at", F.transform("__own", lambda x: F.lit(None).cast(SPOT))).alias("__at")))
+    return rows.select(*[F.col("s.__own.e")[c].alias(c) for c in entities.columns], "s.__at.start", "s.__at.end", "s.__at.how")
