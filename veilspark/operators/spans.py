@@ -25,10 +25,9 @@ def sql_string(text: str) -> str:
 
 
 def gated(text: Column, rule: Rule) -> Column:
-    """Whether the text holds one of the rule's literals at all (a cheap test before the expression)."""
-    if not rule.gate:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [text.contains(g) for g in rule.gate])
+    """Whether the text holds one of the rule's literals, and its shape, at all (cheap tests before the expression)."""
+    held = reduce(lambda a, b: a | b, [text.contains(g) for g in rule.gate]) if rule.gate else F.lit(True)
+    return held & text.rlike(rule.shape) if rule.shape else held
 
 
 def values(text: Column, rule: Rule) -> Column:
@@ -82,7 +81,8 @@ def _starts(found: Column, gaps: Column) -> Column:
         return F.struct((acc["at"] + x["gap"] + x["long"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out"))
 
     both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(F.length(v).alias("long"), F.length(g).alias("gap")))
-    return F.when(F.size(found) > 0, folded(both, {"at": F.lit(0)}, step, "int", 64)).otherwise(F.array().cast("array<int>"))
+    one = F.array(F.length(F.get(gaps, F.lit(0))))
+    return F.when(F.size(found) == 1, one).when(F.size(found) > 0, folded(both, {"at": F.lit(0)}, step, "int", 64)).otherwise(F.array().cast("array<int>"))
 
 
 def detect(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", out: str = "spans") -> DataFrame:
