@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalogue
-from veilspark.operators import replace, spans
+from veilspark.operators import replace, spans, sql_functions
 from veilspark.plans import planted
 
 RULES = catalogue.rules("email", "ipv4", "hostname", "generic_secret")
@@ -55,3 +55,9 @@ def test_shapes_are_in_each_find_and_not_in_prose(spark):
         assert got.other == 0 and got.n >= 2 * len(FINDS[r.id]), r.id
     prose = spark.createDataFrame([("On page 12. See e.g. fig. 3.1, 1.5.2 and room 212. Nothing else.",)], "text string")
     assert prose.select(*[spans.gated(F.col("text"), r).alias(r.id) for r in SHAPED]).first() == (False, False, False, False)
+
+
+def test_shapes_stand_before_the_expressions_in_sql():
+    assert all(f"rlike(t, {spans.sql_string(r.shape)})" in sql_functions.located("t", r, 0) for r in SHAPED)
+    text = sql_functions.found("t", "rules", {"few": SHAPED})
+    assert all(spans.sql_string(r.shape) in text for r in SHAPED)

@@ -65,7 +65,8 @@ def located(text: str, rule: Rule, no: int) -> str:
     if rule.validator:
         spans = f"filter({spans}, y_ -> {valid(rule, 'y_.value')})"
     gate = " or ".join(f"contains({text}, {sql_string(g)})" for g in rule.gate)
-    return f"case when {gate} then {spans} else {EMPTY} end" if gate else spans
+    tests = [f"({gate})"] * bool(gate) + [f"rlike({text}, {sql_string(rule.shape)})"] * bool(rule.shape)
+    return f"case when {' and '.join(tests)} then {spans} else {EMPTY} end" if tests else spans
 
 
 def resolved(spans: str) -> str:
@@ -87,7 +88,7 @@ def found(text: str, chosen: str, sets: dict[str, Sequence[Rule]]) -> str:
     rules: dict[Rule, list[str]] = {}
     for name, some in sets.items():
         for r in some:
-            rules.setdefault(Rule(r.id, r.category, r.priority, r.pattern, r.gate, r.validator), []).append(name)
+            rules.setdefault(Rule(r.id, r.category, r.priority, r.pattern, r.gate, r.validator, shape=r.shape), []).append(name)
     order = {r.id: i for i, r in enumerate(catalogue.RULES)}
     listed = sorted(rules, key=lambda r: order.get(r.id, len(order)))
     parts = [f"case when {chosen} in ({', '.join(map(sql_string, rules[r]))}) then {located(text, r, no)} else {EMPTY} end" for no, r in enumerate(listed)]
