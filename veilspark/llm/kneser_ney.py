@@ -96,19 +96,22 @@ def _discounted(level: DataFrame) -> DataFrame:
         usual = k - (k + 1) * F.try_divide(y * F.col(f"n{k + 1}"), F.col(f"n{k}"))
         return F.when((usual > 0) & (usual <= k), usual).otherwise(k * 0.5)
 
-    rates = level.groupBy("lang").agg(*of.values()).select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)])
+    rates = stored(level.groupBy("lang").agg(*of.values()).select("lang", *[discount(k).alias(f"d{k}") for k in (1, 2, 3)]))
     return level.join(rates, "lang").select("lang", "code", "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
 
 
 def estimate(counts: DataFrame) -> DataFrame:
-    """(lang, kind, size, code, value): kind 0, log probabilities of n-grams; kind 1, log weights of contexts for what is below."""
+    """(lang, kind, size, code, value): kind 0, log probabilities of n-grams; kind 1, log weights of contexts for what is below.
+
+    Each order's counts, discounts and contexts are written: a plan that held the chain of all orders below it several times costs the driver memory.
+    """
     levels = {ORDER: stored(counts)}
     for size in range(ORDER - 1, 0, -1):
-        levels[size] = levels[size + 1].groupBy("lang", F.col("code").bitwiseAND(mask(size)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        levels[size] = stored(levels[size + 1].groupBy("lang", F.col("code").bitwiseAND(mask(size)).alias("code")).agg(F.count(F.lit(1)).alias("n")))
     model, below = None, None
     for size in range(1, ORDER + 1):
         level = _discounted(levels[size]).withColumn("context", F.shiftright("code", BITS))
-        contexts = level.groupBy("lang", "context").agg(F.sum("n").alias("all"), (F.sum("d") / F.sum("n")).alias("weight"))
+        contexts = stored(level.groupBy("lang", "context").agg(F.sum("n").alias("all"), (F.sum("d") / F.sum("n")).alias("weight")))
         found = level.join(contexts, ["lang", "context"])
         if below is None:
             found = found.withColumn("lower", F.lit(2.0**-BITS))

@@ -64,8 +64,8 @@ def rake(cells: DataFrame, dims: list[str], targets: dict | None = None, alpha:
     """cells (dims, n) with their weight w, and whether they are few. w sums to 1 where targets can be met."""
     cells = checkpointed(cells)
     few = cells.count() <= bound
-    for d in dims:
-        cells = cells.join(_targets(cells, d, (targets or {}).get(d), alpha), d)
+    for t in [_targets(cells, d, (targets or {}).get(d), alpha) for d in dims]:  # all of the checkpoint: no plan holds another's joins
+        cells = cells.join(t, t.columns[0])
     cells = cells.withColumn("w", F.lit(1.0) * F.col("n"))
     cells = checkpointed(cells.coalesce(1) if few else cells)
     if few:

@@ -214,7 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = few(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = few(few(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct())
+        # Kept, as it is used three times: a plan of both steps, turn after turn, costs the driver memory.
+        large = checkpointed(few(few(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")).distinct()))
         least = few(large.groupBy("a").agg(F.min("b").alias("m")))
         small = few(large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).unionByName(least.select("a", F.col("m").alias("b")))
         edges = checkpointed(few(few(small.where("a <> b")).distinct()))
