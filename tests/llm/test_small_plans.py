@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import kneser_ney, mixing, near_dedup
+from veilspark.llm import kneser_ney, mixing, near_dedup, simhash
 
 
 @pytest.fixture
@@ -41,3 +41,15 @@ def test_a_turn_of_the_components_plans_one_step_at_a_time(spark, shuffles):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 30)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(edges).collect()}
     assert got == {**{i: 0 for i in range(10)}, 20: 20, 30: 20} and max(shuffles) <= 5
+
+
+@pytest.mark.parametrize("module, run", [(simhash, simhash.similar_documents), (near_dedup, near_dedup.near_duplicates)])
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch, module, run):
+    """Spark takes an explode for as many rows as its input: all keys of up to 10 MB of classes went to the driver."""
+    plans, stored = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(i, text + f" tail{i}") for i in range(6)] + [(9, "else"), (10, None)], "doc_id long, text string")
+    assert run(df).count() == 8
+    exploded = [p for p in plans if "Generate" in p and "explode(" in p]
+    assert exploded and all(re.search(r"\w+Join\b", p)[0] == "SortMergeJoin" for p in exploded)

@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = told.where("n > 0").join(chosen, "rid", "left_semi")
     keys = classed.select("rid", F.explode(F.arrays_zip("keys", "left")).alias("k")).select("rid", F.col("k.keys").alias("key"), F.col("k.left").alias("left"))
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    held = stored(keys.join(several, "key"))
+    held = stored(keys.join(several.hint("merge"), "key"))  # never broadcast: Spark takes the exploded keys for as few as the classes
     scores = held.groupBy("rid").agg(F.sum("members").alias("score"))
     shared = stored(held.drop("members").join(scores, "rid"))
     facts = stored(told.select("rid", "n", *SIGNED, *MAPPED).join(scores.select("rid"), "rid", "left_semi"))

@@ -163,8 +163,8 @@ def linked(classes: DataFrame, most: int = 3) -> DataFrame | None:
     """(node, root) for every fingerprint that links with another; the root is its component's least. classes: distinct (rid); None: no links."""
     keys = keyed(classes, most)
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    # Written, so that joins are between plain shuffles, of which Spark splits a hot key's.
-    held = stored(keys.join(several, "key"))
+    # Written, so that joins are between plain shuffles, of which Spark splits a hot key's. Never broadcast: Spark takes the exploded keys for as few as the classes.
+    held = stored(keys.join(several.hint("merge"), "key"))
     shared = stored(held.drop("members").join(held.groupBy("rid").agg(F.sum("members").alias("score")), "rid"))
     now, roots, worth = shared.withColumn("comp", F.col("rid")).withColumn("main", F.lit(None).cast("bigint")), None, True
     while worth:
@@ -194,5 +194,5 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         placed = stored(classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")))
         firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
         classes = stored(placed.drop("first").join(firsts, "root").select("rid", "first"))
-    done = told.join(classes, F.col("fp") == F.col("rid"))
+    done = told.join(classes.hint("merge"), F.col("fp") == F.col("rid"))  # neither is of a fixed size
     return done.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
