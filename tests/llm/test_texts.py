@@ -456,3 +456,22 @@ def test_mixing_meets_given_targets(spark):
     done = mixing.mix(df, {"source": F.col("source")}, F.col("n"), targets={"source": {"a": 0.5, "b": 0.5, "absent": 9.0}})
     p = {r.source: r.p for r in done.groupBy("source").agg(F.max("mix_probability").alias("p")).collect()}
     assert abs(p["b"] - 1) < 1e-9 and abs(p["a"] - 1 / 3) < 1e-9
+
+
+def test_a_whole_mix_keeps_every_document_and_meets_the_targets(spark):
+    """The rarest source decided how many documents of all others went."""
+    import corpus_pipeline
+
+    said = "the cat sat on the mat and saw the dog run by the house of old"
+    rows = [(i, said, "en", "web" if i % 3 else "books", len(said)) for i in range(3000)] + [(5000, said, "en", "rare", len(said)), (5001, None, "en", "web", 0), (None, said, None, None, len(said))]
+    given = spark.createDataFrame(rows, DOCS)
+    got = corpus_pipeline.source_mix(spark, given, "/nowhere")
+    assert got.columns == given.columns
+    ids = [r.doc_id for r in got.select("doc_id").collect()]
+    assert {r[0] for r in rows} == set(ids) and len(ids) > len(rows)
+
+    df = spark.createDataFrame([(i, "a" if i % 4 else "b", 1) for i in range(8000)] + [(9000, "b", 0), (9001, "none", 5)], "doc_id long, source string, n long").withColumn("mix_copies", F.lit("clash"))
+    done = mixing.mix(df, {"source": F.col("source")}, F.col("n"), targets={"source": {"a": 0.5, "b": 0.5}}, whole=True)
+    facts = {r.source: r for r in done.groupBy("source").agg(F.sum("_mix_copies").alias("c"), F.min("_mix_copies").alias("least"), F.max("mix_probability").alias("p")).collect()}
+    assert facts["a"].least == 1 and facts["a"].c == 6000 and facts["none"].c == 0
+    assert abs(facts["b"].p - 3) < 1e-9 and facts["b"].c == 2000 * 3 + 1 and facts["b"].least == 1

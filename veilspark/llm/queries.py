@@ -93,7 +93,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = mixing.mix_documents(documents(spark, sf_dir))
+    done = mixing.mix_documents(documents(spark, sf_dir), whole=False)
     return done.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
