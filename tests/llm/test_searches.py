@@ -5,8 +5,10 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -144,6 +146,32 @@ def test_rows_with_one_id_are_rows_of_their_own(spark):
     assert sorted(tuple(r) for r in got) == [(0, 0, 1, 1, 65536, 32768)] * 2
 
 
+def test_open_pairs_are_scored_a_few_at_a_time(monkeypatch):
+    """All open pairs of a batch of anchors and a block of rows were held, and copied with their vectors, at once."""
+    rng = np.random.default_rng(2)
+    x, label = rng.integers(-300, 300, (400, 8)), rng.integers(0, 3, 400)
+    codes, facts = hard_negatives.coded(x.astype(float))
+    held = {k: pa.array([r.tobytes() for r in c], pa.binary()) for k, c in (("v", x), ("codes", codes), ("facts", facts))}
+    batch = pa.record_batch({"rid": np.arange(400), "id": np.arange(400), "label": label, **held})
+    rows = SimpleNamespace(mapInArrow=lambda run, _: list(run(iter([batch]))))
+
+    def best():
+        anchors = SimpleNamespace(value=(np.arange(150), label[:150], x[:150]))
+        near = hard_negatives.best_positives(rows, anchors, 2, 8, hard_negatives.LEVELS)
+        found = pa.Table.from_batches(near).to_pydict()
+        which, known = np.array(found["rid"]).reshape(150, 2), np.array(found["score"]).reshape(150, 2)
+        anchors.value += (which, known, np.full(150, 2))
+        far = hard_negatives.best_negatives(rows, anchors, 3, 8, hard_negatives.LEVELS, (30, 90))
+        return [pa.Table.from_batches(t).to_pylist() for t in (near, far)]
+
+    want, seen, scores = best(), [], hard_negatives.scores
+    for k, v in (("TILE", 2_000), ("HELD", 800), ("TOLD", 70)):
+        monkeypatch.setattr(hard_negatives, k, v, raising=False)
+    monkeypatch.setattr(hard_negatives, "scores", lambda a, b: seen.append(len(a)) or scores(a, b))
+    assert best() == want and len(want[1]) > 300
+    assert max(seen) <= 100
+
+
 def test_bounds_hold_and_narrow(spark):
     rng = np.random.default_rng(1)
     for dims in (1, 3, 64, 100):

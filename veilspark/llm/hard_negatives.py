@@ -10,7 +10,8 @@ A pair is dropped only where its interval cannot reach the best scores so far or
 computed in integers. No probability decides: the result is the one that scoring all pairs gives.
 
 Anchors come in batches of at most about ANCHORS vectors, the only thing that is broadcast; each batch meets the coded rows where they
-are stored, in a stream: a task holds one batch of anchors, their best scores so far, and BLOCK rows. A task returns its best for each
+are stored, in a stream: a task holds one batch of anchors, their best scores so far, BLOCK rows, and of the pairs of both
+at most TILE at a time, which are scored before the next ones are looked at. A task returns its best for each
 anchor; those are ranked again by Spark. Two passes: positives, then negatives within the positives' bands.
 
 Rows with a null label, a null vector, or a null or non-finite component take no part. Shorter vectors count as filled up by
@@ -35,8 +36,8 @@ LEVELS = 4
 PLANES = 8
 #: Anchors of a batch, and rows that a task compares at a time.
 ANCHORS, BLOCK = 16_384, 2048
-#: Pairs whose bounds a task holds at a time.
-TILE = 1 << 18
+#: Pairs whose bounds a task holds at a time, components of either side that it copies to score them, and rows that it returns at a time.
+TILE, HELD, TOLD = 1 << 18, 1 << 21, 100_000
 ROUNDS, SEED = 3, 11
 #: What rounding may add to a bound, as a part of the product of the lengths.
 SLACK = 1e-7
@@ -107,9 +108,9 @@ class Anchors:
         return before + left * across + SLACK * (1.0 + self.length[a] * whole)
 
 
-def open_pairs(anchors: Anchors, codes: np.ndarray, facts: np.ndarray, wanted) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (anchor, row) that no interval closes. wanted(a, rows, low, high): which pairs may still count, for arrays that broadcast."""
-    levels, found = codes.shape[1], []
+def open_pairs(anchors: Anchors, codes: np.ndarray, facts: np.ndarray, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (anchor, row) that no interval closes, for a few anchors at a time: at most TILE pairs, or one anchor's. wanted(a, rows, low, high): which pairs may still count, for arrays that broadcast."""
+    levels = codes.shape[1]
     whole = np.sqrt((facts[:, :levels] ** 2).sum(1) + facts[:, -1] ** 2)
     high = max(1, TILE // max(1, len(codes)))
     for at in range(0, len(anchors.rid), high):
@@ -125,8 +126,8 @@ def open_pairs(anchors: Anchors, codes: np.ndarray, facts: np.ndarray, wanted) -
             estimate, lost = estimate[where], lost[where]
             if not len(a):
                 break
-        found.append((a, rows))
-    return np.concatenate([a for a, _ in found]), np.concatenate([r for _, r in found])
+        if len(a):
+            yield a, rows
 
 
 def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -137,33 +138,57 @@ def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([sum(int(p) * int(q) for p, q in zip(a, b, strict=True)) for a, b in zip(x, y, strict=True)], dtype=object).astype(np.int64)
 
 
+def scored(pairs: Iterator[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, r, scores) of pairs (a, r) of rows of x and y; at most HELD components of either are copied at a time."""
+    most = max(1, HELD // x.shape[1])
+    for a, r in pairs:
+        for at in range(0, len(a), most):
+            some = slice(at, at + most)
+            yield a[some], r[some], scores(x[a[some]], y[r[some]])
+
+
 class Best:
     """The first k rows of each group so far: by score, then by id (null last), then by row number."""
 
     def __init__(self, groups: int, k: int):
-        self.k, self.held = k, [np.zeros(0, np.int64) for _ in range(5)]
+        self.k, self.sizes = k, np.zeros(groups, np.int64)
+        self.held = np.zeros((4, groups, k), np.int64)
         self.least = np.full(groups, -np.inf)
 
-    def add(self, group: np.ndarray, score: np.ndarray, no_id: np.ndarray, ids: np.ndarray, rid: np.ndarray) -> None:
-        both = [np.concatenate(c) for c in zip(self.held, (group, score, no_id, ids, rid), strict=True)]
-        order = np.lexsort((both[4], both[3], both[2], ~both[1], both[0]))
-        both = [c[order] for c in both]
-        starts = np.flatnonzero(np.r_[True, both[0][1:] != both[0][:-1]]) if len(order) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(order)])
-        first = np.arange(len(order)) - np.repeat(starts, sizes) < self.k
-        self.held = [c[first] for c in both]
-        full = sizes >= self.k
-        self.least[both[0][starts[full]]] = both[1][starts[full] + self.k - 1]
+    def add(self, group: np.ndarray, *row: np.ndarray) -> None:
+        """row: score, no id, id, row number. Only the groups that are added to are ranked again."""
+        some = row[0] >= self.least[group]
+        if not some.any():
+            return
+        groups, within = np.unique(group[some], return_inverse=True)
+        there = np.arange(self.k)[None, :] < self.sizes[groups][:, None]
+        within = np.concatenate([np.nonzero(there)[0], within])
+        score, no_id, ids, rid = (np.concatenate([held[groups][there], new[some]]) for held, new in zip(self.held, row, strict=True))
+        order = np.lexsort((rid, ids, no_id, ~score, within))
+        within = within[order]
+        starts = np.searchsorted(within, np.arange(len(groups)))
+        place = np.arange(len(order)) - starts[within]
+        first = place < self.k
+        for held, new in zip(self.held, (score, no_id, ids, rid), strict=True):
+            held[groups[within[first]], place[first]] = new[order[first]]
+        self.sizes[groups] = np.minimum(np.diff(np.r_[starts, len(order)]), self.k)
+        full = groups[self.sizes[groups] == self.k]
+        self.least[full] = self.held[0, full, self.k - 1]
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """(group, score, no id, id, row number) of all that is held."""
+        there = np.arange(self.k)[None, :] < self.sizes[:, None]
+        return (np.nonzero(there)[0], *(held[there] for held in self.held))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], dims: int, levels: int) -> Iterator[tuple]:
-    """(rid, id, no id, label, v, codes, facts) of BLOCK rows at a time; the first ones are fewer, so that bounds soon have something to beat."""
+    """(rid, id, no id, label, v, codes, facts) of BLOCK rows at a time; the first blocks are smaller, so that bounds soon have something to beat."""
     most = 64
     for b in batches:
         at = 0
         while at < b.num_rows:
             c = dict(zip(b.schema.names, b.slice(at, most).columns, strict=True))
-            at, most = at + most, BLOCK
+            at, most = at + len(c["rid"]), min(2 * most, BLOCK)
             n, raw = len(c["rid"]), {k: b"".join(c[k].to_pylist()) for k in ("v", "codes", "facts")}
             no_id = c["id"].is_null().to_numpy(zero_copy_only=False).astype(np.int64)
             yield (
@@ -172,9 +197,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], dims: int, levels: int) -> Iterat
             )
 
 
-def _told(best: Best, anchors: np.ndarray, positives: np.ndarray) -> pa.RecordBatch:
-    group, score, no_id, ids, rid = best.held
-    return pa.record_batch({"anchor": anchors[group], "positive": positives[group], "rid": rid, "id": pa.array(ids, mask=no_id.astype(bool)), "score": score})
+def _told(best: Best, anchors: np.ndarray, positives: np.ndarray) -> Iterator[pa.RecordBatch]:
+    found = best.rows()
+    for at in range(0, max(1, len(found[0])), TOLD):
+        group, score, no_id, ids, rid = (c[at : at + TOLD] for c in found)
+        yield pa.record_batch({"anchor": anchors[group], "positive": positives[group], "rid": rid, "id": pa.array(ids, mask=no_id.astype(bool)), "score": score})
 
 
 def best_positives(rows: DataFrame, anchors, k: int, dims: int, levels: int) -> DataFrame:
@@ -188,9 +215,9 @@ def best_positives(rows: DataFrame, anchors, k: int, dims: int, levels: int) ->
             def wanted(a, r, low, high, rid=rid, label=label):
                 return (label[r] == own.label[a]) & (rid[r] != own.rid[a]) & (high >= best.least[a])
 
-            a, r = open_pairs(own, codes, facts, wanted)
-            best.add(a, scores(own.v[a], v[r]), no_id[r], ids[r], rid[r])
-        yield _told(best, own.rid, np.full(len(own.rid), -1))
+            for a, r, score in scored(open_pairs(own, codes, facts, wanted), own.v, v):
+                best.add(a, score, no_id[r], ids[r], rid[r])
+        yield from _told(best, own.rid, np.full(len(own.rid), -1))
 
     return rows.mapInArrow(released(run), FOUND)
 
@@ -215,13 +242,12 @@ def best_negatives(rows: DataFrame, anchors, k: int, dims: int, levels: int, per
                     some = some | (there[a, p] & (high >= least) & (low <= top[a, p]))
                 return some & (label[r] != own.label[a])
 
-            a, r = open_pairs(own, codes, facts, wanted)
-            score = scores(own.v[a], v[r])
-            for p in range(most):
-                inside = there[a, p] & (score >= floor[a, p]) & (score <= top[a, p])
-                x, y = a[inside], r[inside]
-                best.add(x * most + p, score[inside], no_id[y], ids[y], rid[y])
-        yield _told(best, np.repeat(rid_, most), positive.ravel())
+            for a, r, score in scored(open_pairs(own, codes, facts, wanted), own.v, v):
+                for p in range(most):
+                    inside = there[a, p] & (score >= floor[a, p]) & (score <= top[a, p])
+                    x, y = a[inside], r[inside]
+                    best.add(x * most + p, score[inside], no_id[y], ids[y], rid[y])
+        yield from _told(best, np.repeat(rid_, most), positive.ravel())
 
     return rows.mapInArrow(released(run), FOUND)
 
