@@ -43,6 +43,23 @@ def test_networks_of_one_block_meet_only_their_own(spark):
     assert got.count() == 2000 and "BETWEEN" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()).upper() and "<=" not in plan
 
 
+def test_packets_are_not_shuffled_for_few_networks(spark, monkeypatch):
+    """Packets were shuffled and sorted by block as soon as Spark took the networks for large."""
+    nets = spark.range(1000).selectExpr("id", "concat('n', id) as ip_name", "134217728 + (id % 250) * 256 as lo", "134217728 + (id % 250) * 256 + 255 as hi")
+    rows = spark.range(500).selectExpr("id as packet_no", "concat('8.0.', cast(id % 250 as string), '.7') as ip")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = packets.in_networks(rows, nets, "ip")
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in few.collect())
+        monkeypatch.setattr(packets, "FEW_BLOCKS", 0, raising=False)
+        many = packets.in_networks(rows, nets, "ip")
+        assert got == sorted(tuple(r) for r in many.collect()) and few.columns == many.columns == ["packet_no", "ip", "id", "ip_name"] and len(got) == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_addresses_of_a_packet_are_read_once(spark):
     """However many networks: a side was split again for each of them, and for keep and for reason."""
     rows = spark.createDataFrame([("10.1.0.1", "8.8.8.8", 6, 1, 2)], "src_ip string, dst_ip string, proto int, src_port int, dst_port int")
