@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.operators import lookalikes, report
+from veilspark.operators import lookalikes, permutations, report
 from veilspark.sources.shared import dealt
 
 from .registry import query, table
@@ -61,10 +61,11 @@ def distinct_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, value in VALUES.items():
         some = keys.selectExpr(f"'{kind}' as kind", f"{value} as v")
         rows = some if rows is None else rows.unionByName(some)
-    done = report.written(rows.select("kind", "v", lookalikes.look_alike(F.col("kind"), F.col("v")).alias("new")))
+    done = report.written(rows.select("kind", "v", permutations.look_alike(F.col("kind"), F.col("v")).alias("new")))
 
     def layout(c: str) -> F.Column:
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.when(F.col("kind") == "mac_address", F.regexp_replace(c, "[0-9A-Fa-f]", "h")).otherwise(F.col(c)), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+        plain, hexadecimal = (lookalikes.DIGITS + lookalikes.SMALL + lookalikes.CAPITAL), "a" * 10 + "a" * 26 + "a" * 6 + "A" * 20
+        return F.when(F.col("kind") == "mac_address", F.translate(c, plain, hexadecimal)).otherwise(F.translate(c, plain, "0" * 10 + "a" * 26 + "A" * 26))
 
     card, account = F.when(F.col("kind") == "credit_card", lookalikes.luhn_holds(F.col("new"))), F.when(F.col("kind") == "iban", lookalikes.iban_holds(F.col("new")))
     facts = done.groupBy("kind").agg(F.count_if(layout("v") == layout("new")).alias("n_same_layout"), F.count_if(F.coalesce(card, F.lit(False))).alias("n_luhn"), F.count_if(F.coalesce(account, F.lit(False))).alias("n_iban"))
