@@ -86,6 +86,24 @@ def test_no_row_of_a_mapping_holds_the_words_of_a_text(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_a_mapping_of_few_nodes_shuffles_nothing(spark, monkeypatch):
+    """Every known word of every cell became a row, written and shuffled once a word of the longest original."""
+    rng = random.Random(7)
+    words = ["a", "B", "c", "x_1", "-", "é", "É", "\u212a", "\U0001f600", "the"]
+    say = lambda k: "".join(rng.choice(words) + rng.choice([" ", "", "\n", "\u00a0", "\x0b"]) for _ in range(k))
+    rows = spark.createDataFrame([(i, say(rng.choice([0, 1, 40])), rng.choice([None, "", "a b", say(4)])) for i in range(80)] + [(None, "a b c " * 500, "k")], "id long, text string, `a.b` string").withColumn("rid", F.lit(1.5))
+    rows = rows.withColumnRenamed("a.b", "row")
+    known = spark.createDataFrame([(1, "a b", "X"), (2, "b c a b c", "Y"), (3, "c", "Z"), (4, "a", ""), (5, "é -", "E"), (6, "k", "K"), (7, "x_1", "$1"), (8, "a b -", "W"), (9, "\U0001f600", "S")], "no long, original string, replacement string")
+    few = mapping.applied(rows, known)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(repr, map(tuple, few.collect())))
+    monkeypatch.setattr(mapping, "FEW_NODES", 0, raising=False)
+    many = mapping.applied(rows, known)
+    assert few.schema.simpleString() == many.schema.simpleString() and got == sorted(map(repr, map(tuple, many.collect())))
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sum(r.n_replaced for r in few.collect()) > 500
+
+
 def test_quality_bounds_are_fitted_on_all_labels(spark):
     """A sample of 20,000 labels was taken; the fit over tables of any size is the one in memory."""
     import numpy as np

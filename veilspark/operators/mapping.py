@@ -6,12 +6,17 @@ first word begins some original meet the nodes of two words, then of three, and
 is gone at once. Of matches that overlap the leftmost stays, of those that begin together the longest. Of originals that are the same
 words the one with the least number decides.
 
+A trie of few nodes is broadcast instead, and each row is gone through where it stands: nothing is made of the cells, and nothing is shuffled.
+
 Nulls: null cells stay null; a null or wordless original, or a null replacement, is no entry. Repeated rows are rows of their own.
 An empty mapping changes nothing. Columns of other types pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,10 @@ from . import spans
 #: A word or a single sign.
 TOKEN = r"\w+|[^\w\x20\x09-\x0D]"
 _TOKENS = Rule("token", "mapping", 0, TOKEN)
+_PARTS = re.compile(f"({TOKEN})", re.ASCII)
+
+#: Nodes, and characters of all of them and their replacements, up to which a trie is broadcast.
+FEW_NODES, FEW_CHARS = 200_000, 10_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -59,15 +68,64 @@ def matches(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     return found
 
 
+def replaced(text: str, nodes: dict[str, tuple[str | None, bool]]) -> tuple[str, int]:
+    """The text after all replacements, and their number. nodes: a node's replacement and whether some original goes on, by its words."""
+    parts = _PARTS.split(text)  # what is between words, and words, in turn
+    words = [w.lower() for w in parts[1::2]]
+    out, done, n = [], 0, 0
+    for i in [i for i, w in enumerate(words) if w in nodes]:
+        if 2 * i + 1 < done:
+            continue
+        node, end, last, best = words[i], 0, i, None
+        while found := nodes.get(node):
+            if found[0] is not None:
+                end, best = last, found[0]
+            last += 1
+            if not found[1] or last == len(words):
+                break
+            node = f"{node} {words[last]}"
+        if best is not None:
+            out += [*parts[done : 2 * i + 1], best]
+            done, n = 2 * end + 2, n + 1
+    return ("".join([*out, *parts[done:]]), n) if n else (text, 0)
+
+
+def _gone_through(rows: DataFrame, named: list[str], nodes: DataFrame, count: str) -> DataFrame:
+    """applied() for a trie of few nodes."""
+    sent = rows.sparkSession.sparkContext.broadcast({r.node: (r.replacement, r.inner) for r in nodes.select("node", "replacement", "inner").collect()})
+    fields = [f"t{i}" for i in range(len(named))]
+
+    @F.arrow_udf(", ".join(f"{f} string" for f in fields) + ", n bigint")
+    def made(*cells: pa.Array) -> pa.Array:
+        total, new = [0] * len(cells[0]), []
+        for cell in cells:
+            texts = []
+            for i, text in enumerate(cell):
+                text, n = (None, 0) if (text := text.as_py()) is None else replaced(text, sent.value)
+                texts.append(text)
+                total[i] += n
+            new.append(pa.array(texts, pa.string()))
+        return pa.StructArray.from_arrays([*new, pa.array(total, pa.int64())], names=[*fields, "n"])
+
+    held = rows.select(F.struct(*rows.columns).alias("row"))
+    held = held.select("row", made(*[F.col("row")[c] for c in named]).alias("new"))
+    kept = [F.col("new")[fields[named.index(c)]] if c in named else F.col("row")[c] for c in rows.columns]
+    return held.select(*[v.alias(c) for v, c in zip(kept, rows.columns)], F.col("new")["n"].alias(count))
+
+
 def applied(rows: DataFrame, entries: DataFrame, count: str = "n_replaced") -> DataFrame:
     """rows with every original of entries (no, original, replacement) replaced in all string columns, and how many were in the row."""
     if count in rows.columns:
         raise ValueError(f"the table has a column {count} already")
     named = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
+    nodes = written(trie(entries))
+    n, chars = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("node") + F.coalesce(F.length("replacement"), F.lit(0))), F.lit(0))).first()
+    if named and n <= FEW_NODES and chars <= FEW_CHARS:
+        return _gone_through(rows, named, nodes, count)
     held = written(rows.select(F.monotonically_increasing_id().alias("rid"), F.struct(*rows.columns).alias("row")))
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col("row")[c].alias("text")) for i, c in enumerate(named)] or [F.struct(F.lit(-1).alias("column"), F.lit(None).cast("string").alias("text"))]))
     cells = held.select("rid", cells.alias("x")).where("x.text IS NOT NULL").select(F.struct("rid", "x.column").alias("cell"), "x.text")
-    found = matches(cells, written(trie(entries)))
+    found = matches(cells, nodes)
     span = F.struct(F.lit("").alias("rule"), F.col("replacement").alias("value"), "start", "end", F.lit(0).alias("priority"), F.lit(0).alias("no"))
     by_cell = found.groupBy("cell").agg(F.collect_list(span).alias("s"))
     chosen = cells.join(by_cell, "cell").withColumn("s", spans.resolved(F.col("s"), "first"))
